@@ -1,8 +1,55 @@
-"""Business rules (layer 3)."""
+"""Business rules (layer 3).
 
-from pyspark.sql import Column
+Rules are Spark SQL text over the columns of one row.  All rules of a set are evaluated in one
+scan: an array of violation structs per row, nulls removed, then exploded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableward.functions.ordered import top_per_group, with_neighbour
+from tableward.functions.predicates import row_key
+from tableward.model import CRITICAL, INFO, WARNING
+
+# Rule type -> failure code used when a rule names none.
+RULE_CODES = {
+    "crossfield": "BL-001", "referential": "BL-002", "calculation": "BL-003",
+    "state_transition": "BL-004", "temporal": "BL-005", "domain": "BL-006",
+    "distribution": "BL-007", "orphan": "BL-008",
+}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One rule; which fields matter depends on ``kind``.
+
+    crossfield, domain: ``expression`` must hold.  calculation: ``field`` must equal
+    ``expression`` within ``tolerance``.  temporal: ``check`` is ``no_future`` or ``sequence``
+    over ``fields``.
+    """
+
+    id: str
+    kind: str
+    expression: str = ""
+    name: str = ""
+    fields: tuple[str, ...] = ()
+    severity: str = WARNING
+    code: str = ""
+    condition: str | None = None
+    tolerance: float = 0.001
+    check: str = ""
+    enabled: bool = True
+    priority: int = 0
+
+    @property
+    def failure_code(self) -> str:
+        return self.code or RULE_CODES[self.kind]
+
 
 def comparison(column: Column, operator: str, operand) -> Column:
     """A declarative comparison as a column expression."""
@@ -14,3 +61,175 @@ def comparison(column: Column, operator: str, operand) -> Column:
         "between": lambda: column.between(*operand), "matches": lambda: column.rlike(operand),
     }
     return simple[operator]()
+
+
+def breaks_calculation(actual: Column, expected: Column, tolerance: float = 0.001) -> Column:
+    """Beyond tolerance; null on either side passes."""
+    return F.coalesce(F.abs(actual - expected) > tolerance, F.lit(False))
+
+
+def breaks_sequence(*columns: Column) -> Column:
+    """Some value is smaller than the non-null value before it; gaps are skipped."""
+    kept = F.array_compact(F.array(*columns))
+    return (F.size(kept) >= 2) & (kept != F.array_sort(kept))
+
+
+def violated(rule: Rule, as_of: Column | None = None) -> Column:
+    """True on rows that break the rule; a rule whose condition does not hold passes."""
+    if rule.kind in ("crossfield", "domain"):
+        broken = ~F.coalesce(F.expr(rule.expression), F.lit(False))
+    elif rule.kind == "calculation":
+        broken = breaks_calculation(F.col(rule.fields[0]), F.expr(rule.expression), rule.tolerance)
+    elif rule.kind == "temporal" and rule.check == "no_future":
+        broken = F.lit(False)
+        for name in rule.fields:
+            broken = broken | F.coalesce(F.col(name) > as_of, F.lit(False))
+    elif rule.kind == "temporal" and rule.check == "sequence":
+        broken = breaks_sequence(*[F.col(c) for c in rule.fields])
+    else:
+        raise ValueError(f"rule {rule.id} of kind {rule.kind} is not a row rule")
+    if rule.condition:
+        broken = broken & F.coalesce(F.expr(rule.condition), F.lit(False))
+    return broken
+
+
+def active(rules: Sequence[Rule]) -> list[Rule]:
+    """Enabled rules, highest priority first."""
+    return sorted([r for r in rules if r.enabled], key=lambda r: -r.priority)
+
+
+def check_rules(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str],
+                as_of: Column | None = None) -> DataFrame:
+    """Long violations of all active row rules, from one scan."""
+    hits = [
+        F.when(violated(r, as_of), F.struct(
+            F.lit(r.id).alias("rule_id"), F.lit(r.failure_code).alias("failure_code"),
+            F.lit(r.severity).alias("severity"), F.lit(",".join(r.fields)).alias("fields")))
+        for r in active(rules)
+    ]
+    return df.select(row_key(*keys).alias("row_key"), F.inline(F.array_compact(F.array(*hits))))
+
+
+def rule_report(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = None) -> DataFrame:
+    """Evaluated, passed and failed rows per rule, disabled rules as skipped; one aggregate."""
+    ordered = sorted(rules, key=lambda r: -r.priority)
+    counts = []
+    for i, r in enumerate(ordered):
+        if r.enabled:
+            counts.append(F.count_if(violated(r, as_of)).alias(f"f{i}"))
+    wide = df.agg(F.count(F.lit(1)).alias("total"), *counts)
+    rows = []
+    for i, r in enumerate(ordered):
+        failed = F.col(f"f{i}") if r.enabled else F.lit(0).cast("bigint")
+        seen = F.col("total") if r.enabled else F.lit(0).cast("bigint")
+        rows.append(F.struct(
+            F.lit(r.id).alias("rule_id"), F.lit(r.priority).alias("priority"),
+            F.lit(not r.enabled).alias("skipped"), seen.alias("evaluated"),
+            (seen - failed).alias("passed"), failed.alias("failed")))
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def rollup(found: DataFrame, by: Sequence[str] = ("rule_id",), samples: int = 5,
+           base: float = 30.0) -> DataFrame:
+    """Violations to one anomaly per rule or code: count, score and a few sample keys.
+
+    Counts come from partial sums, samples from a top-k the planner prunes before its shuffle;
+    no group's rows are ever gathered.
+    """
+    counted = found.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("violations"), F.max("severity").alias("severity"),
+        F.max("failure_code").alias("code"))
+    kept = top_per_group(found.select(*by, "row_key"), list(by), [F.col("row_key")], samples)
+    sampled = kept.groupBy(*by).agg(F.array_sort(F.collect_list("row_key")).alias("sample_keys"))
+    return counted.join(sampled, on=list(by)).select(
+        *by, F.col("code").alias("failure_code") if "failure_code" not in by else F.lit(None).alias("_d"),
+        "severity", "violations",
+        F.least(F.lit(100.0), base + F.col("violations") * 10.0).alias("severity_score"),
+        "sample_keys",
+    ).drop("_d")
+
+
+def child_sums(parents: DataFrame, parent_key: str, total: str, children: DataFrame,
+               child_key: str, amount: Column, tolerance: float = 0.001) -> DataFrame:
+    """Parents whose total differs from the sum over their children.  Children are summed
+    before the join, so a parent with very many of them costs one row."""
+    sums = children.groupBy(F.col(child_key).alias(parent_key)).agg(F.sum(amount).alias("child_sum"))
+    joined = parents.join(sums, on=parent_key)
+    return joined.filter(breaks_calculation(F.col(total), F.col("child_sum"), tolerance))
+
+
+def state_transitions(df: DataFrame, key: str, order: list[str], state: str,
+                      allowed: dict[str, Sequence[str]], slice_by: Column) -> DataFrame:
+    """Steps between consecutive states of a key that ``allowed`` does not list."""
+    stepped = with_neighbour(df, [key], order, {"previous_state": state}, slice_by)
+    chain = None
+    for source, targets in allowed.items():
+        permitted = F.col(state).isin(*targets) if targets else F.lit(False)
+        hit = F.col("previous_state") == source
+        chain = F.when(hit, permitted) if chain is None else chain.when(hit, permitted)
+    known = F.col("previous_state").isin(*allowed)
+    return (
+        stepped.filter(F.col("previous_state").isNotNull())
+        .filter(~F.coalesce(chain, F.lit(False)))
+        .withColumn("reason", F.when(known, "not_allowed").otherwise("unknown_state"))
+    )
+
+
+@dataclass(frozen=True)
+class AutoRule:
+    name: str
+    title: str
+    fields: tuple[str, ...]
+    broken: str
+
+
+# Rules applied whenever the columns they name exist.
+AUTO_RULES = (
+    AutoRule("age_income_logic", "Young age with high income", ("age", "income"),
+             "{age} < 16 AND {income} > 50000"),
+    AutoRule("age_range_logic", "Invalid age value", ("age",), "{age} < 0 OR {age} > 120"),
+    AutoRule("negative_income", "Negative income value", ("income",), "{income} < 0"),
+    AutoRule("zero_days_with_purchases", "Purchases with zero platform time",
+             ("days_on_platform", "purchases"), "{days_on_platform} = 0 AND {purchases} > 0"),
+    AutoRule("excessive_purchases_rate", "Unrealistic purchase rate",
+             ("days_on_platform", "purchases"),
+             "{days_on_platform} > 0 AND {purchases} / greatest(1, {days_on_platform}) > 5"),
+    AutoRule("quantity_total_mismatch", "Quantity and total price mismatch",
+             ("quantity", "unit_price", "total"), "abs({quantity} * {unit_price} - {total}) > 0.01"),
+    AutoRule("end_before_start", "End date before start date", ("start_date", "end_date"),
+             "CAST({end_date} AS STRING) < CAST({start_date} AS STRING)"),
+)
+
+
+def auto_logic(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Built-in rules over the columns present; ``mapping`` renames rule fields to columns."""
+    mapping = mapping or {}
+    types = dict(df.dtypes)
+    where = {f: mapping.get(f, f) for rule in AUTO_RULES for f in rule.fields}
+    usable = [r for r in AUTO_RULES if all(where[f] in types for f in r.fields)]
+
+    def reading(field: str) -> str:
+        column = f"`{where[field]}`"
+        return column if field.endswith("_date") else f"coalesce(try_cast({column} AS DOUBLE), 0.0D)"
+
+    def test(rule: AutoRule) -> Column:
+        present = " AND ".join(f"`{where[f]}` IS NOT NULL" for f in rule.fields)
+        body = rule.broken.format(**{f: reading(f) for f in rule.fields})
+        return F.expr(f"({present}) AND ({body})")
+
+    wide = df.agg(F.count(F.lit(1)).alias("total"),
+                  *[F.count_if(test(r)).alias(r.name) for r in usable])
+    rows = []
+    for r in usable:
+        n = F.col(r.name)
+        rows.append(F.struct(
+            F.lit(f"auto_{r.name}").alias("rule_id"), F.lit(r.title).alias("rule_name"),
+            F.lit("BL-006").alias("failure_code"), n.alias("violations"),
+            F.col("total").alias("records"),
+            F.when(n > 50, CRITICAL).when(n > 10, WARNING).otherwise(INFO).alias("severity"),
+            F.least(F.lit(80.0), 30.0 + n * 2.0).alias("severity_score")))
+    empty = "rule_id string, rule_name string, failure_code string, violations bigint, " \
+            "records bigint, severity string, severity_score double"
+    if not rows:
+        return df.sparkSession.createDataFrame([], empty)
+    return wide.select(F.inline(F.array(*rows))).filter(F.col("violations") > 0)
