@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tableward.functions.ordered import top_per_group, with_neighbour
 from tableward.functions.predicates import row_key
-from tableward.model import CRITICAL, INFO, WARNING
+from tableward.model import CRITICAL, INFO, WARNING, severity_name, severity_rank
 
 # Rule type -> failure code used when a rule names none.
 RULE_CODES = {
@@ -131,22 +131,22 @@ def rule_report(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = Non
 
 def rollup(found: DataFrame, by: Sequence[str] = ("rule_id",), samples: int = 5,
            base: float = 30.0) -> DataFrame:
-    """Violations to one anomaly per rule or code: count, score and a few sample keys.
+    """Violations to one anomaly per rule or code: count, worst severity, score, sample keys.
 
     Counts come from partial sums, samples from a top-k the planner prunes before its shuffle;
     no group's rows are ever gathered.
     """
+    names = [c for c in ("failure_code",) if c not in by]
     counted = found.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("violations"), F.max("severity").alias("severity"),
-        F.max("failure_code").alias("code"))
+        F.count(F.lit(1)).alias("violations"),
+        severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"),
+        *[F.max(c).alias(c) for c in names],
+    ).withColumn("severity_score", F.least(F.lit(100.0), base + F.col("violations") * 10.0))
+    if not samples:
+        return counted
     kept = top_per_group(found.select(*by, "row_key"), list(by), [F.col("row_key")], samples)
     sampled = kept.groupBy(*by).agg(F.array_sort(F.collect_list("row_key")).alias("sample_keys"))
-    return counted.join(sampled, on=list(by)).select(
-        *by, F.col("code").alias("failure_code") if "failure_code" not in by else F.lit(None).alias("_d"),
-        "severity", "violations",
-        F.least(F.lit(100.0), base + F.col("violations") * 10.0).alias("severity_score"),
-        "sample_keys",
-    ).drop("_d")
+    return counted.join(sampled, on=list(by))
 
 
 def child_sums(parents: DataFrame, parent_key: str, total: str, children: DataFrame,

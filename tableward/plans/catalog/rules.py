@@ -90,10 +90,10 @@ def violation_rollup(t):
 
 
 @query("violation_rollup_code", f"""WITH {ORDER_LINES}, found AS ({_violations_sql(*BROKEN)})
-SELECT failure_code, max(severity) AS severity, count(*) AS violations,
+SELECT failure_code, CASE max(CASE severity WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) WHEN 2 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'INFO' END AS severity, count(*) AS violations,
   least(100.0::DOUBLE, 30.0::DOUBLE + count(*) * 10) AS severity_score FROM found GROUP BY failure_code""")
 def violation_rollup_code(t):
-    return R.rollup(_check(t, *BROKEN), by=["failure_code"]).drop("sample_keys")
+    return R.rollup(_check(t, *BROKEN), by=["failure_code"], samples=0)
 
 
 @query("score_business", f"""WITH {ORDER_LINES}, found AS ({_violations_sql(*BROKEN)}),
@@ -101,7 +101,7 @@ anomalies AS (SELECT rule_id, max(severity) AS severity FROM found GROUP BY rule
 SELECT count(*) AS anomalies, greatest(0.0::DOUBLE, 100.0::DOUBLE - sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'WARNING' THEN 10 ELSE 2 END)) AS score
 FROM anomalies""")
 def score_business(t):
-    anomalies = R.rollup(_check(t, *BROKEN))
+    anomalies = R.rollup(_check(t, *BROKEN), samples=0)
     return anomalies.agg(F.count(F.lit(1)).alias("anomalies"),
                          S.layer_score(F.col("severity"), "business").alias("score"))
 

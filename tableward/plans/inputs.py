@@ -117,3 +117,61 @@ SELECT '{name}' AS check_name, '{code}' AS failure_code, '{field}' AS field,
 FROM (SELECT *, n > 0 AND pct > {tolerance} AS failed, {score} AS score FROM (
   SELECT *, n * 100.0::DOUBLE / total AS pct FROM (
     SELECT {n} AS n, {total} AS total FROM {source})))"""
+
+
+# A registry of contracts ------------------------------------------------------------------------
+
+CONTRACT_COLUMN_NAMES = (
+    "contract_id", "version", "source", "additional_properties", "column_name", "column_type",
+    "criticality", "nullable", "is_unique", "min_length", "max_length", "minimum", "maximum",
+    "pattern", "enum_values",
+)
+
+
+def contract_registry(t) -> DataFrame:
+    """One contract per part in two versions, one column per line number seen in that version."""
+    p = F.col("l_partkey")
+    old = F.col("l_linestatus") == "F"
+    facts = t.lineitem.groupBy("l_partkey", "l_linestatus", "l_linenumber").agg(
+        F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"),
+        F.max("l_quantity").cast("int").alias("high"), F.min("l_quantity").cast("int").alias("low"),
+        F.max("l_tax").alias("tax"))
+    newer = F.when(p % 4 == 0, "2.0.0").otherwise(
+        F.concat(F.lit("1."), p % 3 + p % 2, F.lit("."), p % 5))
+    return facts.select(
+        F.concat(F.lit("C"), p).alias("contract_id"),
+        F.when(old, F.concat(F.lit("1."), p % 3, F.lit(".0"))).otherwise(newer).alias("version"),
+        F.concat(F.lit("source-"), p % 50).alias("source"),
+        F.when(old, p % 6 != 0).otherwise(p % 4 != 0).alias("additional_properties"),
+        F.concat(F.lit("c"), F.col("l_linenumber")).alias("column_name"),
+        F.when(F.col("flag") == "A", "integer").when(F.col("flag") == "N", "number").otherwise("string").alias("column_type"),
+        F.when(F.col("discount") >= 0.08, "required").otherwise("optional").alias("criticality"),
+        (F.col("tax") < 0.06).alias("nullable"), (F.col("high") == 50).alias("is_unique"),
+        F.when(F.col("low") >= 10, F.col("low")).alias("min_length"), F.col("high").alias("max_length"),
+        F.when(F.col("low") < 20, F.col("low").cast("double")).alias("minimum"),
+        (F.col("high") * 10.0).alias("maximum"),
+        F.when(F.col("high") % 5 == 0, "^[A-Z]").when(F.col("high") % 5 == 1, "^[a-z]").alias("pattern"),
+        F.when(F.col("low") % 3 == 0, F.array(F.lit("x"), F.lit("y")))
+        .when(F.col("low") % 3 == 1, F.array(F.lit("x"))).alias("enum_values"),
+        "l_linestatus",
+    )
+
+
+CONTRACT_REGISTRY = """
+registry AS (
+  SELECT 'C' || p AS contract_id,
+    CASE WHEN st = 'F' THEN '1.' || (p % 3) || '.0' WHEN p % 4 = 0 THEN '2.0.0' ELSE '1.' || (p % 3 + p % 2) || '.' || (p % 5) END AS version,
+    'source-' || (p % 50) AS source,
+    CASE WHEN st = 'F' THEN p % 6 <> 0 ELSE p % 4 <> 0 END AS additional_properties,
+    'c' || l_linenumber AS column_name,
+    CASE flag WHEN 'A' THEN 'integer' WHEN 'N' THEN 'number' ELSE 'string' END AS column_type,
+    CASE WHEN discount >= 0.08 THEN 'required' ELSE 'optional' END AS criticality,
+    tax < 0.06 AS nullable, high = 50 AS is_unique,
+    CASE WHEN low >= 10 THEN low END AS min_length, high AS max_length,
+    CASE WHEN low < 20 THEN CAST(low AS DOUBLE) END AS minimum, high * 10.0::DOUBLE AS maximum,
+    CASE WHEN high % 5 = 0 THEN '^[A-Z]' WHEN high % 5 = 1 THEN '^[a-z]' END AS pattern,
+    CASE WHEN low % 3 = 0 THEN ['x', 'y'] WHEN low % 3 = 1 THEN ['x'] END AS enum_values,
+    st AS l_linestatus
+  FROM (SELECT l_partkey AS p, l_linestatus AS st, l_linenumber, min(l_returnflag) AS flag, max(l_discount) AS discount,
+      CAST(max(l_quantity) AS INTEGER) AS high, CAST(min(l_quantity) AS INTEGER) AS low, max(l_tax) AS tax
+    FROM lineitem GROUP BY ALL))"""
