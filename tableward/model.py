@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Failure code -> description.
 CODE_TEXT = {
@@ -115,10 +116,9 @@ def as_anomalies(df: DataFrame, batch_id: str, as_of, **columns: Column) -> Data
     ``df`` supplies any subset of the anomaly columns by name, ``columns`` overrides them; what
     neither gives is null.
     """
-    from pyspark.sql.types import StructType
-
     target = StructType.fromDDL(ANOMALY_DDL)
     present = set(df.columns)
+    code = columns.get("failure_code", F.col("failure_code"))
 
     def source(name):
         if name in columns:
@@ -130,9 +130,9 @@ def as_anomalies(df: DataFrame, batch_id: str, as_of, **columns: Column) -> Data
         if name in present:
             return F.col(name)
         if name == "tier":
-            return tier_of(F.col("failure_code"))
+            return tier_of(code)
         if name == "layer":
-            return layer_of(F.col("failure_code"))
+            return layer_of(code)
         if name == "blocking":
             return F.lit(False)
         return F.lit(None)

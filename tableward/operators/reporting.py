@@ -6,12 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableward.functions import chains
 from tableward.model import CRITICAL, INFO, WARNING, describe, layer_of, severity_rank, tier_of
 
+# Grouping runs in Python workers, which need not have this package installed.
+register_pickle_by_value(chains)
+
 # Failure code -> business wording of the impact report.
 IMPACT = {
     "DV-001": ("The expected number of records was not received.",
@@ -217,7 +221,7 @@ def _micros(ts: Column) -> Column:
     return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + second
 
 
-def event_groups(events: DataFrame, width_seconds: int = 60, chunk_seconds: int = 3600) -> DataFrame:
+def event_groups(events: DataFrame, width_seconds: int = 60, chunk_seconds: int = 21600) -> DataFrame:
     """Greedy groups per batch: the newest event left takes every event up to a minute older.
 
     Where a group starts depends on the one before it, all the way from the newest event of the
