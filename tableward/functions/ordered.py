@@ -32,47 +32,52 @@ def null_safe(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001) -> DataFrame:
-    """Keys that own more than ``share`` of the rows: at most ``1 / share`` of them exist."""
-    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > total * share).select(*keys)
-    )
+def hot_key_hashes(df: DataFrame, keys: list[str], share: float, min_rows: int) -> list[int]:
+    """Hashes of keys that own more than ``share`` of the rows, and more than ``min_rows``.
+
+    One pass with a frequent-items sketch that merges map-side; no shuffle by key.  A key this
+    frequent cannot escape the sketch.  Two keys with one hash only mean a needless slice.
+    """
+    found = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), 1000, 10000)").alias("top"),
+    ).first()
+    floor = max(found["n"] * share, min_rows)
+    return [entry["item"] for entry in found["top"] if entry["count"] > floor]
 
 
 def with_neighbour(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str],
-                   slice_by: Column, following: bool = False, share: float = 0.001) -> DataFrame:
+                   slice_by: Column, following: bool = False, share: float = 0.001,
+                   min_rows: int = 1_000_000) -> DataFrame:
     """Add, per key, the value that ``columns`` had one row earlier (or later) in ``order``.
 
     ``columns`` maps new names to source columns.  Rows of ordinary keys stay in one group.
     Rows of hot keys are sliced by ``slice_by``, which must not decrease along ``order``; the row
     at a slice's edge takes its neighbour from the nearest non-empty slice.
     """
-    hot = hot_keys(df, keys, share)
-    hot, _ = small_side(hot.withColumn("_hot", F.lit(True)), int(1 / share) + 1)
-    sliced = df.join(hot, on=keys, how="left").withColumn(
-        "_slice", F.when(F.col("_hot"), slice_by.cast("string"))
-    )
-    payload = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    position = F.struct(*[F.col(c) for c in order])
-    group = W.partitionBy(*keys, "_slice").orderBy(*[F.col(c) for c in order])
     step = F.lead if following else F.lag
-    near = sliced.withColumn("_near", step(payload).over(group))
-
+    payload = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    sort = [F.col(c) for c in order]
+    hashes = hot_key_hashes(df, keys, share, min_rows)
+    if not hashes:
+        near = df.withColumn("_near", step(payload).over(W.partitionBy(*keys).orderBy(*sort)))
+        return near.select(*df.columns, *[F.col("_near")[n].alias(n) for n in columns])
+
+    hot = F.xxhash64(*keys).isin(hashes)
+    sliced = df.withColumn("_slice", F.when(hot, slice_by.cast("string")))
+    near = sliced.withColumn("_near", step(payload).over(W.partitionBy(*keys, "_slice").orderBy(*sort)))
     pick = F.min_by if following else F.max_by
     edges = (
-        sliced.filter(F.col("_hot"))
-        .groupBy(*keys, "_slice", slice_by.alias("_at"))
-        .agg(pick(payload, position).alias("_edge"))
+        sliced.filter(hot).groupBy(*keys, "_slice", slice_by.alias("_at"))
+        .agg(pick(payload, F.struct(*sort)).alias("_edge"))
     )
-    across = W.partitionBy(*keys).orderBy("_at")
-    edges = edges.select(*keys, "_slice", step("_edge").over(across).alias("_far"))
-    joined = near.join(edges, on=[*keys, "_slice"], how="left")
+    edges = edges.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_edge_slice"),
+        step("_edge").over(W.partitionBy(*keys).orderBy("_at")).alias("_far"))
+    same = null_safe(near, edges, [(k, f"_k_{k}") for k in keys]) & (F.col("_slice") == F.col("_edge_slice"))
     found = F.coalesce(F.col("_near"), F.col("_far"))
-    return joined.select(
-        *[F.col(c) for c in df.columns], *[found[n].alias(n) for n in columns]
-    )
+    return near.join(edges, same, "left").select(
+        *df.columns, *[found[n].alias(n) for n in columns])
 
 
 def running_totals(counts: DataFrame, groups: list[str], value: str, weights: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tableward.functions import predicates as P
@@ -310,17 +310,31 @@ def outlier_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])
 
 
+def outlier_moments(df: DataFrame, columns: Sequence[str], min_records: int = 30) -> dict[str, Row]:
+    """The statistics row, fetched; columns with too few values or no spread are left out."""
+    row = outlier_statistics(df, columns).first()
+    return {
+        c: row[c] for c in columns
+        if row[c]["rows"] >= min_records and row[c]["n"] >= min_records and row[c]["std"]
+    }
+
+
+def z_score(column: str, moments: Row) -> Column:
+    return F.abs((finite(F.col(column)) - moments["mean"]) / moments["std"])
+
+
 def outlier_predicates(df: DataFrame, columns: Sequence[str], threshold: float = 3.0,
                        min_records: int = 30) -> dict[str, Column]:
-    """Per column a predicate true on outliers.  The moments arrive as a scalar subquery."""
-    stats = outlier_statistics(df, columns).select(F.struct(*columns).alias("s")).scalar()
-    result = {}
-    for c in columns:
-        s = stats[c]
-        z = F.abs((finite(F.col(c)) - s["mean"]) / s["std"])
-        usable = (s["rows"] >= min_records) & (s["n"] >= min_records) & (s["std"] > 0)
-        result[c] = F.coalesce(F.when(usable, z > threshold), F.lit(False))
-    return result
+    """Per column a predicate true on outliers.
+
+    A first scan fetches one row of moments; in the second they are constants, so that every
+    use shares one evaluation and no row is joined.
+    """
+    moments = outlier_moments(df, columns, min_records)
+    return {
+        c: F.coalesce(z_score(c, moments[c]) > threshold, F.lit(False)) if c in moments else F.lit(False)
+        for c in columns
+    }
 
 
 def outlier_checks(df: DataFrame, columns: Sequence[str], threshold: float = 3.0,
@@ -386,29 +400,26 @@ def violations(df: DataFrame, checks: Sequence[RowCheck], keys: Sequence[str]) -
                      F.inline(F.array_compact(F.array(*hits))))
 
 
+def critical_checks(df: DataFrame, spec: BatchSpec) -> set[str]:
+    """Which checks are CRITICAL for this batch; at most one fetched row per check."""
+    rows = validate_batch(df, spec).filter(F.col("severity") == CRITICAL).select("check_name", "field").collect()
+    return {f"{r['check_name']}:{r['field']}" for r in rows}
+
+
 def hit_codes(df: DataFrame, spec: BatchSpec) -> DataFrame:
     """Adds ``codes`` and ``reasons``: what CRITICAL findings say about each row.
 
-    Which checks are critical is a property of the whole batch and enters as a scalar subquery.
-    Rows are flagged in place; only duplicates need a join, against the repeated keys.
+    Severity belongs to the whole batch and is settled first.  Rows are then flagged in place,
+    by the critical checks only; a join happens only when duplicates are critical, against the
+    repeated keys.
     """
-    findings = validate_batch(df, spec)
-    identity = F.concat_ws(":", "check_name", "field")
-    critical = (
-        findings.filter(F.col("severity") == CRITICAL)
-        .agg(F.collect_set(identity).alias("ids")).scalar()
-    )
-    checks = row_checks(df, spec)
-    hits = [
-        F.when(c.violated & F.array_contains(critical, c.id),
-               F.struct(F.lit(c.code).alias("code"), F.lit(c.id).alias("reason")))
-        for c in checks
-    ]
-    if spec.count:
-        hits.append(F.when(F.array_contains(critical, "count:*"), F.struct(
-            F.lit("DV-001").alias("code"), F.lit("count:*").alias("reason"))))
+    critical = critical_checks(df, spec)
+    hits = [(c.violated, c.code, c.id) for c in row_checks(df, spec) if c.id in critical]
+    if "count:*" in critical:
+        hits.append((F.lit(True), "DV-001", "count:*"))
     marked = df
-    if spec.duplicates:
+    repeats = spec.duplicates and f"duplicate:{','.join(spec.duplicates.keys) or '*'}"
+    if repeats in critical:
         keys = duplicate_keys(df, spec.duplicates)
         groups = duplicate_groups(df, spec.duplicates)
         repeated = groups.select(*[F.col(f"_k{i}").alias(f"_r{i}") for i in range(len(keys))],
@@ -417,11 +428,12 @@ def hit_codes(df: DataFrame, spec: BatchSpec) -> DataFrame:
         on = reduce(lambda a, b: a & b, [
             F.col(f"_k{i}").eqNullSafe(F.col(f"_r{i}")) for i in range(len(keys))])
         marked = keyed.join(repeated, on, "left").select(*df.columns, "_repeated")
-        name = f"duplicate:{','.join(spec.duplicates.keys) or '*'}"
-        hits.append(F.when(F.col("_repeated") & F.array_contains(critical, name), F.struct(
-            F.lit("DV-006").alias("code"), F.lit(name).alias("reason"))))
-    found = marked.select(*df.columns, F.array_compact(F.array(*hits)).alias("_hits"))
-    return found.select(
+        hits.append((F.col("_repeated"), "DV-006", repeats))
+    kind = "array<struct<code:string,reason:string>>"
+    found = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(code).alias("code"), F.lit(name).alias("reason")))
+        for test, code, name in hits])) if hits else F.array().cast(kind)
+    return marked.select(*df.columns, found.alias("_hits")).select(
         *df.columns,
         F.array_sort(F.array_distinct(F.col("_hits.code"))).alias("codes"),
         F.col("_hits.reason").alias("reasons"),

@@ -123,13 +123,22 @@ def calibration(df: DataFrame, groups: Sequence[str], score: str, actual: str, b
 
 # Personal data --------------------------------------------------------------------------------
 
+def _may_hold_address(column: Column) -> Column:
+    return F.contains(column, F.lit("@"))
+
+
+def _may_hold_number(column: Column) -> Column:
+    """Necessary for every numeric pattern, and much cheaper than any of them."""
+    return column.rlike(r"[0-9][0-9.]")
+
+
 def first_pattern(column: Column) -> Column:
     """Name of the first pattern found in the text; later ones are not evaluated."""
-    chain = None
-    for name, pattern in PII_PATTERNS.items():
-        hit = column.rlike(pattern)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain
+    numbers = F.lit(None).cast("string")
+    for name in reversed([n for n in PII_PATTERNS if n != "email"]):
+        numbers = F.when(column.rlike(PII_PATTERNS[name]), name).otherwise(numbers)
+    email = _may_hold_address(column) & column.rlike(PII_PATTERNS["email"])
+    return F.when(email, "email").otherwise(F.when(_may_hold_number(column), numbers))
 
 
 def name_tokens(name: str) -> str:
@@ -159,16 +168,22 @@ def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def pii_volume(df: DataFrame, column: str) -> DataFrame:
     """Occurrences per pattern, several in one text counted each."""
-    wide = df.agg(*[F.sum(F.regexp_count(column, F.lit(p))).alias(n) for n, p in PII_PATTERNS.items()])
+    worth = lambda n: _may_hold_address(F.col(column)) if n == "email" else _may_hold_number(F.col(column))
+    wide = df.agg(*[F.sum(F.when(worth(n), F.regexp_count(column, F.lit(p)))).alias(n) for n, p in PII_PATTERNS.items()])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("pattern"), F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("occurrences"))
         for n in PII_PATTERNS])))
 
 
 def masked(column: Column) -> Column:
-    for name in MASK_ORDER:
-        column = F.regexp_replace(column, PII_PATTERNS[name], f"[{name.upper()}]")
-    return column
+    """The text with every find replaced by the name of its pattern."""
+    def replaced(text: Column, names) -> Column:
+        for name in names:
+            text = F.regexp_replace(text, PII_PATTERNS[name], f"[{name.upper()}]")
+        return text
+
+    safe = F.when(_may_hold_address(column), replaced(column, MASK_ORDER[:1])).otherwise(column)
+    return F.when(_may_hold_number(column), replaced(safe, MASK_ORDER[1:])).otherwise(safe)
 
 
 def pseudonym(column: Column, salt: str = "") -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions.ordered import top_per_group, with_neighbour
+from tableward.functions.ordered import with_neighbour
 from tableward.functions.predicates import row_key
 from tableward.model import CRITICAL, INFO, WARNING, severity_name, severity_rank
 
@@ -129,24 +129,27 @@ def rule_report(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = Non
     return wide.select(F.inline(F.array(*rows)))
 
 
+SAMPLE_BUCKETS = 2  # hex digits of a hash of the row key: 256 buckets
+
+
 def rollup(found: DataFrame, by: Sequence[str] = ("rule_id",), samples: int = 5,
            base: float = 30.0) -> DataFrame:
     """Violations to one anomaly per rule or code: count, worst severity, score, sample keys.
 
-    Counts come from partial sums, samples from a top-k the planner prunes before its shuffle;
-    no group's rows are ever gathered.
+    One pass: keys fall into hash buckets, each bucket keeps its count and smallest key, and the
+    smallest of those are the samples.  The second step sees at most 256 rows a group, so no
+    group's rows are gathered, however many there are.
     """
     names = [c for c in ("failure_code",) if c not in by]
-    counted = found.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("violations"),
-        severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"),
-        *[F.max(c).alias(c) for c in names],
+    bucket = F.substring(F.md5("row_key"), 1, SAMPLE_BUCKETS) if samples else F.lit("")
+    first = found.groupBy(*by, bucket.alias("_bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(severity_rank(F.col("severity"))).alias("rank"),
+        F.min("row_key").alias("key"), *[F.max(c).alias(c) for c in names])
+    picked = [F.slice(F.array_sort(F.collect_list("key")), 1, samples).alias("sample_keys")] if samples else []
+    return first.groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in names], severity_name(F.max("rank")).alias("severity"),
+        F.sum("n").alias("violations"), *picked,
     ).withColumn("severity_score", F.least(F.lit(100.0), base + F.col("violations") * 10.0))
-    if not samples:
-        return counted
-    kept = top_per_group(found.select(*by, "row_key"), list(by), [F.col("row_key")], samples)
-    sampled = kept.groupBy(*by).agg(F.array_sort(F.collect_list("row_key")).alias("sample_keys"))
-    return counted.join(sampled, on=list(by))
 
 
 def child_sums(parents: DataFrame, parent_key: str, total: str, children: DataFrame,

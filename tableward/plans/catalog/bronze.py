@@ -181,10 +181,8 @@ SELECT event_id, value, round(abs((value - m) / s), 4) AS z_score
 FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)
 WHERE abs((value - m) / s) > 3.0""")
 def outlier_rows(t):
-    stats = B.outlier_statistics(t.events, ["value"]).select("value").scalar()
-    bad = B.outlier_predicates(t.events, ["value"])["value"]
-    return t.events.filter(bad).select(
-        "event_id", "value", F.round(F.abs((F.col("value") - stats["mean"]) / stats["std"]), 4).alias("z_score"))
+    z = B.z_score("value", B.outlier_moments(t.events, ["value"])["value"])
+    return t.events.filter(z > 3.0).select("event_id", "value", F.round(z, 4).alias("z_score"))
 
 
 @query("outlier_stats", " UNION ALL ".join(f"""

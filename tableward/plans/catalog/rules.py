@@ -80,7 +80,8 @@ def rule_report(t):
 
 
 @query("violation_rollup", f"""WITH {ORDER_LINES}, found AS ({_violations_sql(*BROKEN)}),
-ranked AS (SELECT rule_id, row_key, row_number() OVER (PARTITION BY rule_id ORDER BY row_key) AS r FROM found)
+lowest AS (SELECT rule_id, min(row_key) AS row_key FROM found GROUP BY rule_id, left(md5(row_key), 2)),
+ranked AS (SELECT rule_id, row_key, row_number() OVER (PARTITION BY rule_id ORDER BY row_key) AS r FROM lowest)
 SELECT rule_id, max(failure_code) AS failure_code, max(severity) AS severity, count(*) AS violations,
   least(100.0::DOUBLE, 30.0::DOUBLE + count(*) * 10) AS severity_score,
   (SELECT string_agg(row_key, ',' ORDER BY row_key) FROM ranked WHERE r <= 5 AND ranked.rule_id = found.rule_id) AS sample_keys
