@@ -110,31 +110,24 @@ def severity_name(rank: Column) -> Column:
     return F.when(rank == 2, CRITICAL).when(rank == 1, WARNING).otherwise(INFO)
 
 
-def as_anomalies(df: DataFrame, batch_id: str, as_of, **columns: Column) -> DataFrame:
+def _case(pick) -> str:
+    arms = " ".join(f"WHEN '{key}' THEN {pick(entry)!r}" for key, entry in LAYERS.items())
+    return f"CASE left(failure_code, 2) {arms} END"
+
+
+def as_anomalies(df: DataFrame, batch_id: str, as_of: str, **columns: Column) -> DataFrame:
     """Project findings onto the shared anomaly row.
 
-    ``df`` supplies any subset of the anomaly columns by name, ``columns`` overrides them; what
-    neither gives is null.
+    ``df`` supplies any subset of the anomaly columns by name, ``columns`` adds to or overrides
+    them; what neither gives is null.
     """
-    target = StructType.fromDDL(ANOMALY_DDL)
-    present = set(df.columns)
-    code = columns.get("failure_code", F.col("failure_code"))
-
-    def source(name):
-        if name in columns:
-            return columns[name]
-        if name == "batch_id":
-            return F.lit(batch_id)
-        if name == "detected_at":
-            return F.lit(as_of)
-        if name in present:
-            return F.col(name)
-        if name == "tier":
-            return tier_of(code)
-        if name == "layer":
-            return layer_of(code)
-        if name == "blocking":
-            return F.lit(False)
-        return F.lit(None)
-
-    return df.select(*[source(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
+    given = df.withColumns(columns) if columns else df
+    derived = {
+        "batch_id": f"'{batch_id}'", "detected_at": f"'{as_of}'", "blocking": "false",
+        "tier": _case(lambda e: e[0]), "layer": _case(lambda e: e[1]),
+    }
+    return given.selectExpr(*[
+        f"CAST({f'`{f.name}`' if f.name in given.columns else derived.get(f.name, 'NULL')} "
+        f"AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in StructType.fromDDL(ANOMALY_DDL).fields
+    ])

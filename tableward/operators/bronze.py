@@ -90,7 +90,7 @@ class RowCheck:
     score: Callable[[Column, Column, Column], Column]  # (percent, extra aggregate, count)
     extra: Column = field(default_factory=lambda: F.max(F.lit(None).cast("double")))
     tolerance: float = 0.0
-    level: Callable[[Column], Column] = S.level
+    level: Callable[[Column, Column], Column] = lambda score, n: S.level(score)
 
     @property
     def id(self) -> str:
@@ -190,13 +190,13 @@ def row_checks(df: DataFrame, spec: BatchSpec) -> list[RowCheck]:
 
 
 def _finding(name: str, code: str, field_name: str, n: Column, total: Column, pct: Column,
-             failed: Column, score: Column, level=S.level) -> Column:
+             failed: Column, score: Column, level=lambda score, n: S.level(score)) -> Column:
     return F.struct(
         F.lit(name).alias("check_name"), F.lit(code).alias("failure_code"),
         F.lit(field_name).alias("field"), n.cast("bigint").alias("affected_count"),
         total.cast("bigint").alias("total_count"), pct.cast("double").alias("affected_pct"),
         F.when(failed, score).alias("severity_score"),
-        F.when(failed, level(score)).alias("severity"), failed.alias("failed"),
+        F.when(failed, level(score, n)).alias("severity"), failed.alias("failed"),
     )
 
 
@@ -341,7 +341,7 @@ def outlier_checks(df: DataFrame, columns: Sequence[str], threshold: float = 3.0
                    min_records: int = 30) -> list[RowCheck]:
     return [
         RowCheck("outlier", "DV-004", c, bad, lambda pct, _, n: S.outlier_score(pct, n),
-                 level=S.outlier_level)
+                 level=lambda score, n: S.outlier_level(score))
         for c, bad in outlier_predicates(df, columns, threshold, min_records).items()
     ]
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tableward.functions import predicates as P
 from tableward.model import CRITICAL, INFO, WARNING
+from tableward.operators.bronze import RowCheck, profile
 
 
 @dataclass(frozen=True)
@@ -115,31 +116,37 @@ def _severity(required: bool) -> str:
     return CRITICAL if required else WARNING
 
 
-def validate_contract(df: DataFrame, contract: Contract) -> DataFrame:
-    """One finding per (code, column) with violations, from one aggregate over one scan."""
+def contract_checks(df: DataFrame, contract: Contract) -> list[RowCheck]:
+    """The contract as row checks with a severity of their own, ready to share a scan with
+    others.  One check per code and column."""
     types = dict(df.dtypes)
-    tests: list[tuple[str, str, str, Column]] = []
+
+    def check(code: str, name: str, severity: str, test: Column) -> RowCheck:
+        return RowCheck("contract", code, name, test, lambda *_: F.lit(None).cast("double"),
+                        level=lambda score, n: F.lit(severity))
+
+    checks = []
     for c in contract.columns:
         if c.name not in types:
             if c.required:
-                tests.append(("SC-001", c.name, CRITICAL, F.lit(True)))
+                checks.append(check("SC-001", c.name, CRITICAL, F.lit(True)))
             continue
         value, kind, severity = F.col(c.name), types[c.name], _severity(c.required)
-        tests.append(("SC-003", c.name, severity, wrong_type(value, kind, c.type, c.nullable)))
-        tests.append(("SC-005", c.name, severity, breaks_constraint(value, kind, c)))
+        checks.append(check("SC-003", c.name, severity, wrong_type(value, kind, c.type, c.nullable)))
+        checks.append(check("SC-005", c.name, severity, breaks_constraint(value, kind, c)))
         if c.precision is not None and c.scale is not None:
-            tests.append(("SC-004", c.name, severity, loses_precision(value, c.precision, c.scale)))
+            checks.append(check("SC-004", c.name, severity, loses_precision(value, c.precision, c.scale)))
     if not contract.additional_properties:
         declared = {c.name for c in contract.columns}
-        tests += [("SC-002", n, INFO, F.lit(True)) for n in df.columns if n not in declared]
-    wide = df.agg(*[F.count_if(test).alias(f"n{i}") for i, (*_, test) in enumerate(tests)])
-    rows = [
-        F.struct(F.lit(code).alias("failure_code"), F.lit(name).alias("column_name"),
-                 F.lit(severity).alias("severity"), F.lit(severity == CRITICAL).alias("blocking"),
-                 F.col(f"n{i}").alias("affected_count"))
-        for i, (code, name, severity, _) in enumerate(tests)
-    ]
-    return wide.select(F.inline(F.array(*rows))).filter(F.col("affected_count") > 0)
+        checks += [check("SC-002", n, INFO, F.lit(True)) for n in df.columns if n not in declared]
+    return checks
+
+
+def validate_contract(df: DataFrame, contract: Contract) -> DataFrame:
+    """One finding per (code, column) with violations, from one aggregate over one scan."""
+    return profile(df, contract_checks(df, contract)).filter("failed").select(
+        "failure_code", F.col("field").alias("column_name"), "severity",
+        (F.col("severity") == CRITICAL).alias("blocking"), "affected_count")
 
 
 def validate_open(df: DataFrame, column: str, contract: Contract) -> DataFrame:

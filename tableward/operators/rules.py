@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tableward.functions.ordered import with_neighbour
 from tableward.functions.predicates import row_key
 from tableward.model import CRITICAL, INFO, WARNING, severity_name, severity_rank
+from tableward.operators.bronze import RowCheck, profile
 
 # Rule type -> failure code used when a rule names none.
 RULE_CODES = {
@@ -204,7 +205,11 @@ AUTO_RULES = (
 )
 
 
-def auto_logic(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+def auto_severity(n: Column) -> Column:
+    return F.when(n > 50, CRITICAL).when(n > 10, WARNING).otherwise(INFO)
+
+
+def auto_checks(df: DataFrame, mapping: dict[str, str] | None = None) -> list[RowCheck]:
     """Built-in rules over the columns present; ``mapping`` renames rule fields to columns."""
     mapping = mapping or {}
     types = dict(df.dtypes)
@@ -220,19 +225,20 @@ def auto_logic(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFram
         body = rule.broken.format(**{f: reading(f) for f in rule.fields})
         return F.expr(f"({present}) AND ({body})")
 
-    wide = df.agg(F.count(F.lit(1)).alias("total"),
-                  *[F.count_if(test(r)).alias(r.name) for r in usable])
-    rows = []
-    for r in usable:
-        n = F.col(r.name)
-        rows.append(F.struct(
-            F.lit(f"auto_{r.name}").alias("rule_id"), F.lit(r.title).alias("rule_name"),
-            F.lit("BL-006").alias("failure_code"), n.alias("violations"),
-            F.col("total").alias("records"),
-            F.when(n > 50, CRITICAL).when(n > 10, WARNING).otherwise(INFO).alias("severity"),
-            F.least(F.lit(80.0), 30.0 + n * 2.0).alias("severity_score")))
-    empty = "rule_id string, rule_name string, failure_code string, violations bigint, " \
-            "records bigint, severity string, severity_score double"
-    if not rows:
-        return df.sparkSession.createDataFrame([], empty)
-    return wide.select(F.inline(F.array(*rows))).filter(F.col("violations") > 0)
+    return [
+        RowCheck("auto_logic", "BL-006", r.name, test(r), lambda pct, extra, n: F.least(F.lit(80.0), 30.0 + n * 2.0),
+                 level=lambda score, n: auto_severity(n))
+        for r in usable
+    ]
+
+
+def auto_logic(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    checks = auto_checks(df, mapping)
+    if not checks:
+        return df.sparkSession.createDataFrame(
+            [], "rule_id string, rule_name string, failure_code string, violations bigint, "
+                "records bigint, severity string, severity_score double")
+    titles = F.create_map(*[F.lit(x) for r in AUTO_RULES for x in (r.name, r.title)])
+    return profile(df, checks).filter("failed").select(
+        F.concat(F.lit("auto_"), "field").alias("rule_id"), titles[F.col("field")].alias("rule_name"), "failure_code",
+        F.col("affected_count").alias("violations"), F.col("total_count").alias("records"), "severity", "severity_score")

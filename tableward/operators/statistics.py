@@ -41,10 +41,12 @@ def numeric_baseline(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     size = F.floor(total / bins)
     number = F.least(F.floor((F.col("cum_n") - F.col("n")) / size), F.lit(bins - 1)).cast("int")
     placed = ranked.filter(total >= bins).select(number.alias("bin_no"), "v", "n", total.alias("t"))
-    return placed.groupBy("bin_no").agg(
+    edges = placed.groupBy("bin_no").agg(
         F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n"),
         F.max("t").alias("t"),
     ).select("bin_no", "low", "high", "n", (F.col("n") / F.col("t")).alias("freq"))
+    # At most ``bins`` rows: fetched, so that users of the baseline do not build it again.
+    return small_side(edges, bins)[0]
 
 
 def categorical_baseline(df: DataFrame, column: str) -> DataFrame:
@@ -57,15 +59,17 @@ def categorical_baseline(df: DataFrame, column: str) -> DataFrame:
 def assign_bins(df: DataFrame, column: str, baseline: DataFrame) -> DataFrame:
     """Counts per baseline bin: the first bin whose upper edge reaches the value, else the last.
 
-    The baseline has a fixed small number of bins, so its edges travel as one array.
+    The few edges become constants of one expression.
     """
-    edges = baseline.agg(F.array_sort(F.collect_list(F.struct("high", "bin_no"))).alias("e")).scalar()
+    edges = [(r["high"], r["bin_no"]) for r in baseline.select("high", "bin_no").collect()]
+    if not edges:
+        return df.sparkSession.createDataFrame([], "bin_no int, n bigint")
+    edges.sort()
     value = F.col(column).cast("double")
-    withedges = df.filter(value.isNotNull()).select(value.alias("v"), edges.alias("e"))
-    fit = F.filter("e", lambda x: x["high"] >= F.col("v"))
-    number = F.when(F.size(fit) > 0, F.get(fit, F.lit(0))["bin_no"]).otherwise(
-        F.element_at("e", -1)["bin_no"])
-    return withedges.groupBy(number.alias("bin_no")).agg(_ones().alias("n"))
+    number = F.lit(edges[-1][1])
+    for high, bin_no in reversed(edges):
+        number = F.when(value <= high, bin_no).otherwise(number)
+    return df.filter(value.isNotNull()).groupBy(number.alias("bin_no")).agg(_ones().alias("n"))
 
 
 def updated_baseline(baseline: DataFrame, df: DataFrame, column: str) -> DataFrame:
@@ -220,40 +224,42 @@ def drift_chi2(df: DataFrame, groups: Sequence[str], category: str, current: str
 
 
 def prediction_drift(df: DataFrame, groups: Sequence[str], value: str, current: str,
-                     psi_limit: float = 0.25, ks_limit: float = 0.2) -> DataFrame:
-    """The three metrics of a prediction column and their verdict (ML-001)."""
+                     psi_limit: float = 0.25, ks_limit: float = 0.2, psi: DataFrame | None = None) -> DataFrame:
+    """The three metrics of a prediction column and their verdict (ML-001).
+
+    ``psi`` may bring the stability index when it is already known.
+    """
+    index = psi if psi is not None else drift_psi(df, groups, value, current)
     metrics = (
-        drift_psi(df, groups, value, current)
-        .join(drift_ks(df, groups, value, current), list(groups), "full_outer")
+        index.join(drift_ks(df, groups, value, current), list(groups), "full_outer")
         .join(drift_divergence(df, groups, value, current).drop("kl"), list(groups), "full_outer")
         .fillna(0.0, ["psi", "ks", "js"])
     )
-    psi, ks = F.col("psi"), F.col("ks")
-    detected = (psi >= psi_limit) | (ks >= ks_limit)
-    severity = F.when((psi >= 0.5) | (ks >= 0.4), CRITICAL).when(
-        (psi >= 0.25) | (ks >= 0.2), WARNING).otherwise(INFO)
+    psi_, ks = F.col("psi"), F.col("ks")
+    detected = (psi_ >= psi_limit) | (ks >= ks_limit)
+    severity = F.when((psi_ >= 0.5) | (ks >= 0.4), CRITICAL).when(
+        (psi_ >= 0.25) | (ks >= 0.2), WARNING).otherwise(INFO)
     return metrics.select(*groups, "psi", "ks", "js", detected.alias("drift_detected"),
                           F.when(detected, severity).alias("severity"))
 
 
-def unpivoted(df: DataFrame, groups: Sequence[str], features: Sequence[str], current: str) -> DataFrame:
-    return df.select(*groups, current, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
+def feature_psi(df: DataFrame, groups: Sequence[str], features: Sequence[str], current: str) -> DataFrame:
+    """Stability index of every feature of every group, from one unpivoted pass."""
+    long = df.select(*groups, current, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         [*groups, current], list(features), "feature", "value")
+    return drift_psi(long, [*groups, "feature"], "value", current)
 
 
-def feature_drift(df: DataFrame, groups: Sequence[str], features: Sequence[str], current: str,
-                  limit: float = 0.25) -> DataFrame:
-    """All features of all models in one pass, rolled up per model (ML-002).
+def feature_drift(psis: DataFrame, groups: Sequence[str], total: int, limit: float = 0.25) -> DataFrame:
+    """Indices of ``total`` features rolled up per model (ML-002).
 
     The mean and maximum run over features with both periods; the ratio over all features.
     """
-    long = unpivoted(df, groups, features, current)
-    psis = drift_psi(long, [*groups, "feature"], "value", current)
     drifted = F.col("psi") >= limit
     per_model = psis.groupBy(*groups).agg(
         F.count_if(drifted).alias("drifted"), F.max("psi").alias("max_psi"), F.avg("psi").alias("avg_psi"),
         F.array_join(F.array_sort(F.collect_list(F.when(drifted, F.col("feature")))), ",").alias("affected"))
-    ratio = F.col("drifted") / len(features)
+    ratio = F.col("drifted") / total
     severity = F.when((ratio >= 0.5) | (F.col("max_psi") >= 0.5), CRITICAL).when(
         (ratio >= 0.2) | (F.col("max_psi") >= 0.25), WARNING).otherwise(INFO)
     return per_model.select(*groups, "drifted", "max_psi", "avg_psi", ratio.alias("drift_ratio"), "affected",

@@ -173,7 +173,7 @@ r AS (SELECT model_id, count(*) FILTER (WHERE psi >= 0.25) AS drifted, max(psi)
 SELECT model_id, drifted, round(max_psi, 6) AS max_psi, round(avg_psi, 6) AS avg_psi, drifted / 4.0::DOUBLE AS drift_ratio, affected,
   CASE WHEN drifted > 0 THEN CASE WHEN drifted / 4.0 >= 0.5 OR max_psi >= 0.5 THEN 'CRITICAL' ELSE 'WARNING' END END AS severity FROM r""")
 def feature_drift(t):
-    return rounded(D.feature_drift(log(t), ["model_id"], FEATURES, "cur"), "max_psi", "avg_psi")
+    return rounded(D.feature_drift(D.feature_psi(log(t), ["model_id"], FEATURES, "cur"), ["model_id"], len(FEATURES)), "max_psi", "avg_psi")
 
 
 # Model health ---------------------------------------------------------------------------------

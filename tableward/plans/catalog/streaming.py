@@ -77,7 +77,7 @@ WITH g AS (SELECT user_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER (
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS rows FROM s GROUP BY user_id, n""")
 def stream_sessions(t):
-    return SV.sessions(t.events, "ts", "user_id", "6 hours")
+    return SV.sessions(t.events, "ts", "user_id", 6 * 3600)
 
 
 @query("stream_last_arrival", "SELECT event_type, max(ts) AS last_arrival, count(*) AS arrivals FROM events GROUP BY 1")

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tableward.functions import severity as S
+from tableward.functions.ordered import small_side
 from tableward.model import CRITICAL, as_anomalies
 from tableward.operators import bronze as B
 from tableward.operators import contracts as C
@@ -52,19 +53,26 @@ class TierRun:
     blocked: bool
 
 
-def _one(column: str) -> Column:
-    return F.array(F.col(column))
+FINDING_DDL = (
+    "check_name string, failure_code string, field string, affected_count bigint, "
+    "total_count bigint, affected_pct double, severity_score double, severity string, failed boolean"
+)
 
 
-def _bronze(df: DataFrame, suite: Suite, emit) -> DataFrame:
-    findings = B.validate_batch(df, suite.bronze).filter("failed")
-    return emit(findings, affected_fields=_one("field"))
+def _one(column: str) -> Column:
+    return F.array(F.col(column))
 
 
-def _schema(df: DataFrame, suite: Suite, emit) -> DataFrame:
-    found = C.validate_contract(df, suite.contract)
-    return emit(found, check_name=F.lit("contract"), affected_fields=_one("column_name"),
-                severity_score=F.lit(None), rule_id=F.lit(suite.contract.id))
+def _counted(df: DataFrame, suite: Suite) -> list[Row]:
+    """Everything that is a count over rows, bronze, contract and built-in rules alike, from one
+    aggregate; at most one fetched row per check."""
+    checks = B.row_checks(df, suite.bronze)
+    if suite.bronze.outliers:
+        checks += B.outlier_checks(df, suite.bronze.outliers, suite.bronze.z_threshold)
+    if suite.contract:
+        checks += C.contract_checks(df, suite.contract)
+    checks += R.auto_checks(df, suite.column_mapping)
+    return B.profile(df, checks, suite.bronze.count).filter("failed").collect()
 
 
 def _business(df: DataFrame, suite: Suite, emit, as_of: Column) -> list[DataFrame]:
@@ -84,8 +92,6 @@ def _business(df: DataFrame, suite: Suite, emit, as_of: Column) -> list[DataFram
         parts.append(emit(shift.filter("severity IS NOT NULL"), check_name=F.lit("distribution"),
                           failure_code=F.lit("BL-007"), rule_id=F.lit(f"distrib-{column}"),
                           affected_fields=F.array(F.lit(column)), actual=F.col("psi")))
-    auto = R.auto_logic(df, suite.column_mapping)
-    parts.append(emit(auto, check_name=F.lit("auto_logic"), affected_count=F.col("violations")))
     return parts
 
 
@@ -119,23 +125,30 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
     def emit(findings: DataFrame, **columns) -> DataFrame:
         return as_anomalies(findings, batch_id, as_of, **columns)
 
-    parts: dict[int, list[DataFrame]] = {1: [_bronze(df, suite, emit)]}
-    blocked = False
+    rows = _counted(df, suite)
+    blocked = any(r["check_name"] == "contract" and r["severity"] == CRITICAL for r in rows)
+
+    if blocked:
+        rows = [r for r in rows if r["check_name"] != "auto_logic"]
+    counted = emit(df.sparkSession.createDataFrame(rows, FINDING_DDL), affected_fields=_one("field"),
+                   blocking=(F.col("check_name") == "contract") & (F.col("severity") == CRITICAL))
+    evaluated, parts = {1}, [counted]
     if suite.contract:
-        schema = _schema(df, suite, emit)
-        # Small by construction: one row per code and contract column.
-        rows = schema.collect()
-        schema = df.sparkSession.createDataFrame(rows, schema.schema)
-        blocked = any(r["blocking"] for r in rows)
-        parts[2] = [schema]
+        evaluated.add(2)
+    if suite.bronze.duplicates:
+        repeated = B.duplicate_finding(df, suite.bronze.duplicates).filter("failed")
+        parts.append(emit(repeated, affected_fields=_one("field")))
     if not blocked:
-        parts[3] = _business(df, suite, emit, now)
+        evaluated.add(3)
+        parts += _business(df, suite, emit, now)
         if suite.slas is not None and suite.arrivals is not None:
-            parts[4] = [_freshness(suite, emit, now)]
+            evaluated.add(4)
+            parts.append(_freshness(suite, emit, now))
     if suite.personal_data:
-        parts[6] = _ethics(df, emit)
-    anomalies = reduce(DataFrame.unionByName, [p for group in parts.values() for p in group])
-    return TierRun(anomalies, layer_table(anomalies, parts.keys()), blocked)
+        evaluated.add(6)
+        parts += _ethics(df, emit)
+    anomalies = reduce(DataFrame.unionByName, parts)
+    return TierRun(anomalies, layer_table(anomalies, evaluated), blocked)
 
 
 # Layer -> (name, penalties).
@@ -143,16 +156,15 @@ LAYERS = {1: ("bronze", "schema"), 2: ("schema", "schema"), 3: ("business", "bus
           4: ("freshness", "watcher"), 5: ("model", "model"), 6: ("ethics", "upload_ethics")}
 
 
-def layer_table(anomalies: DataFrame, evaluated: Sequence[int]) -> DataFrame:
+def layer_table(anomalies: DataFrame, evaluated: set[int]) -> DataFrame:
     """Score and count per layer; a layer that was not evaluated has none."""
     in_layer = lambda n: F.when(F.col("layer") == n, F.col("severity"))
     wide = anomalies.agg(
         *[S.layer_score(in_layer(n), p).alias(f"s{n}") for n, (_, p) in LAYERS.items()],
         *[F.count_if(F.col("layer") == n).alias(f"c{n}") for n in LAYERS])
-    ran = set(evaluated)
     return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("layer"), F.lit(name).alias("name"), F.lit(n in ran).alias("evaluated"),
-                 (F.col(f"s{n}") if n in ran else F.lit(None).cast("double")).alias("score"),
+        F.struct(F.lit(n).alias("layer"), F.lit(name).alias("name"), F.lit(n in evaluated).alias("evaluated"),
+                 (F.col(f"s{n}") if n in evaluated else F.lit(None).cast("double")).alias("score"),
                  F.col(f"c{n}").alias("anomalies"))
         for n, (name, _) in LAYERS.items()])))
 
@@ -165,8 +177,12 @@ def run_models(log: DataFrame, as_of: str, features: Sequence[str], trained: Dat
     """
     marked = log.withColumn("_current", F.col("period") == "current")
     means = M.period_means(log, "model_id", "period", ["confidence", "latency_ms", "is_error"])
-    drift = D.prediction_drift(marked, ["model_id"], "prediction", "_current")
-    feature = D.feature_drift(marked, ["model_id"], features, "_current")
+    means, _ = small_side(means)
+    psis = D.feature_psi(marked, ["model_id"], sorted({"prediction", *features}), "_current")
+    psis, _ = small_side(psis)
+    of_prediction = psis.filter("feature = 'prediction'").drop("feature")
+    drift = D.prediction_drift(marked, ["model_id"], "prediction", "_current", psi=of_prediction)
+    feature = D.feature_drift(psis.filter(F.col("feature").isin(*features)), ["model_id"], len(features))
     errors = M.error_rate(means, "model_id", "is_error")
     checks = [
         drift.select("model_id", F.lit("ML-001").alias("failure_code"), "severity"),
@@ -178,7 +194,8 @@ def run_models(log: DataFrame, as_of: str, features: Sequence[str], trained: Dat
     if trained is not None:
         stale = M.staleness(trained, "model_id", "trained_at", F.lit(as_of).cast("timestamp_ntz"))
         checks.append(stale.select("model_id", "failure_code", "severity"))
-    found = reduce(DataFrame.unionByName, checks)
+    # Used twice below; a few rows per model.
+    found, _ = small_side(reduce(DataFrame.unionByName, checks))
     raised = lambda *codes: F.bool_or(F.col("failure_code").isin(*codes) & F.col("severity").isNotNull())
     signals = found.groupBy("model_id").agg(
         raised("ML-001", "ML-002").alias("drift_detected"), raised("ML-003").alias("model_stale"),

@@ -18,21 +18,23 @@ def transition_processor(key: str, key_type: str, order: str, row_id: str, row_i
     """
     schema = f"{key} {key_type}, {row_id} {row_id_type}, {state} string, previous_state string, reason string"
 
+    columns = [key, row_id, state, "previous_state", "reason"]
+
     class Transitions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._last = handle.getValueState("last", T.StructType([T.StructField("state", T.StringType())]))
 
-        def handleInputRows(self, key_tuple, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             batch = pd.concat(list(rows)).sort_values([order, row_id])
             previous = self._last.get()[0] if self._last.exists() else None
             out = []
             for identity, current in zip(batch[row_id].tolist(), batch[state].tolist()):
                 if previous is not None and current not in allowed.get(previous, ()):
                     reason = "not_allowed" if previous in allowed else "unknown_state"
-                    out.append((key_tuple[0], identity, current, previous, reason))
+                    out.append((key[0], identity, current, previous, reason))
                 previous = current
             self._last.update((previous,))
-            yield pd.DataFrame(out, columns=[key, row_id, state, "previous_state", "reason"])
+            yield pd.DataFrame(out, columns=columns)
 
         def close(self) -> None:
             pass
@@ -66,7 +68,7 @@ def silence_processor(source: str, ts: str, warning_minutes: int, critical_minut
             self._handle = handle
             self._last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
 
-        def handleInputRows(self, key, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             newest = max(int(pdf[ts].max().timestamp() * 1000) for pdf in rows)
             known = self._last.get()[0] if self._last.exists() else None
             if known is None or newest > known:
@@ -77,9 +79,9 @@ def silence_processor(source: str, ts: str, warning_minutes: int, critical_minut
                     self._handle.registerTimer(newest + minutes * 60_000)
             yield pd.DataFrame(columns=[source, "last_arrival", "severity", "failure_code"])
 
-        def handleExpiredTimer(self, key, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             last = self._last.get()[0]
-            age = (expired.getExpiryTimeInMs() - last) / 60_000
+            age = (expiredTimerInfo.getExpiryTimeInMs() - last) / 60_000
             severity = "CRITICAL" if age >= critical_minutes else "WARNING"
             yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="ms"), severity, "FR-001")],
                                columns=[source, "last_arrival", "severity", "failure_code"])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tableward.functions.predicates import seconds_between
 from tableward.operators.bronze import BatchSpec, quarantine, validate_batch
 
 
@@ -63,11 +65,32 @@ def window_quality(df: DataFrame, ts: str, value: str, length: str, slide: str |
              *groups, "rows", "null_rate", "mean", "outlier_rate")
 
 
-def sessions(df: DataFrame, ts: str, key: str, gap: str, lateness: str | None = None) -> DataFrame:
-    """Activity sessions per key, ended by a gap."""
-    source = df.withWatermark(ts, lateness) if lateness else df
-    return source.groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("rows")).select(
-        key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "rows")
+def sessions(df: DataFrame, ts: str, key: str, gap_seconds: int) -> DataFrame:
+    """Activity sessions per key of a table: a pause of ``gap_seconds`` ends one.
+
+    Rows closer than the gap always belong together, so each key is first reduced to one row per
+    gap-long slice of time.  What is then ordered per key is bounded by the time span.
+    """
+    origin = F.lit("1970-01-01").cast("timestamp_ntz")
+    part = F.floor(seconds_between(F.col(ts).cast("timestamp_ntz"), origin) / gap_seconds)
+    slices = df.groupBy(key, part.alias("_part")).agg(
+        F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy(key).orderBy("_part")
+    pause = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds))
+    fresh = F.coalesce(F.col("_lo") >= F.lag("_hi").over(order) + pause, F.lit(True))
+    numbered = slices.withColumn("_fresh", fresh.cast("int")).withColumn(
+        "_session", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_session").agg(
+        F.min("_lo").alias("session_start"), (F.max("_hi") + pause).alias("session_end"),
+        F.sum("_n").alias("rows")).drop("_session")
+
+
+def stream_sessions(stream: DataFrame, ts: str, key: str, gap: str, lateness: str) -> DataFrame:
+    """The same on a stream; a session is final once the watermark has passed its end."""
+    return stream.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap), key).agg(
+        F.count(F.lit(1)).alias("rows")).select(
+        key, F.col("session_window.start").alias("session_start"),
+        F.col("session_window.end").alias("session_end"), "rows")
 
 
 def last_arrivals(stream: DataFrame, source: str, ts: str) -> DataFrame:
