@@ -81,7 +81,8 @@ def with_neighbour(df: DataFrame, keys: list[str], order: list[str], columns: di
 
 
 def running_totals(counts: DataFrame, groups: list[str], value: str, weights: list[str]) -> DataFrame:
-    """Inclusive running sums of ``weights`` along ``value`` within ``groups``.
+    """Running sums ``cum_*`` (inclusive) and totals ``all_*`` of ``weights`` along ``value``
+    within ``groups``.
 
     ``counts`` has one row per (groups, value).  Rows are range-partitioned by the ordering
     itself, so a group of any size spreads over many tasks; sums are taken inside each partition
@@ -99,10 +100,12 @@ def running_totals(counts: DataFrame, groups: list[str], value: str, weights: li
     shifts = totals.select(
         *groups, "_part",
         *[F.coalesce(F.sum(f"_sum_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
+        *[F.sum(f"_sum_{w}").over(W.partitionBy(*groups)).alias(f"all_{w}") for w in weights],
     )
     return local.join(shifts, on=[*groups, "_part"]).select(
         *groups, value, *weights,
         *[(F.col(f"_in_{w}") + F.col(f"_off_{w}")).alias(f"cum_{w}") for w in weights],
+        *[f"all_{w}" for w in weights],
     )
 
 

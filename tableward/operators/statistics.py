@@ -37,7 +37,7 @@ def numeric_baseline(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         .groupBy("v").agg(_ones().alias("n"))
     )
     ranked = running_totals(counts, [], "v", ["n"])
-    total = counts.agg(F.sum("n").alias("t")).scalar()
+    total = F.col("all_n")
     size = F.floor(total / bins)
     number = F.least(F.floor((F.col("cum_n") - F.col("n")) / size), F.lit(bins - 1)).cast("int")
     placed = ranked.filter(total >= bins).select(number.alias("bin_no"), "v", "n", total.alias("t"))
@@ -177,15 +177,15 @@ def drift_divergence(df: DataFrame, groups: Sequence[str], value: str, current:
 
 
 def cumulative(df: DataFrame, groups: Sequence[str], value: str, current: str) -> DataFrame:
-    """Both empirical distribution functions at every distinct value."""
+    """Both empirical distribution functions at and just below every distinct value."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         F.count_if(~F.col(current)).alias("b"), F.count_if(F.col(current)).alias("c"))
-    sizes = counts.groupBy(*groups).agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_cur"))
     steps = running_totals(counts, list(groups), value, ["b", "c"])
-    joined = _attach(steps, sizes, groups)
-    return joined.select(
-        *groups, value, (F.col("cum_b") / F.col("n_base")).alias("f_base"),
-        (F.col("cum_c") / F.col("n_cur")).alias("f_cur"))
+    share = lambda n, w: F.when(F.col(f"all_{w}") > 0, n / F.col(f"all_{w}"))
+    return steps.select(
+        *groups, value, share(F.col("cum_b"), "b").alias("f_base"), share(F.col("cum_c"), "c").alias("f_cur"),
+        share(F.col("cum_b") - F.col("b"), "b").alias("f_base_below"),
+        share(F.col("cum_c") - F.col("c"), "c").alias("f_cur_below"))
 
 
 def drift_ks(df: DataFrame, groups: Sequence[str], value: str, current: str) -> DataFrame:
@@ -199,16 +199,12 @@ def drift_wasserstein(df: DataFrame, groups: Sequence[str], value: str, current:
     """Exact first Wasserstein distance.
 
     The area between both distribution functions, written as a sum over values that needs no
-    next value: with G = |F_base - F_cur|, sum of x * (G before x - G at x).
+    next value: with G = |F_base - F_cur|, sum of x * (G below x - G at x).
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
-        F.count_if(~F.col(current)).alias("b"), F.count_if(F.col(current)).alias("c"))
-    sizes = counts.groupBy(*groups).agg(F.sum("b").alias("n_base"), F.sum("c").alias("n_cur"))
-    steps = _attach(running_totals(counts, list(groups), value, ["b", "c"]), sizes, groups)
-    at = F.abs(F.col("cum_b") / F.col("n_base") - F.col("cum_c") / F.col("n_cur"))
-    before = F.abs((F.col("cum_b") - F.col("b")) / F.col("n_base")
-                   - (F.col("cum_c") - F.col("c")) / F.col("n_cur"))
-    return steps.groupBy(*groups).agg(F.sum(F.col(value) * (before - at)).alias("wasserstein"))
+    at = F.abs(F.col("f_base") - F.col("f_cur"))
+    below = F.abs(F.col("f_base_below") - F.col("f_cur_below"))
+    return cumulative(df, groups, value, current).groupBy(*groups).agg(
+        F.sum(F.col(value) * (below - at)).alias("wasserstein"))
 
 
 def drift_chi2(df: DataFrame, groups: Sequence[str], category: str, current: str) -> DataFrame:
