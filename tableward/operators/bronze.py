@@ -17,9 +17,9 @@ from tableward.functions import predicates as P
 from tableward.functions import severity as S
 from tableward.model import CRITICAL
 
-FINDING_COLUMNS = (
-    "check_name", "failure_code", "field", "affected_count", "total_count",
-    "affected_pct", "severity_score", "severity", "failed",
+FINDING_DDL = (
+    "check_name string, failure_code string, field string, affected_count bigint, "
+    "total_count bigint, affected_pct double, severity_score double, severity string, failed boolean"
 )
 # Wider aggregates fall out of code generation.
 SLICE = 200
@@ -227,6 +227,8 @@ def _count_row(n: Column, spec: CountSpec) -> Column:
 
 def profile(df: DataFrame, checks: Sequence[RowCheck], count: CountSpec | None = None) -> DataFrame:
     """One finding per check, clean ones included, from a single fused aggregate."""
+    if not checks and not count:
+        return df.sparkSession.createDataFrame([], FINDING_DDL)
     slices = []
     for start in range(0, max(len(checks), 1), SLICE):
         part = checks[start:start + SLICE]

@@ -161,6 +161,8 @@ def named_like(columns: Sequence[str], terms: Sequence[str], loose: bool = False
 def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows per column and pattern over the whole table; only hits are shuffled."""
     columns = columns or [c for c, kind in df.dtypes if kind == "string"]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "field string, pattern string, rows bigint")
     hits = F.array(*[F.struct(F.lit(c).alias("field"), first_pattern(F.col(c)).alias("pattern")) for c in columns])
     return df.select(F.inline(hits)).filter("pattern IS NOT NULL").groupBy("field", "pattern").agg(
         F.count(F.lit(1)).alias("rows"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tableward.operators import bronze as B
 from tableward.plans.catalog.bronze import SPEC, tidy
 from tableward.plans.catalog.models import rounded
 from tableward.plans.catalog.rules import good_customers as _rules_loaded  # noqa: F401
@@ -40,7 +39,7 @@ def stream_validate(t):
     stream = Streams(t.spark, t.folder).events
     SV.validate_stream(stream, SPEC, ["event_id"], folder, f"{folder}-checkpoint",
                        prepare=lambda rows: dirty_events(type("Batch", (), {"events": rows}))).awaitTermination()
-    return tidy(t.spark.read.parquet(f"{folder}/findings").select(*B.FINDING_COLUMNS))
+    return tidy(t.spark.read.parquet(f"{folder}/findings").drop("batch_id"))
 
 
 @query("stream_state_transition", REGISTRY["rule_state_transition"].sql)

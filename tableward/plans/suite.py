@@ -53,12 +53,6 @@ class TierRun:
     blocked: bool
 
 
-FINDING_DDL = (
-    "check_name string, failure_code string, field string, affected_count bigint, "
-    "total_count bigint, affected_pct double, severity_score double, severity string, failed boolean"
-)
-
-
 def _one(column: str) -> Column:
     return F.array(F.col(column))
 
@@ -130,7 +124,7 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
 
     if blocked:
         rows = [r for r in rows if r["check_name"] != "auto_logic"]
-    counted = emit(df.sparkSession.createDataFrame(rows, FINDING_DDL), affected_fields=_one("field"),
+    counted = emit(df.sparkSession.createDataFrame(rows, B.FINDING_DDL), affected_fields=_one("field"),
                    blocking=(F.col("check_name") == "contract") & (F.col("severity") == CRITICAL))
     evaluated, parts = {1}, [counted]
     if suite.contract:
