@@ -28,7 +28,7 @@ HEADLINE = {
     "rule_report": "lineitem", "rule_state_transition": "orders", "rule_child_sum": "lineitem",
     "refint_lineitem_orders": "lineitem", "refint_cascade": "lineitem", "psi_numeric": "events",
     "drift_psi": "events", "drift_ks": "events", "feature_drift": "events",
-    "sla_status": "events", "missed_deliveries": "events", "pipeline_stalled": "lineitem",
+    "sla_status": "events", "missed_deliveries": "events", "jobrun_stalled": "lineitem",
     "pii_scan": "documents", "pii_mask": "documents", "bias_report": "documents",
     "consent_check": "lineitem", "health_score": "events", "anomaly_stats": "events",
     "timeline_groups": "events", "run_tiers": "orders", "run_models": "events",

@@ -253,13 +253,17 @@ def count_finding(df: DataFrame, spec: CountSpec) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, spec: DuplicateSpec) -> list[Column]:
+    """What rows are compared by.  Whole rows are compared by a digest of their JSON, so that 16
+    bytes a row are shuffled rather than the row."""
     types = dict(df.dtypes)
-    names = spec.keys or df.columns
     fold = not spec.case_sensitive
-    return [
-        (F.lower(F.col(c)) if fold and types[c] == "string" else F.col(c)).alias(f"_k{i}")
-        for i, c in enumerate(names)
+    values = [
+        (F.lower(F.col(c)) if fold and types[c] == "string" else F.col(c)).alias(c)
+        for c in spec.keys or df.columns
     ]
+    if not spec.keys:
+        return [F.unhex(F.md5(F.to_json(F.struct(*values)))).alias("_k0")]
+    return [v.alias(f"_k{i}") for i, v in enumerate(values)]
 
 
 def duplicate_groups(df: DataFrame, spec: DuplicateSpec) -> DataFrame:

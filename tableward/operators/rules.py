@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableward.functions.ordered import with_neighbour
-from tableward.functions.predicates import row_key
+from tableward.functions.predicates import first_identifier, row_key
 from tableward.model import CRITICAL, INFO, WARNING, severity_name, severity_rank
 from tableward.operators.bronze import RowCheck, profile
 
@@ -99,16 +99,20 @@ def active(rules: Sequence[Rule]) -> list[Rule]:
     return sorted([r for r in rules if r.enabled], key=lambda r: -r.priority)
 
 
-def check_rules(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str],
+def check_rules(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = (),
                 as_of: Column | None = None) -> DataFrame:
-    """Long violations of all active row rules, from one scan."""
+    """Long violations of all active row rules, from one scan.
+
+    Without ``keys`` a row goes by the first of its usual identifier columns that is not null.
+    """
+    identity = row_key(*keys) if keys else first_identifier(df.columns)
     hits = [
         F.when(violated(r, as_of), F.struct(
             F.lit(r.id).alias("rule_id"), F.lit(r.failure_code).alias("failure_code"),
             F.lit(r.severity).alias("severity"), F.lit(",".join(r.fields)).alias("fields")))
         for r in active(rules)
     ]
-    return df.select(row_key(*keys).alias("row_key"), F.inline(F.array_compact(F.array(*hits))))
+    return df.select(identity.alias("row_key"), F.inline(F.array_compact(F.array(*hits))))
 
 
 def rule_report(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = None) -> DataFrame:

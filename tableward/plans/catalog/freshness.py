@@ -145,44 +145,44 @@ def run_as_of():
     return F.lit(RUN_AS_OF).cast("timestamp_ntz")
 
 
-@query("pipeline_latency", f"""WITH {STAGES}{RUNS}
+@query("jobrun_latency", f"""WITH {STAGES}{RUNS}
 SELECT pipeline_id, dur AS duration_seconds, dur - {THRESHOLD} AS overage_seconds, 'FR-008' AS failure_code, CASE WHEN dur - {THRESHOLD} < {THRESHOLD} THEN 'WARNING' ELSE 'CRITICAL' END AS severity FROM timed WHERE dur > {THRESHOLD}""")
-def pipeline_latency(t):
+def jobrun_latency(t):
     return FR.latency_spikes(FR.runs(stages(t)), F.lit(THRESHOLD), run_as_of())
 
 
-@query("pipeline_e2e", f"""WITH {STAGES}
+@query("jobrun_e2e", f"""WITH {STAGES}
 SELECT pipeline_id, CAST(sum(date_diff('second', started_at, completed_at)) AS BIGINT) AS stage_seconds, max(date_diff('second', started_at, completed_at)) AS longest_stage,
   date_diff('second', min(started_at), max(completed_at)) AS span_seconds FROM stages GROUP BY 1""")
-def pipeline_e2e(t):
+def jobrun_e2e(t):
     return FR.end_to_end(stages(t))
 
 
-@query("pipeline_latency_baseline")
-def pipeline_latency_baseline(t):
+@query("jobrun_latency_baseline")
+def jobrun_latency_baseline(t):
     return FR.latency_baseline(FR.end_to_end(stages(t), ["status"]), ["status"])
 
 
-@query("pipeline_stalled", f"""WITH {STAGES},
+@query("jobrun_stalled", f"""WITH {STAGES},
 l AS (SELECT *, lead(stage) OVER w AS next_stage, lead(started_at) OVER w AS next_start FROM stages WINDOW w AS (PARTITION BY pipeline_id ORDER BY seq, p, s, x)),
 h AS (SELECT * FROM l WHERE completed_at IS NOT NULL AND next_stage IS NOT NULL AND next_start IS NULL AND date_diff('second', completed_at, TIMESTAMP '2001-09-01') > 600)
 SELECT pipeline_id, stage AS after_stage, next_stage AS stalled_stage, 'FR-004' AS failure_code, 'WARNING' AS severity FROM h
 QUALIFY row_number() OVER (PARTITION BY pipeline_id ORDER BY seq, p, s, x) = 1""")
-def pipeline_stalled(t):
+def jobrun_stalled(t):
     return FR.stalled_stages(stages(t), STAGE_ORDER, F.col("seq"), run_as_of())
 
 
-@query("pipeline_failed", f"""WITH {STAGES}
+@query("jobrun_failed", f"""WITH {STAGES}
 SELECT pipeline_id, stage, coalesce(date_diff('second', started_at, completed_at), 0) AS duration_seconds, 'FR-006' AS failure_code, 'CRITICAL' AS severity FROM stages WHERE status = 'FAILED'""")
-def pipeline_failed(t):
+def jobrun_failed(t):
     return FR.failed_stages(stages(t))
 
 
-@query("pipeline_fold", f"""WITH {STAGES},
+@query("jobrun_fold", f"""WITH {STAGES},
 ev AS (SELECT pipeline_id, stage, started_at AS ts, 'RUNNING' AS status FROM stages WHERE started_at IS NOT NULL
   UNION ALL SELECT pipeline_id, stage, completed_at, CASE WHEN status = 'FAILED' THEN 'FAILED' ELSE 'COMPLETED' END FROM stages WHERE completed_at IS NOT NULL)
 SELECT pipeline_id, stage, arg_max(status, (ts, status)) AS status, min(ts) FILTER (WHERE status = 'RUNNING') AS started_at, max(ts) FILTER (WHERE status <> 'RUNNING') AS completed_at FROM ev GROUP BY 1, 2""")
-def pipeline_fold(t):
+def jobrun_fold(t):
     ended = F.when(F.col("status") == "FAILED", "FAILED").otherwise("COMPLETED")
     events = stages(t).select("pipeline_id", "stage", F.inline(F.array(
         F.struct(F.col("started_at").alias("ts"), F.lit("RUNNING").alias("new_status")),

@@ -110,6 +110,13 @@ def test_one_value_holding_a_third_of_the_rows(spark):
     assert (row["affected_count"], row["groups"]) == (10_000, 1)
 
 
+def test_whole_rows_with_nulls_and_case(spark):
+    rows = [(1, None, "a"), (1, None, "A"), (1, "x", "a"), (1, "x", "a"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "i int, s string, t string")
+    assert B.duplicate_finding(df, B.DuplicateSpec()).first()["affected_count"] == 4
+    assert B.duplicate_finding(df, B.DuplicateSpec(case_sensitive=False)).first()["affected_count"] == 6
+
+
 def test_statistics_of_the_quarantine(spark):
     rows = [("b1", "1", ["DV-002", "DV-003"]), ("b1", "2", ["DV-002"]), ("b2", "3", ["DV-003"])]
     df = spark.createDataFrame(rows, "batch_id string, row_key string, failure_codes array<string>")

@@ -28,6 +28,12 @@ def test_null_operand_breaks_a_boolean_rule_but_not_a_calculation(orders):
     assert hits == {("discount", "O2"), ("discount", "O3")}
 
 
+def test_rows_without_keys_go_by_their_first_identifier(orders):
+    rule = R.Rule("r", "domain", "false")
+    named = orders.withColumn("id", F.when(F.col("order_id") == "O1", "X"))
+    assert [r["row_key"] for r in R.check_rules(named, [rule]).collect()] == ["X", "O2", "O3"]
+
+
 def test_report_lists_disabled_rules_and_orders_by_priority(orders):
     rules = [R.Rule("a", "domain", "total > 0"), R.Rule("b", "domain", "total > 0", enabled=False, priority=9)]
     rows = R.rule_report(orders, rules).collect()
