@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tableward.functions import predicates as P
@@ -265,22 +266,32 @@ COMPARED = ("column_type", "criticality", "additional_properties", *CONSTRAINTS)
 
 
 def align_versions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Full outer join of two versions by column, over contracts that have both."""
-    both = old.select("contract_id").distinct().join(
-        new.select("contract_id").distinct(), "contract_id", "left_semi")
+    """Columns of two versions side by side (``o``, ``n``), over contracts that have both.
 
+    Each side is read once.  Facts about a whole contract come from a window over its columns,
+    as many rows as its schema is wide: whether it accepts further columns in either version,
+    and which row may report that.
+    """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.join(both, "contract_id", "left_semi").select(
-            "contract_id", "column_name",
-            F.struct(*[F.col(c) for c in COMPARED]).alias(name))
+        return df.select("contract_id", "column_name", F.struct(*[F.col(c) for c in COMPARED]).alias(name))
 
-    return side(old, "o").join(side(new, "n"), ["contract_id", "column_name"], "full_outer")
+    joined = side(old, "o").join(side(new, "n"), ["contract_id", "column_name"], "full_outer")
+    contract = W.partitionBy("contract_id")
+    return joined.select(
+        "*", F.max(F.col("o").isNotNull()).over(contract).alias("_has_old"),
+        F.max(F.col("n").isNotNull()).over(contract).alias("_has_new"),
+        F.max("o.additional_properties").over(contract).alias("_was_open"),
+        F.max("n.additional_properties").over(contract).alias("_is_open"),
+        (F.col("column_name") == F.min("column_name").over(contract)).alias("_reports"),
+    ).filter("_has_old AND _has_new")
 
 
-def _changes(aligned: DataFrame, tests: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+def _changes(aligned: DataFrame, tests: Sequence[tuple]) -> DataFrame:
+    """``tests``: change type, condition, description, and the column when it is another one."""
     hits = [F.when(F.coalesce(test, F.lit(False)), F.struct(
-        F.lit(kind).alias("change_type"), text.alias("description"))) for kind, test, text in tests]
-    return aligned.select("contract_id", "column_name", F.inline(F.array_compact(F.array(*hits))))
+        F.lit(column[0]).alias("column_name") if column else F.col("column_name"),
+        F.lit(kind).alias("change_type"), text.alias("description"))) for kind, test, text, *column in tests]
+    return aligned.select("contract_id", F.inline(F.array_compact(F.array(*hits))))
 
 
 def contract_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -302,7 +313,7 @@ def breaking_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     raised = lambda c: both & n[c].isNotNull() & (o[c].isNull() | (n[c] > o[c]))
     lost = F.array_except(o["enum_values"], n["enum_values"])
     narrowed = "constraint_narrowed"
-    changes = _changes(align_versions(old, new), [
+    return _changes(align_versions(old, new), [
         ("removed_required_column", n.isNull() & was, F.lit("required column removed")),
         ("breaking_type_change", both & (o["column_type"] != n["column_type"]) & ~widened,
          _text("type changed from ", o["column_type"], " to ", n["column_type"])),
@@ -318,14 +329,9 @@ def breaking_changes(old: DataFrame, new: DataFrame) -> DataFrame:
          _text("enum values removed: ", F.array_join(F.array_sort(lost), ","))),
         (narrowed, both & o["nullable"] & ~n["nullable"], F.lit("nullable changed from true to false")),
         ("made_required", both & ~was & now, F.lit("changed from optional to required")),
+        ("additional_properties_disabled", F.col("_reports") & F.col("_was_open") & ~F.col("_is_open"),
+         F.lit("additionalProperties changed from true to false"), "__schema__"),
     ])
-    openness = lambda df, name: df.groupBy("contract_id").agg(
-        F.bool_or("additional_properties").alias(name))
-    closed = openness(old, "was").join(openness(new, "now"), "contract_id").filter("was AND NOT now")
-    return changes.unionByName(closed.select(
-        "contract_id", F.lit("__schema__").alias("column_name"),
-        F.lit("additional_properties_disabled").alias("change_type"),
-        F.lit("additionalProperties changed from true to false").alias("description")))
 
 
 def nonbreaking_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions import predicates as P
 from tableward.functions import severity as S
 from tableward.operators import bronze as B
 from tableward.plans.inputs import DIRTY_EVENTS, LEVEL, case_bands, dirty_events, finding_sql

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ def rows(spark, *values):
 GOOD = ("ORD-00000001", "CUST-001", 100.0, None, "PENDING", dt.datetime(2024, 1, 1))
 
 
-def test_both_layouts_give_the_same_contract(contract):
-    again = definitions.contract_from(definitions.contract_to(contract))
-    assert again == contract
+def test_both_layouts_give_the_same_contract(contract, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps(definitions.contract_to(contract)))
+    assert definitions.read_contract(str(tmp_path / "c.json")) == contract
     assert [c.type for c in contract.columns][-1] == "datetime" and not contract.columns[3].required
 
 
