@@ -84,8 +84,11 @@ LAYER_NAMES = {2: "schema", 3: "business", 4: "freshness", 5: "model", 6: "ethic
 LAYER_PENALTIES = {2: "schema", 3: "business", 4: "watcher", 5: "model", 6: "ethics"}
 
 
-def layer_scores(anomalies: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """A score per silver and gold layer; a layer without findings scores 100."""
+def layer_scores(anomalies: DataFrame, groups: Sequence[str], *more: Column) -> DataFrame:
+    """A score per silver and gold layer; a layer without findings scores 100.
+
+    ``more`` aggregates join the same pass.
+    """
     layer = layer_of(F.col("failure_code"))
     lost = []
     for number, name in LAYER_NAMES.items():
@@ -97,7 +100,7 @@ def layer_scores(anomalies: DataFrame, groups: Sequence[str]) -> DataFrame:
     critical = F.col("severity") == CRITICAL
     return anomalies.groupBy(*groups).agg(
         *lost, F.count_if(critical & layer.between(2, 4)).alias("silver_blocking"),
-        F.count_if(critical & layer.between(5, 6)).alias("gold_blocking"))
+        F.count_if(critical & layer.between(5, 6)).alias("gold_blocking"), *more)
 
 
 def tier_health(anomalies: DataFrame, scope: Sequence[str], ts: str) -> DataFrame:
@@ -119,14 +122,14 @@ def batch_results(anomalies: DataFrame, groups: Sequence[str]) -> DataFrame:
 
     The silver result is the mean of its layers, unlike silver health, which is their minimum.
     """
-    scores = layer_scores(anomalies, groups)
-    flags = anomalies.groupBy(*groups).agg(
-        (~F.bool_or(F.col("severity") == CRITICAL)).alias("passed"),
-        F.bool_or((F.col("severity") == CRITICAL) & (layer_of(F.col("failure_code")) == 2)).alias("blocked"),
+    critical = F.col("severity") == CRITICAL
+    scores = layer_scores(
+        anomalies, groups, (~F.bool_or(critical)).alias("passed"),
+        F.bool_or(critical & (layer_of(F.col("failure_code")) == 2)).alias("blocked"),
         F.count(F.lit(1)).alias("anomalies"))
     mean = (F.col("schema") + F.col("business") + F.col("freshness")) / 3.0
     lowest = F.least("schema", "business", "freshness")
-    return flags.join(scores, list(groups)).select(
+    return scores.select(
         *groups, "passed", "blocked", "anomalies", mean.alias("silver_overall"), lowest.alias("silver_health"),
         F.least("model", "ethics").alias("gold_overall"), status_label(lowest).alias("status_label"))
 
