@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, packing
+from tableward.llm import bpe, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(documents(spark, folder), "text", ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset", "tier", "step_group")
+
+
+@query("op6_kd_sharding")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes."""
+    placed = sharding.kd_shards(documents(spark, folder), "doc_id", "text", ["lang", "source"], shards=16)
+    return placed.withColumn("grown_shard", F.lit(None).cast("int"))
