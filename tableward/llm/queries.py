@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, packing, sharding
+from tableward.llm import bpe, packing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
     placed = sharding.kd_shards(documents(spark, folder), "doc_id", "text", ["lang", "source"], shards=16)
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op9_adaptive_rules")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Base measures and verdict of every document."""
+    judged = quality_rules.judge(documents(spark, folder), "text", "lang", "source", ["doc_id"])
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "level")
