@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, packing, quality_rules, sharding
+from tableward.llm import bpe, packing, quality_rules, sharding, subwords
+from tableward.llm.common import is_held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +29,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
 @query("op10_bpe_prefix")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
@@ -57,3 +62,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures and verdict of every document."""
     judged = quality_rules.judge(documents(spark, folder), "text", "lang", "source", ["doc_id"])
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "level")
+
+
+@query("op7_subword_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    docs = documents(spark, folder)
+    model = subwords.train(docs, labels(spark, folder), "doc_id", "text", "quality", 5, 0)
+    return subwords.score(docs, "text", ["doc_id"], model).select(
+        "doc_id", is_held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
