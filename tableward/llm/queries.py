@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, packing, quality_rules, sharding, subwords
+from tableward.llm import bpe, packing, quality_rules, sharding, subwords, toxicity
 from tableward.llm.common import is_held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return subwords.score(docs, "text", ["doc_id"], model).select(
         "doc_id", is_held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_noisy_channel_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = documents(spark, folder)
+    model = toxicity.char_model(docs, "text")
+    rates, base = toxicity.train(docs, labels(spark, folder), "doc_id", "text", "toxic", 3, 1, model)
+    return toxicity.score(docs, "text", ["doc_id"], model, rates, base).select(
+        "doc_id", is_held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
