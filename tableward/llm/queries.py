@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, packing, quality_rules, sharding, subwords, toxicity
+from tableward.llm import bpe, packing, quality_rules, sharding, simhash, subwords, toxicity
 from tableward.llm.common import is_held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, "text", ["doc_id"], model, rates, base).select(
         "doc_id", is_held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_simhash_trie")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    found = simhash.groups(documents(spark, folder), "doc_id", "text", width=3, budget=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
