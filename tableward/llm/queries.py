@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, packing, quality_rules, sharding, simhash, subwords, toxicity
+from tableward.llm import bpe, embedding_neighbors, packing, quality_rules, sharding, simhash, subwords, toxicity
 from tableward.llm.common import is_held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = simhash.groups(documents(spark, folder), "doc_id", "text", width=3, budget=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_projection_forest")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and groups of every embedding."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return embedding_neighbors.neighbors(vectors, "vec_id", "embedding", "label", 0.98).select(
+        "vec_id", "n_links", "component_id", "kept")
