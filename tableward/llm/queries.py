@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, embedding_neighbors, packing, quality_rules, sharding, simhash, subwords, toxicity
+from tableward.llm import bpe, chat, embedding_neighbors, language, packing, quality_rules, sharding, simhash, subwords, toxicity
 from tableward.llm.common import is_held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,42 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return embedding_neighbors.neighbors(vectors, "vec_id", "embedding", "label", 0.98).select(
         "vec_id", "n_links", "component_id", "kept")
+
+
+CHAT_SQL = """
+with turns as (
+  select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place from turns
+), speakers as (
+  select distinct conv_id, role as perspective from turns where role <> 'system'
+), messages as (
+  select p.conv_id, s.perspective, cast(p.place // 64 as bigint) as part, p.place, p.role = s.perspective as trained,
+    '<|im_start|>' || case when p.role = s.perspective then 'assistant' when p.role = 'system' then 'system'
+      else 'user name=' || p.role end || chr(10) as head, p.text as body
+  from placed p join speakers s on p.conv_id is not distinct from s.conv_id
+), offsets as (
+  select *, sum(length(head) + length(body) + 11) over w - (length(head) + length(body) + 11) + length(head) as start
+  from messages window w as (partition by conv_id, perspective, part order by place)
+)
+select conv_id, perspective, part, count(*) as n_turns, cast(sum(trained::int) as bigint) as n_trained,
+  string_agg(head || body || '<|im_end|>' || chr(10), '' order by place) as rendered,
+  coalesce(string_agg(case when trained then start || ':' || (length(body) + 10) end, ',' order by place), '') as spans
+from offsets group by conv_id, perspective, part
+"""
+
+
+@query("op1_perspective_rotation", CHAT_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation from the perspective of each of its speakers."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    made = chat.rotate(turns, "conv_id", "turn", "role", "text")
+    return made.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat(
+        s["start"].cast("string"), F.lit(":"), s["length"].cast("string"))), ","))
+
+
+@query("op5_language_fusion")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return language.identify(pages, documents(spark, folder), "page_id", "url", "html", "text", "lang")
