@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableward.session import cut_lineage
 
@@ -26,8 +27,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], work: Callable[[list[by
     A block holds whole texts, at least one.  ``setup`` runs once per task and its value is passed
     to ``work`` as a second argument.
     """
-    schema = df.select(*keep).schema
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), added])
+    fields = T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = () if setup is None else (setup(),)
@@ -36,7 +36,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], work: Callable[[list[by
                 made = work(text_bytes(part.column(0)), *extra)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
 
-    names = [*keep, *(x.strip().split()[0].strip("`") for x in added.split(","))]
+    names = fields.names
     return df.select(F.col(text).cast("string").alias("_text_in"), *keep).mapInArrow(run, fields)
 
 

@@ -26,6 +26,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tableward.llm.bpe import BYTE_LEVEL_PATTERN, byte_symbols
@@ -175,11 +176,9 @@ def pack(df: DataFrame, text: str, keep: list[str], path: str, separator: int =
     """One row per piece: ``keep``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``,
     ``offset``, ``tier`` (tokens of the window), ``step_group`` and ``ids`` (packed little-endian
     unsigned 32-bit)."""
-    schema = df.select(*keep).schema
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields),
-                        "start long, length long, doc_tokens long, sequence_id long, offset long, "
-                        "tier int, step_group long, ids binary"])
-    names = [*keep, "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
+    fields = T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(
+        "start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary").fields])
+    names = fields.names
     end = separator.to_bytes(ID_BYTES, "little")
 
     def rows(kept: dict, out: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:

@@ -240,13 +240,35 @@ def trie_join(values: DataFrame, fp: str = "fp", budget: int = 3, unit_rows: int
             .mapInArrow(lambda batches: join_units(batches, budget), "a long, b long"))
 
 
+def _components(rows: DataFrame, budget: int) -> DataFrame:
+    """(fp, component) of all fingerprints in ``rows``; a component is named by one of its own."""
+    classes = cut_lineage(rows.select("fp").distinct())
+    linked = components(trie_join(classes, "fp", budget))
+    return classes.join(linked, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"))
+
+
 def groups(df: DataFrame, key: str, text: str, width: int = 3, budget: int = 3) -> DataFrame:
     """One row per row of ``df``: ``key``, ``fp`` and ``component_id``, the least key reachable."""
-    rows = cut_lineage(fingerprints(df, text, [key], width))
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min(key).alias("_least")))
-    linked = components(trie_join(classes.select("fp"), "fp", budget))
-    named = classes.join(linked, F.col("fp") == F.col("node"), "left").select(
-        "fp", "_least", F.coalesce("component", "fp").alias("_component"))
-    least = named.groupBy("_component").agg(F.min("_least").alias("component_id"))
-    by_fp = cut_lineage(named.join(least, "_component").select("fp", "component_id"))
-    return rows.join(by_fp, "fp").select(key, "fp", "component_id")
+    rows = cut_lineage(fingerprints(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", ["_key"], width))
+    least = rows.groupBy("fp").agg(F.min("_key").alias("_least"))
+    named = cut_lineage(_components(rows, budget).join(least, "fp"))
+    by_component = named.groupBy("component").agg(F.min("_least").alias("component_id"))
+    by_fp = cut_lineage(named.join(by_component, "component").select("fp", "component_id"))
+    return rows.join(by_fp, "fp").select(F.col("_key").alias(key), "fp", "component_id")
+
+
+def keep_one(df: DataFrame, key: str, text: str, width: int = 3, budget: int = 3) -> DataFrame:
+    """The rows of ``df`` with the least key of each group, one of them where they repeat.
+
+    A group's keys alone are compared; whole rows are shuffled once, by (key, fingerprint).  A null
+    key stays only where a group has no other.
+    """
+    shell = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = cut_lineage(fingerprints(shell, "_text", ["_key"], width))
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "fp")).alias("_least"))
+    stay = cut_lineage(_components(rows, budget).join(least, "fp").groupBy("component").agg(F.min("_least").alias("_s"))
+                       .select(F.col("_s._key").alias("_stay"), F.col("_s.fp").alias("_stay_fp")))
+    whole = fingerprints(shell, "_text", ["_row", "_key"], width)
+    found = whole.join(stay, F.col("_key").eqNullSafe(F.col("_stay")) & (F.col("fp") == F.col("_stay_fp")), "left_semi")
+    return found.dropDuplicates(["_key", "fp"]).select("_row.*")
