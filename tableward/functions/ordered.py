@@ -102,7 +102,11 @@ def running_totals(counts: DataFrame, groups: list[str], value: str, weights: li
         *[F.coalesce(F.sum(f"_sum_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
         *[F.sum(f"_sum_{w}").over(W.partitionBy(*groups)).alias(f"all_{w}") for w in weights],
     )
-    return local.join(shifts, on=[*groups, "_part"]).select(
+    # A null group is a group of its own.
+    shifts = shifts.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_part").alias("_g_part"),
+                           *[c for c in shifts.columns if c not in (*groups, "_part")])
+    same = null_safe(local, shifts, [(g, f"_g_{g}") for g in groups]) if groups else F.lit(True)
+    return local.join(shifts, same & (F.col("_part") == F.col("_g_part"))).select(
         *groups, value, *weights,
         *[(F.col(f"_in_{w}") + F.col(f"_off_{w}")).alias(f"cum_{w}") for w in weights],
         *[f"all_{w}" for w in weights],
