@@ -27,17 +27,23 @@ def map_texts(df: DataFrame, text: str, keep: list[str], work: Callable[[list[by
     A block holds whole texts, at least one.  ``setup`` runs once per task and its value is passed
     to ``work`` as a second argument.
     """
-    fields = T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(added).fields])
+    fields, names = arrow_fields(df, keep, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = () if setup is None else (setup(),)
         for batch in batches:
             for part in blocks(batch, block_bytes):
                 made = work(text_bytes(part.column(0)), *extra)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=fields.names)
 
-    names = fields.names
-    return df.select(F.col(text).cast("string").alias("_text_in"), *keep).mapInArrow(run, fields)
+    return df.select(F.col(text).cast("string").alias("_text_in"), *keep).mapInArrow(run, fields).toDF(*names)
+
+
+def arrow_fields(df: DataFrame, keep: list[str], added: str) -> tuple[T.StructType, list[str]]:
+    """A schema of ``keep`` and ``added`` with names of its own, as batches are matched by name, and
+    the names to give afterwards, which may clash."""
+    fields = [*df.select(*keep).schema.fields, *T.StructType.fromDDL(added).fields]
+    return T.StructType([T.StructField(f"_{n}", f.dataType) for n, f in enumerate(fields)]), [f.name for f in fields]
 
 
 def blocks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:

@@ -26,11 +26,10 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tableward.llm.bpe import BYTE_LEVEL_PATTERN, byte_symbols
-from tableward.llm.common import blocks, text_bytes
+from tableward.llm.common import arrow_fields, blocks, text_bytes
 
 TIERS = (128, 256, 512, 1024)
 #: Tokens of a step group.
@@ -176,9 +175,8 @@ def pack(df: DataFrame, text: str, keep: list[str], path: str, separator: int =
     """One row per piece: ``keep``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``,
     ``offset``, ``tier`` (tokens of the window), ``step_group`` and ``ids`` (packed little-endian
     unsigned 32-bit)."""
-    fields = T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(
-        "start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary").fields])
-    names = fields.names
+    fields, names = arrow_fields(df, keep, "start long, length long, doc_tokens long, sequence_id long, offset long, "
+                                           "tier int, step_group long, ids binary")
     end = separator.to_bytes(ID_BYTES, "little")
 
     def rows(kept: dict, out: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -188,7 +186,7 @@ def pack(df: DataFrame, text: str, keep: list[str], path: str, separator: int =
                    pa.array([w[1] for w in which], pa.int64()), pa.array([r[3] for r in out], pa.int64()),
                    pa.array([r[4] for r in out], pa.int64()), pa.array([r[5] for r in out], pa.int32()),
                    pa.array([r[6] for r in out], pa.int64()), pa.array([r[7] for r in out], pa.binary())]
-        return pa.RecordBatch.from_arrays([*first, *numbers], names=names)
+        return pa.RecordBatch.from_arrays([*first, *numbers], names=fields.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _ids(path)
@@ -214,4 +212,4 @@ def pack(df: DataFrame, text: str, keep: list[str], path: str, separator: int =
         if packer.out:
             yield rows(kept, packer.out, types)
 
-    return df.select(F.col(text).cast("string").alias("_text_in"), *keep).mapInArrow(run, fields)
+    return df.select(F.col(text).cast("string").alias("_text_in"), *keep).mapInArrow(run, fields).toDF(*names)

@@ -30,10 +30,10 @@ MIN_GROUP = 200
 SKETCH_K = 800
 #: Measure: (expression, least distance between quartiles, multiple of it, low side too)
 MEASURES = {
-    "symbol_rate": ("n_symbols / word_chars", 0.01, 8.0, False),
-    "dup_line_rate": ("n_dup_lines / n_words", 0.01, 8.0, False),
-    "repeat_rate": ("n_repeat_words / n_words", 0.04, 8.0, False),
-    "word_length": ("word_chars / n_words", 0.5, 6.0, True),
+    "symbol_rate": ("try_divide(n_symbols, word_chars)", 0.01, 8.0, False),
+    "dup_line_rate": ("try_divide(n_dup_lines, n_words)", 0.01, 8.0, False),
+    "repeat_rate": ("try_divide(n_repeat_words, n_words)", 0.04, 8.0, False),
+    "word_length": ("try_divide(word_chars, n_words)", 0.5, 6.0, True),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -93,7 +93,9 @@ def _limits(sketches: DataFrame) -> DataFrame:
     """A struct ``limits`` of fences from the sketches' quartiles."""
     fences = []
     for m, (_, least, times, low) in MEASURES.items():
-        q = F.kll_sketch_get_quantile_double(F.col(m), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        # A sketch of nothing has no quantiles.
+        q = F.when(F.coalesce("_n", F.lit(0)) > 0, F.kll_sketch_get_quantile_double(
+            F.col(m), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         reach = F.greatest(q[2] - q[0], F.lit(least)) * times
         fences += [(q[1] + reach).alias(f"{m}_high"), *([(q[1] - reach).alias(f"{m}_low")] if low else [])]
     return sketches.withColumn("limits", F.struct(*fences)).drop(*MEASURES)
