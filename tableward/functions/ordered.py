@@ -16,68 +16,34 @@ from pyspark.sql import functions as F
 from tableward.session import cut_lineage
 
 
-def small_side(df: DataFrame, limit: int = 10_000) -> tuple[DataFrame, bool]:
-    """Pin an aggregate to broadcast when it has at most ``limit`` rows.
-
-    Fetches at most ``limit + 1`` rows.  A larger table comes back untouched, and the caller's
-    join is then planned as a shuffle join whose hot partitions adaptive execution splits.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
-
-
 def null_safe(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def hot_key_hashes(df: DataFrame, keys: list[str], share: float, min_rows: int) -> list[int]:
-    """Hashes of keys that own more than ``share`` of the rows, and more than ``min_rows``.
-
-    One pass with a frequent-items sketch that merges map-side; no shuffle by key.  A key this
-    frequent cannot escape the sketch.  Two keys with one hash only mean a needless slice.
-    """
-    found = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), 1000, 10000)").alias("top"),
-    ).first()
-    floor = max(found["n"] * share, min_rows)
-    return [entry["item"] for entry in found["top"] if entry["count"] > floor]
-
-
 def with_neighbour(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str],
-                   slice_by: Column, following: bool = False, share: float = 0.001,
-                   min_rows: int = 1_000_000) -> DataFrame:
+                   following: bool = False) -> DataFrame:
     """Add, per key, the value that ``columns`` had one row earlier (or later) in ``order``.
 
-    ``columns`` maps new names to source columns.  Rows of ordinary keys stay in one group.
-    Rows of hot keys are sliced by ``slice_by``, which must not decrease along ``order``; the row
-    at a slice's edge takes its neighbour from the nearest non-empty slice.
+    ``columns`` maps new names to source columns.  Rows are range-partitioned by key and order, so
+    a key with many rows spreads over many tasks.  The row at the edge of a part takes its
+    neighbour from the nearest part of the key: one row per key and part is handed on, and stands
+    in as a first (or last) row that is dropped again.  The checkpoint keeps the parts the same
+    for both uses.
     """
     step = F.lead if following else F.lag
     payload = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    sort = [F.col(c) for c in order]
-    hashes = hot_key_hashes(df, keys, share, min_rows)
-    if not hashes:
-        near = df.withColumn("_near", step(payload).over(W.partitionBy(*keys).orderBy(*sort)))
-        return near.select(*df.columns, *[F.col("_near")[n].alias(n) for n in columns])
-
-    hot = F.xxhash64(*keys).isin(hashes)
-    sliced = df.withColumn("_slice", F.when(hot, slice_by.cast("string")))
-    near = sliced.withColumn("_near", step(payload).over(W.partitionBy(*keys, "_slice").orderBy(*sort)))
-    pick = F.min_by if following else F.max_by
-    edges = (
-        sliced.filter(hot).groupBy(*keys, "_slice", slice_by.alias("_at"))
-        .agg(pick(payload, F.struct(*sort)).alias("_edge"))
-    )
-    edges = edges.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_edge_slice"),
-        step("_edge").over(W.partitionBy(*keys).orderBy("_at")).alias("_far"))
-    same = null_safe(near, edges, [(k, f"_k_{k}") for k in keys]) & (F.col("_slice") == F.col("_edge_slice"))
-    found = F.coalesce(F.col("_near"), F.col("_far"))
-    return near.join(edges, same, "left").select(
-        *df.columns, *[found[n].alias(n) for n in columns])
+    ranged = cut_lineage(
+        df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+        .withColumns({"_part": F.spark_partition_id(), "_own": payload, "_real": F.lit(True)}))
+    sort = F.struct(*order)
+    edges = ranged.groupBy(*keys, "_part").agg((F.min_by if following else F.max_by)("_own", sort).alias("_own"))
+    handed = edges.select(
+        *keys, "_part", step("_own").over(W.partitionBy(*keys).orderBy("_part")).alias("_own"), F.lit(False).alias("_real")
+    ).filter("_own IS NOT NULL")
+    inside = W.partitionBy(*keys, "_part").orderBy(
+        F.col("_real").desc() if following else F.col("_real").asc(), *[F.col(c) for c in order])
+    near = ranged.unionByName(handed, allowMissingColumns=True).withColumn("_near", step("_own").over(inside))
+    return near.filter("_real").select(*df.columns, *[F.col("_near")[n].alias(n) for n in columns])
 
 
 def running_totals(counts: DataFrame, groups: list[str], value: str, weights: list[str]) -> DataFrame:
@@ -113,6 +79,23 @@ def running_totals(counts: DataFrame, groups: list[str], value: str, weights: li
     )
 
 
+def exact_percentiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the least value that each share of the rows does not exceed, with ``runs`` and
+    ``mean_seconds``.
+
+    Ranks are running sums over ranges of (group, value), so a group of any size is ranked by many
+    tasks.  Null values do not count; a group of null values alone has nulls.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, groups, value, ["n"])
+    reached = lambda q: F.col("cum_n") >= F.greatest(F.ceil(F.lit(q) * F.col("all_n")), F.lit(1))
+    found = ranked.groupBy(*[F.col(g).alias(f"_p_{g}") for g in groups]).agg(
+        *[F.min(F.when(reached(q), F.col(value))).alias(n) for n, q in shares.items()])
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("runs"), F.avg(value).alias("mean_seconds"))
+    return sizes.join(found, null_safe(sizes, found, [(g, f"_p_{g}") for g in groups]), "left").select(
+        *groups, "runs", "mean_seconds", *shares)
+
+
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
     """At most ``k`` rows per group.  The planner prunes to ``k`` before the shuffle."""
     window = W.partitionBy(*groups).orderBy(*order)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tableward.functions import cron
 from tableward.functions import severity as S
-from tableward.functions.ordered import with_neighbour
+from tableward.functions.ordered import exact_percentiles, with_neighbour
 from tableward.functions.predicates import seconds_between
 from tableward.model import CRITICAL, WARNING
 
@@ -78,10 +78,12 @@ def calendar(slas: DataFrame, start: Column, end: Column) -> DataFrame:
     )
 
 
-def previous_tick(as_of: Column, years: int = 4) -> Column:
+def previous_tick(as_of: Column, years: int = 9) -> Column:
     """Last expected arrival strictly before ``as_of``; an invalid schedule counts as hourly.
 
-    Only the two latest matching days can hold it.
+    Only the two latest matching days can hold it.  No schedule that ever matches pauses longer than
+    the eight years between leap days around a century, so nine years always hold its last day;
+    a schedule that never matches (30 February) has no expected arrival.
     """
     back = F.sequence(F.to_date(as_of), F.date_sub(F.to_date(as_of), 366 * years), F.expr("interval -1 day"))
     days = F.slice(F.filter(back, _day_matches), 1, 2)
@@ -225,18 +227,16 @@ def end_to_end(stages: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
         seconds_between(F.max("completed_at"), F.min("started_at")).alias("span_seconds"))
 
 
-def latency_baseline(spans: DataFrame, groups: Sequence[str], accuracy: int = 10000) -> DataFrame:
-    return spans.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("runs"), F.avg("span_seconds").alias("mean_seconds"),
-        F.percentile_approx("span_seconds", 0.95, accuracy).alias("p95_seconds"))
+def latency_baseline(spans: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Runs, mean and exact 95th percentile (the least value that 95 % do not exceed) per group."""
+    p95 = exact_percentiles(spans, list(groups), "span_seconds", {"p95_seconds": 0.95})
+    return p95.select(*groups, "runs", "mean_seconds", "p95_seconds")
 
 
-def stalled_stages(stages: DataFrame, order: list[str], slice_by: Column, as_of: Column,
-                   idle_seconds: int = 600) -> DataFrame:
+def stalled_stages(stages: DataFrame, order: list[str], as_of: Column, idle_seconds: int = 600) -> DataFrame:
     """First stage of a run that did not start though its predecessor ended long ago (FR-004)."""
     ahead = with_neighbour(stages.withColumn("_present", F.lit(True)), ["pipeline_id"], order,
-                           {"next_stage": "stage", "_next_start": "started_at", "_next": "_present"},
-                           slice_by, following=True)
+                           {"next_stage": "stage", "_next_start": "started_at", "_next": "_present"}, following=True)
     idle = seconds_between(as_of, F.col("completed_at")) > idle_seconds
     hits = ahead.filter(F.col("completed_at").isNotNull() & F.col("_next") & F.col("_next_start").isNull() & idle)
     return hits.groupBy("pipeline_id").agg(

@@ -136,11 +136,10 @@ def batch_results(anomalies: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def recent_history(history: DataFrame, scope: Sequence[str], ts: str, score: str, as_of: Column,
                    hours: int = 168, keep: int = 100) -> DataFrame:
-    """The last ``keep`` scores per scope, at most a week back, with the step from the one before.
+    """The last ``keep`` scores per scope, ``hours`` back, with the step from the one before.
 
     The top-k is pruned before its shuffle; the window then sees at most ``keep`` rows a scope.
     """
-    hours = min(hours, 168)
     window = history.filter((F.col(ts) >= as_of - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.col(ts) <= as_of))
     kept = top_per_group(window, list(scope), [F.col(ts).desc(), F.col(score).desc()], keep)
     order = W.partitionBy(*scope).orderBy(ts, score)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableward.functions.ordered import exact_percentiles
 from tableward.model import CRITICAL, INFO, WARNING
 
 
@@ -54,11 +55,10 @@ def latency_spike(means: DataFrame, model: str, measure: str, limit_ms: float =
 
 
 def latency_percentiles(log: DataFrame, model: str, period: str, latency: str,
-                        probabilities=(0.5, 0.95, 0.99), accuracy: int = 10000) -> DataFrame:
-    """Approximate latency percentiles per model and period; sketches merge map-side."""
-    return log.groupBy(model, period).agg(
-        F.percentile_approx(latency, list(probabilities), accuracy).alias("p")
-    ).select(model, period, *[F.col("p")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(probabilities)])
+                        probabilities=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Exact latency percentiles per model and period: the least value that a share does not exceed."""
+    shares = {f"p{int(q * 100)}": q for q in probabilities}
+    return exact_percentiles(log, [model, period], latency, shares).select(model, period, *shares)
 
 
 def error_rate(means: DataFrame, model: str, measure: str) -> DataFrame:

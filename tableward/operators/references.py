@@ -39,10 +39,12 @@ def broken_references(df: DataFrame, field: str, reference: DataFrame, ref_key:
     known = reference.select(F.col(ref_key).cast("string").alias("_ref")).filter("_ref IS NOT NULL")
     rows = df.select(row_key(*keys).alias("row_key"), F.lit(field).alias("field"),
                      F.col(field).cast("string").alias("value"))
+    missing = rows.filter(F.col("value").isNotNull()).join(
+        known, F.col("value") == F.col("_ref"), "left_anti").withColumn("reason", F.lit("not_found"))
     if allow_null:
-        rows = rows.filter(F.col("value").isNotNull())
-    return rows.join(known, F.col("value") == F.col("_ref"), "left_anti").withColumn(
-        "reason", F.when(F.col("value").isNull(), "null_fk").otherwise("not_found"))
+        return missing
+    # Null keys match nothing; shuffled with the rest they would all meet in one task.
+    return missing.union(rows.filter(F.col("value").isNull()).withColumn("reason", F.lit("null_fk")))
 
 
 def orphans(df: DataFrame, parent_field: str, parents: DataFrame, parent_key: str) -> DataFrame:
@@ -106,12 +108,21 @@ def discover_foreign_keys(df: DataFrame, references: dict[str, tuple[DataFrame,
     return reduce(DataFrame.unionByName, found)
 
 
+def one_per_key(side: DataFrame, key: str) -> DataFrame:
+    """A reference side that repeats no key, so that a join repeats no row: the greatest record stays.
+
+    Use ``load_reference`` before where the order of loading decides.
+    """
+    rest = [c for c in side.columns if c != key]
+    return side.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+
+
 def lookup(df: DataFrame, field: str, reference: DataFrame, ref_key: str, active: Column,
            columns: Sequence[str]) -> DataFrame:
     """Each row with the reference columns, whether the key was found, and whether it is active."""
-    side = reference.select(
+    side = one_per_key(reference.select(
         F.col(ref_key).cast("string").alias("_ref"), *columns,
-        is_active(active).alias("_active"), F.lit(True).alias("_found"))
+        is_active(active).alias("_active"), F.lit(True).alias("_found")), "_ref")
     joined = df.join(side, F.col(field).cast("string") == F.col("_ref"), "left")
     return joined.select(
         *df.columns, *columns, F.coalesce("_found", F.lit(False)).alias("found"),
@@ -126,7 +137,8 @@ def cascade(df: DataFrame, levels: Sequence[tuple[str, DataFrame, str, Sequence[
     """
     joined, tests = df, []
     for i, (field, reference, key, carried) in enumerate(levels):
-        side = reference.select(F.col(key).alias(f"_key{i}"), *carried, F.lit(True).alias(f"_hit{i}"))
+        side = one_per_key(reference.select(F.col(key).alias(f"_key{i}"), *carried, F.lit(True).alias(f"_hit{i}")),
+                           f"_key{i}")
         joined = joined.join(side, F.col(field) == F.col(f"_key{i}"), "left")
         tests.append(F.when(F.col(f"_hit{i}").isNull(), F.lit(field)))
     return joined.select(*df.columns, F.coalesce(*tests).alias("broken_at"))

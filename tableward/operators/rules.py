@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions.ordered import with_neighbour
+from tableward.functions.ordered import null_safe, top_per_group, with_neighbour
 from tableward.functions.predicates import first_identifier, row_key
 from tableward.model import CRITICAL, INFO, WARNING, severity_name, severity_rank
 from tableward.operators.bronze import RowCheck, profile
@@ -134,42 +134,38 @@ def rule_report(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = Non
     return wide.select(F.inline(F.array(*rows)))
 
 
-SAMPLE_BUCKETS = 2  # hex digits of a hash of the row key: 256 buckets
-
-
 def rollup(found: DataFrame, by: Sequence[str] = ("rule_id",), samples: int = 5,
            base: float = 30.0) -> DataFrame:
     """Violations to one anomaly per rule or code: count, worst severity, score, sample keys.
 
-    One pass: keys fall into hash buckets, each bucket keeps its count and smallest key, and the
-    smallest of those are the samples.  The second step sees at most 256 rows a group, so no
-    group's rows are gathered, however many there are.
+    The samples are the smallest keys.  The planner prunes each task to ``samples`` rows a group
+    before they are shuffled, so no group's rows are gathered, however many there are.
     """
     names = [c for c in ("failure_code",) if c not in by]
-    bucket = F.substring(F.md5("row_key"), 1, SAMPLE_BUCKETS) if samples else F.lit("")
-    first = found.groupBy(*by, bucket.alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(severity_rank(F.col("severity"))).alias("rank"),
-        F.min("row_key").alias("key"), *[F.max(c).alias(c) for c in names])
-    picked = [F.slice(F.array_sort(F.collect_list("key")), 1, samples).alias("sample_keys")] if samples else []
-    return first.groupBy(*by).agg(
-        *[F.max(c).alias(c) for c in names], severity_name(F.max("rank")).alias("severity"),
-        F.sum("n").alias("violations"), *picked,
-    ).withColumn("severity_score", F.least(F.lit(100.0), base + F.col("violations") * 10.0))
+    counted = found.groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in names], severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"),
+        F.count(F.lit(1)).alias("violations"))
+    if samples:
+        lowest = top_per_group(found.select(*by, "row_key"), list(by), [F.col("row_key")], samples).groupBy(
+            *[F.col(b).alias(f"_b_{b}") for b in by]).agg(F.array_sort(F.collect_list("row_key")).alias("sample_keys"))
+        counted = counted.join(lowest, null_safe(counted, lowest, [(b, f"_b_{b}") for b in by])).drop(
+            *[f"_b_{b}" for b in by])
+    return counted.withColumn("severity_score", F.least(F.lit(100.0), base + F.col("violations") * 10.0))
 
 
 def child_sums(parents: DataFrame, parent_key: str, total: str, children: DataFrame,
                child_key: str, amount: Column, tolerance: float = 0.001) -> DataFrame:
-    """Parents whose total differs from the sum over their children.  Children are summed
-    before the join, so a parent with very many of them costs one row."""
+    """Parents whose total differs from the sum over their children, 0 where there are none.
+    Children are summed before the join, so a parent with very many of them costs one row."""
     sums = children.groupBy(F.col(child_key).alias(parent_key)).agg(F.sum(amount).alias("child_sum"))
-    joined = parents.join(sums, on=parent_key)
+    joined = parents.join(sums, parent_key, "left").fillna(0.0, ["child_sum"])
     return joined.filter(breaks_calculation(F.col(total), F.col("child_sum"), tolerance))
 
 
 def state_transitions(df: DataFrame, key: str, order: list[str], state: str,
-                      allowed: dict[str, Sequence[str]], slice_by: Column) -> DataFrame:
+                      allowed: dict[str, Sequence[str]]) -> DataFrame:
     """Steps between consecutive states of a key that ``allowed`` does not list."""
-    stepped = with_neighbour(df, [key], order, {"previous_state": state}, slice_by)
+    stepped = with_neighbour(df, [key], order, {"previous_state": state})
     chain = None
     for source, targets in allowed.items():
         permitted = F.col(state).isin(*targets) if targets else F.lit(False)

@@ -8,12 +8,14 @@ value before anything is ordered or joined.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions.ordered import null_safe, running_totals, small_side
+from tableward.functions.ordered import null_safe, running_totals
 from tableward.model import CRITICAL, INFO, WARNING
+from tableward.session import cut_lineage
 
 # Floor of a share in baseline comparison, and in histogram comparison.
 BASELINE_FLOOR = 1e-4
@@ -45,8 +47,8 @@ def numeric_baseline(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n"),
         F.max("t").alias("t"),
     ).select("bin_no", "low", "high", "n", (F.col("n") / F.col("t")).alias("freq"))
-    # At most ``bins`` rows: fetched, so that users of the baseline do not build it again.
-    return small_side(edges, bins)[0]
+    # Written, so that users of the baseline do not build it again.
+    return cut_lineage(edges)
 
 
 def categorical_baseline(df: DataFrame, column: str) -> DataFrame:
@@ -115,10 +117,11 @@ def null_rate_shift(baseline: DataFrame, current: DataFrame, columns: Sequence[s
 # Histograms over many groups ------------------------------------------------------------------
 
 def _attach(df: DataFrame, stats: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Join per-group statistics to rows: broadcast when few groups, else a shuffle join."""
+    """Join per-group statistics to rows; once written their size is known to the planner, which
+    broadcasts few groups and splits hot ones of many."""
     side = stats.select(*[F.col(g).alias(f"_g_{g}") for g in groups],
                         *[c for c in stats.columns if c not in groups])
-    side, _ = small_side(side)
+    side = cut_lineage(side)
     return df.join(side, null_safe(df, side, [(g, f"_g_{g}") for g in groups])).drop(
         *[f"_g_{g}" for g in groups])
 
@@ -226,11 +229,11 @@ def prediction_drift(df: DataFrame, groups: Sequence[str], value: str, current:
     ``psi`` may bring the stability index when it is already known.
     """
     index = psi if psi is not None else drift_psi(df, groups, value, current)
-    metrics = (
-        index.join(drift_ks(df, groups, value, current), list(groups), "full_outer")
-        .join(drift_divergence(df, groups, value, current).drop("kl"), list(groups), "full_outer")
-        .fillna(0.0, ["psi", "ks", "js"])
-    )
+    # Stacked and grouped, not joined: a null group is one group.
+    parts = [index.select(*groups, "psi"), drift_ks(df, groups, value, current),
+             drift_divergence(df, groups, value, current).drop("kl")]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    metrics = stacked.groupBy(*groups).agg(*[F.coalesce(F.max(m), F.lit(0.0)).alias(m) for m in ("psi", "ks", "js")])
     psi_, ks = F.col("psi"), F.col("ks")
     detected = (psi_ >= psi_limit) | (ks >= ks_limit)
     severity = F.when((psi_ >= 0.5) | (ks >= 0.4), CRITICAL).when(

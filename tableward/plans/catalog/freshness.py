@@ -158,7 +158,9 @@ def jobrun_e2e(t):
     return FR.end_to_end(stages(t))
 
 
-@query("jobrun_latency_baseline")
+@query("jobrun_latency_baseline", f"""WITH {STAGES},
+e AS (SELECT pipeline_id, status, date_diff('second', min(started_at), max(completed_at)) AS span_seconds FROM stages GROUP BY 1, 2)
+SELECT status, count(*) AS runs, avg(span_seconds) AS mean_seconds, quantile_disc(span_seconds, 0.95) AS p95_seconds FROM e GROUP BY 1""")
 def jobrun_latency_baseline(t):
     return FR.latency_baseline(FR.end_to_end(stages(t), ["status"]), ["status"])
 
@@ -169,7 +171,7 @@ h AS (SELECT * FROM l WHERE completed_at IS NOT NULL AND next_stage IS NOT NULL
 SELECT pipeline_id, stage AS after_stage, next_stage AS stalled_stage, 'FR-004' AS failure_code, 'WARNING' AS severity FROM h
 QUALIFY row_number() OVER (PARTITION BY pipeline_id ORDER BY seq, p, s, x) = 1""")
 def jobrun_stalled(t):
-    return FR.stalled_stages(stages(t), STAGE_ORDER, F.col("seq"), run_as_of())
+    return FR.stalled_stages(stages(t), STAGE_ORDER, run_as_of())
 
 
 @query("jobrun_failed", f"""WITH {STAGES}

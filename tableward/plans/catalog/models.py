@@ -217,7 +217,9 @@ def model_latency(t):
     return rounded(M.latency_spike(means(t), "model_id", "latency_ms"), "ratio", "current_ms")
 
 
-@query("model_latency_percentiles")
+@query("model_latency_percentiles", f"""WITH {PREDICTION_LOG}
+SELECT model_id, period, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99
+FROM log GROUP BY 1, 2""")
 def model_latency_percentiles(t):
     return M.latency_percentiles(log(t), "model_id", "period", "latency_ms")
 

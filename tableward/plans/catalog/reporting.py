@@ -277,7 +277,7 @@ def layer_health(t):
 
 
 @query("health_trend", f"""
-WITH h AS (SELECT event_type AS scope, ts, least(100.0::DOUBLE, value) AS score FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 168 HOUR AND ts <= TIMESTAMP '{NOW}'),
+WITH h AS (SELECT event_type AS scope, ts, least(100.0::DOUBLE, value) AS score FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 500 HOUR AND ts <= TIMESTAMP '{NOW}'),
 k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY scope ORDER BY ts DESC, score DESC) <= 100)
 SELECT scope, ts, score, round(score - lag(score) OVER w, 6) AS delta, CASE WHEN score - lag(score) OVER w > 1 THEN 'improving' WHEN score - lag(score) OVER w < -1 THEN 'degrading' ELSE 'stable' END AS trend
 FROM k WINDOW w AS (PARTITION BY scope ORDER BY ts, score)""")

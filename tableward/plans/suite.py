@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tableward.functions import severity as S
-from tableward.functions.ordered import small_side
 from tableward.model import CRITICAL, as_anomalies
 from tableward.operators import bronze as B
 from tableward.operators import contracts as C
@@ -20,6 +19,7 @@ from tableward.operators import models as M
 from tableward.operators import references as J
 from tableward.operators import rules as R
 from tableward.operators import statistics as D
+from tableward.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -171,9 +171,9 @@ def run_models(log: DataFrame, as_of: str, features: Sequence[str], trained: Dat
     """
     marked = log.withColumn("_current", F.col("period") == "current")
     means = M.period_means(log, "model_id", "period", ["confidence", "latency_ms", "is_error"])
-    means, _ = small_side(means)
+    means = cut_lineage(means)
     psis = D.feature_psi(marked, ["model_id"], sorted({"prediction", *features}), "_current")
-    psis, _ = small_side(psis)
+    psis = cut_lineage(psis)
     of_prediction = psis.filter("feature = 'prediction'").drop("feature")
     drift = D.prediction_drift(marked, ["model_id"], "prediction", "_current", psi=of_prediction)
     feature = D.feature_drift(psis.filter(F.col("feature").isin(*features)), ["model_id"], len(features))
@@ -189,7 +189,7 @@ def run_models(log: DataFrame, as_of: str, features: Sequence[str], trained: Dat
         stale = M.staleness(trained, "model_id", "trained_at", F.lit(as_of).cast("timestamp_ntz"))
         checks.append(stale.select("model_id", "failure_code", "severity"))
     # Used twice below; a few rows per model.
-    found, _ = small_side(reduce(DataFrame.unionByName, checks))
+    found = cut_lineage(reduce(DataFrame.unionByName, checks))
     raised = lambda *codes: F.bool_or(F.col("failure_code").isin(*codes) & F.col("severity").isNotNull())
     signals = found.groupBy("model_id").agg(
         raised("ML-001", "ML-002").alias("drift_detected"), raised("ML-003").alias("model_stale"),

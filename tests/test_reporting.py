@@ -59,12 +59,14 @@ def test_health_components(spark):
     assert row["overall_score"] == pytest.approx(0.25 * 40 + 0.25 * 100 + 0.2 * 100 + 0.15 * 100 + 0.15 * 94.5)
 
 
-def test_history_is_capped_at_a_week_and_a_hundred(spark):
+def test_history_reaches_as_far_as_asked(spark):
     now = dt.datetime(2024, 1, 31)
     rows = [("s", now - dt.timedelta(hours=h), float(h)) for h in range(300)] + [("t", now - dt.timedelta(hours=170), 1.0)]
     df = spark.createDataFrame(rows, "scope string, ts timestamp_ntz, score double")
     got = H.recent_history(df, ["scope"], "ts", "score", F.lit(str(now)).cast("timestamp_ntz"), hours=1000)
-    assert got.count() == 100 and got.agg(F.min("ts")).first()[0] == now - dt.timedelta(hours=99)
+    assert got.count() == 101 and got.filter("scope = 's'").agg(F.min("ts")).first()[0] == now - dt.timedelta(hours=99)
+    week = H.recent_history(df, ["scope"], "ts", "score", F.lit(str(now)).cast("timestamp_ntz"), keep=1000)
+    assert week.count() == 169
 
 
 def test_layers_without_findings_score_full(spark):

@@ -54,7 +54,7 @@ def test_transitions_over_batches_equal_the_batch_check(spark, tmp_path, rocksdb
         found.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(
             str(tmp_path / "out"), format="parquet").awaitTermination()
     got = {tuple(r) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()}
-    batch = R.state_transitions(spark.createDataFrame(rows, schema), "k", ["t", "id"], "s", allowed, F.col("t"))
+    batch = R.state_transitions(spark.createDataFrame(rows, schema), "k", ["t", "id"], "s", allowed)
     assert got == {tuple(r) for r in batch.select("k", "id", "s", "previous_state", "reason").collect()} and got
 
 
