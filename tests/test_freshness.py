@@ -64,7 +64,7 @@ def test_stalled_run_names_the_stage_that_waits(spark):
     rows = [("p", "a", 1, t, t, "COMPLETED"), ("p", "b", 2, None, None, "PENDING"), ("p", "c", 3, None, None, "PENDING"),
             ("q", "a", 1, t, NOW - dt.timedelta(minutes=5), "COMPLETED"), ("q", "b", 2, None, None, "PENDING")]
     df = spark.createDataFrame(rows, "pipeline_id string, stage string, seq int, started_at timestamp_ntz, completed_at timestamp_ntz, status string")
-    got = FR.stalled_stages(df, ["seq"], F.col("seq"), now()).collect()
+    got = FR.stalled_stages(df, ["seq"], now()).collect()
     assert [(r["pipeline_id"], r["after_stage"], r["stalled_stage"]) for r in got] == [("p", "a", "b")]
 
 
