@@ -158,12 +158,22 @@ def named_like(columns: Sequence[str], terms: Sequence[str], loose: bool = False
     return found
 
 
+def readable(df: DataFrame) -> list[str]:
+    """Columns whose values may be personal data: text, whole numbers and decimals (card and
+    telephone numbers)."""
+    return [c for c, kind in df.dtypes if kind in ("string", "int", "bigint") or kind.startswith(("decimal", "char", "varchar"))]
+
+
 def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows per column and pattern over the whole table; only hits are shuffled."""
-    columns = columns or [c for c, kind in df.dtypes if kind == "string"]
+    """Rows per column and pattern over the whole table; only hits are shuffled.
+
+    Any scalar column may be named; its text form is searched.
+    """
+    columns = columns or readable(df)
     if not columns:
         return df.sparkSession.createDataFrame([], "field string, pattern string, rows bigint")
-    hits = F.array(*[F.struct(F.lit(c).alias("field"), first_pattern(F.col(c)).alias("pattern")) for c in columns])
+    hits = F.array(*[F.struct(F.lit(c).alias("field"), first_pattern(F.col(c).cast("string")).alias("pattern"))
+                     for c in columns])
     return df.select(F.inline(hits)).filter("pattern IS NOT NULL").groupBy("field", "pattern").agg(
         F.count(F.lit(1)).alias("rows"))
 
@@ -297,12 +307,14 @@ def explainability(registry: DataFrame, minimum: float = 50.0) -> DataFrame:
 LOG_KINDS = ("prediction_logs", "input_logs", "decision_logs", "access_logs")
 
 
-def audit_trail(events: DataFrame, minimum_days: int = 365) -> DataFrame:
+def audit_trail(events: DataFrame, minimum_days: int = 365, registry: DataFrame | None = None) -> DataFrame:
     """Completeness and span of the logs of each model (ET-007), measured from audit events
-    (model_id, kind, ts)."""
+    (model_id, kind, ts).  Models of ``registry`` without any event are the worst case."""
+    if registry is not None:
+        events = events.unionByName(registry.select("model_id").distinct(), allowMissingColumns=True)
     seen = events.groupBy("model_id").agg(
-        *[F.bool_or(F.col("kind") == k).alias(k) for k in LOG_KINDS],
-        F.extract(F.lit("DAY"), F.max("ts") - F.min("ts")).cast("int").alias("retention_days"))
+        *[F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False)).alias(k) for k in LOG_KINDS],
+        F.coalesce(F.extract(F.lit("DAY"), F.max("ts") - F.min("ts")), F.lit(0)).cast("int").alias("retention_days"))
     present = F.lit(0)
     for k in LOG_KINDS:
         present = present + F.col(k).cast("int")

@@ -151,7 +151,7 @@ def sla_status_fixed(slas: DataFrame, last: DataFrame, as_of: Column, warning: i
 
 
 def arrivals_per_tick(slas: DataFrame, arrivals: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Arrivals in each interval from one expected arrival up to the next.
+    """Arrivals in each interval from one expected arrival of a deadline up to its next.
 
     Arrivals are first counted per source and minute, the resolution of a schedule; what is
     ordered afterwards is bounded by the time span, not by the number of arrivals.
@@ -159,20 +159,21 @@ def arrivals_per_tick(slas: DataFrame, arrivals: DataFrame, start: Column, end:
     ticks = calendar(slas, start, end)
     minutes = arrivals.groupBy("source", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at")).agg(
         F.count(F.lit(1)).alias("n"))
+    # Every deadline of a source sees all of the source's arrivals.
+    minutes = minutes.join(slas.filter("enabled AND valid").select("source", "sla_id"), "source")
     merged = ticks.select("source", "sla_id", F.col("tick").alias("at"), "tick", F.lit(0).cast("bigint").alias("n")).unionByName(
-        minutes.select("source", F.lit(None).cast("string").alias("sla_id"), "at",
-                       F.lit(None).cast("timestamp_ntz").alias("tick"), "n"))
-    open_ticks = W.partitionBy("source").orderBy("at", F.col("tick").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    placed = merged.select("source", F.last("tick", ignorenulls=True).over(open_ticks).alias("tick"), "n")
-    return placed.filter(F.col("tick").isNotNull()).groupBy("source", "tick").agg(F.sum("n").alias("arrivals"))
+        minutes.select("source", "sla_id", "at", F.lit(None).cast("timestamp_ntz").alias("tick"), "n"))
+    open_ticks = W.partitionBy("source", "sla_id").orderBy("at", F.col("tick").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    placed = merged.select("source", "sla_id", F.last("tick", ignorenulls=True).over(open_ticks).alias("tick"), "n")
+    return placed.filter(F.col("tick").isNotNull()).groupBy("source", "sla_id", "tick").agg(F.sum("n").alias("arrivals"))
 
 
 def missed_deliveries(per_tick: DataFrame) -> DataFrame:
     """Runs of consecutive expected arrivals that did not come; FR-005 from two in a row."""
-    order = W.partitionBy("source").orderBy("tick")
+    order = W.partitionBy("source", "sla_id").orderBy("tick")
     marked = per_tick.withColumn("_pos", F.row_number().over(order)).filter(F.col("arrivals") == 0)
     island = marked.withColumn("_run", F.col("_pos") - F.row_number().over(order))
-    return island.groupBy("source", "_run").agg(
+    return island.groupBy("source", "sla_id", "_run").agg(
         F.min("tick").alias("first_missed"), F.max("tick").alias("last_missed"),
         F.count(F.lit(1)).alias("consecutive_misses"),
     ).drop("_run").withColumn("failure_code", F.when(F.col("consecutive_misses") >= 2, "FR-005"))

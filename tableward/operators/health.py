@@ -48,10 +48,22 @@ def severity_scores(anomalies: DataFrame, groups: Sequence[str], total: Column,
         "severity", S.level(F.col("score")))
 
 
-def batch_health(anomalies: DataFrame, groups: Sequence[str], total_records: Column) -> DataFrame:
+def with_clean(anomalies: DataFrame, groups: Sequence[str], batches: DataFrame | None) -> DataFrame:
+    """Findings marked ``_real``, and a row that is not for every batch of ``batches``, so that a
+    batch without findings is a group too."""
+    marked = anomalies.withColumn("_real", F.lit(True))
+    if batches is None:
+        return marked
+    clean = batches.select(*groups).distinct().withColumn("_real", F.lit(False))
+    return marked.unionByName(clean, allowMissingColumns=True)
+
+
+def batch_health(anomalies: DataFrame, groups: Sequence[str], total_records: Column,
+                 batches: DataFrame | None = None) -> DataFrame:
     """Five component scores and their weighted mean, from one aggregate.
 
-    A penalty doubles at most, with the share of affected records.
+    A penalty doubles at most, with the share of affected records.  Of ``batches`` every one has a
+    row; without findings it scores 100.
     """
     base = F.lit(10.0)
     for name, points in PENALTY.items():
@@ -59,10 +71,10 @@ def batch_health(anomalies: DataFrame, groups: Sequence[str], total_records: Col
     scaled = (total_records > 0) & (F.col("affected_count") > 0)
     share = F.col("affected_count") / total_records
     penalty = F.when(scaled, base * F.least(F.lit(2.0), 1.0 + share)).otherwise(base)
-    component = component_of(F.col("failure_code"))
-    lost = anomalies.groupBy(*groups).agg(
+    component = F.when(F.col("_real"), component_of(F.col("failure_code")))
+    lost = with_clean(anomalies, groups, batches).groupBy(*groups).agg(
         *[F.sum(F.when(component == c, penalty)).alias(f"_{c}") for c in COMPONENTS],
-        F.count(F.lit(1)).alias("active_anomalies"))
+        F.count_if("_real").alias("active_anomalies"))
     scores = lost.select(*groups, "active_anomalies", *[
         F.greatest(F.lit(0.0), 100.0 - F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in COMPONENTS])
     overall = sum((F.col(c) * w for c, (w, _) in COMPONENTS.items()), F.lit(0.0))
@@ -84,12 +96,14 @@ LAYER_NAMES = {2: "schema", 3: "business", 4: "freshness", 5: "model", 6: "ethic
 LAYER_PENALTIES = {2: "schema", 3: "business", 4: "watcher", 5: "model", 6: "ethics"}
 
 
-def layer_scores(anomalies: DataFrame, groups: Sequence[str], *more: Column) -> DataFrame:
-    """A score per silver and gold layer; a layer without findings scores 100.
+def layer_scores(anomalies: DataFrame, groups: Sequence[str], *more: Column,
+                 batches: DataFrame | None = None) -> DataFrame:
+    """A score per silver and gold layer; a layer without findings scores 100, and so does every
+    layer of a batch of ``batches`` that has none.
 
     ``more`` aggregates join the same pass.
     """
-    layer = layer_of(F.col("failure_code"))
+    layer = F.when(F.col("_real"), layer_of(F.col("failure_code")))
     lost = []
     for number, name in LAYER_NAMES.items():
         points = dict(zip((CRITICAL, WARNING, INFO), S.PENALTIES[LAYER_PENALTIES[number]]))
@@ -98,17 +112,19 @@ def layer_scores(anomalies: DataFrame, groups: Sequence[str], *more: Column) ->
             value = F.when(F.col("severity") == severity, p).otherwise(value)
         lost.append(F.greatest(F.lit(0.0), 100.0 - F.coalesce(F.sum(F.when(layer == number, value)), F.lit(0.0))).alias(name))
     critical = F.col("severity") == CRITICAL
-    return anomalies.groupBy(*groups).agg(
+    return with_clean(anomalies, groups, batches).groupBy(*groups).agg(
         *lost, F.count_if(critical & layer.between(2, 4)).alias("silver_blocking"),
         F.count_if(critical & layer.between(5, 6)).alias("gold_blocking"), *more)
 
 
-def tier_health(anomalies: DataFrame, scope: Sequence[str], ts: str) -> DataFrame:
+def tier_health(anomalies: DataFrame, scope: Sequence[str], ts: str, batches: DataFrame | None = None) -> DataFrame:
     """Silver and gold health as the minimum of their layers, with the trend per scope.
 
+    ``batches`` (scope, ts) have a row each, with or without findings, and take part in the trend.
+
     The window runs over one row per scope and time, not over anomalies.
     """
-    scores = layer_scores(anomalies, [*scope, ts])
+    scores = layer_scores(anomalies, [*scope, ts], batches=batches)
     tiers = scores.select(
         *scope, ts, F.least("schema", "business", "freshness").alias("silver_score"), "silver_blocking",
         F.least("model", "ethics").alias("gold_score"), "gold_blocking")
@@ -117,16 +133,16 @@ def tier_health(anomalies: DataFrame, scope: Sequence[str], ts: str) -> DataFram
         trend(F.col(f"{x}_score"), F.lag(f"{x}_score").over(before)).alias(f"{x}_trend") for x in ("silver", "gold")])
 
 
-def batch_results(anomalies: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Passed without CRITICAL findings, blocked by blocking ones.
+def batch_results(anomalies: DataFrame, groups: Sequence[str], batches: DataFrame | None = None) -> DataFrame:
+    """Passed without CRITICAL findings, blocked by blocking ones; ``batches`` have a row each.
 
     The silver result is the mean of its layers, unlike silver health, which is their minimum.
     """
     critical = F.col("severity") == CRITICAL
     scores = layer_scores(
-        anomalies, groups, (~F.bool_or(critical)).alias("passed"),
-        F.bool_or(critical & (layer_of(F.col("failure_code")) == 2)).alias("blocked"),
-        F.count(F.lit(1)).alias("anomalies"))
+        anomalies, groups, (~F.coalesce(F.bool_or(critical), F.lit(False))).alias("passed"),
+        F.coalesce(F.bool_or(critical & (layer_of(F.col("failure_code")) == 2)), F.lit(False)).alias("blocked"),
+        F.count_if("_real").alias("anomalies"), batches=batches)
     mean = (F.col("schema") + F.col("business") + F.col("freshness")) / 3.0
     lowest = F.least("schema", "business", "freshness")
     return scores.select(

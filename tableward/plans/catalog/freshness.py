@@ -84,19 +84,20 @@ def sla_status_fixed(t):
 
 
 PER_TICK = """,
-placed AS (SELECT e.event_type AS source, c.tick FROM events e ASOF JOIN cal c ON e.event_type = c.source AND date_trunc('minute', e.ts) >= c.tick),
-per_tick AS (SELECT cal.source, cal.tick, count(placed.tick) AS arrivals FROM cal LEFT JOIN placed ON cal.source = placed.source AND cal.tick = placed.tick GROUP BY ALL)"""
+came AS (SELECT sla_id, date_trunc('minute', ts) AS at FROM events JOIN sla ON event_type = source),
+placed AS (SELECT e.sla_id, c.tick FROM came e ASOF JOIN cal c ON e.sla_id = c.sla_id AND e.at >= c.tick),
+per_tick AS (SELECT cal.source, cal.sla_id, cal.tick, count(placed.tick) AS arrivals FROM cal LEFT JOIN placed ON cal.sla_id = placed.sla_id AND cal.tick = placed.tick GROUP BY ALL)"""
 
 
-@query("arrivals_per_tick", f"WITH {SLA_SQL}{PER_TICK} SELECT source, tick, arrivals FROM per_tick")
+@query("arrivals_per_tick", f"WITH {SLA_SQL}{PER_TICK} SELECT source, sla_id, tick, arrivals FROM per_tick")
 def arrivals_per_tick(t):
     return FR.arrivals_per_tick(slas(t), arrivals(t), *span(t))
 
 
 @query("missed_deliveries", f"""WITH {SLA_SQL}{PER_TICK},
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY tick) AS pos FROM per_tick),
-i AS (SELECT *, pos - row_number() OVER (PARTITION BY source ORDER BY tick) AS run FROM n WHERE arrivals = 0)
-SELECT source, min(tick) AS first_missed, max(tick) AS last_missed, count(*) AS consecutive_misses, CASE WHEN count(*) >= 2 THEN 'FR-005' END AS failure_code FROM i GROUP BY source, run""")
+n AS (SELECT *, row_number() OVER (PARTITION BY sla_id ORDER BY tick) AS pos FROM per_tick),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY sla_id ORDER BY tick) AS run FROM n WHERE arrivals = 0)
+SELECT source, sla_id, min(tick) AS first_missed, max(tick) AS last_missed, count(*) AS consecutive_misses, CASE WHEN count(*) >= 2 THEN 'FR-005' END AS failure_code FROM i GROUP BY source, sla_id, run""")
 def missed_deliveries(t):
     return FR.missed_deliveries(FR.arrivals_per_tick(slas(t), arrivals(t), *span(t)))
 

@@ -48,7 +48,38 @@ def scan_json_envelope(t):
     folder = scratch_folder(t.spark, "json")
     record = F.struct("conv_id", "turn", "role")
     t.conversations.select(F.array(record).alias("records")).write.json(folder)
-    return readers.read_json_batch(t.spark, folder)
+    return readers.read_json_batch(t.spark, folder, "jsonl")
+
+
+def _documents(t, shape):
+    """Pretty-printed JSON documents of at most 500 records, one per file."""
+    folder = scratch_folder(t.spark, "json")
+    record = F.struct("conv_id", "turn", "role")
+    piles = t.conversations.groupBy(F.floor(F.col("conv_id") / 60).alias("pile")).agg(F.collect_list(record).alias("r"))
+    piles.select("pile", F.to_json(shape(F.col("r")), {"pretty": "true"}).alias("value")).write.partitionBy(
+        "pile").text(folder)
+    return readers.read_json_batch(t.spark, folder).select("conv_id", "turn", "role")
+
+
+JSON_ROWS = "SELECT conv_id, turn, role FROM conversations"
+
+
+@query("scan_json_array", JSON_ROWS)
+def scan_json_array(t):
+    return _documents(t, lambda r: r)
+
+
+@query("scan_json_data", JSON_ROWS)
+def scan_json_data(t):
+    return _documents(t, lambda r: F.struct(r.alias("data")))
+
+
+@query("scan_json_single", "SELECT max(conv_id) AS conv_id, max(turn) AS turn, min(role) AS role FROM conversations")
+def scan_json_single(t):
+    folder = scratch_folder(t.spark, "json")
+    one = t.conversations.agg(F.struct(F.max("conv_id").alias("conv_id"), F.max("turn").alias("turn"), F.min("role").alias("role")).alias("r"))
+    one.select(F.to_json("r", {"pretty": "true"}).alias("value")).write.text(folder)
+    return readers.read_json_batch(t.spark, folder).select("conv_id", "turn", "role")
 
 
 @query("history_scan", FEED + """
@@ -96,8 +127,11 @@ def quarantine_release(t):
 @query("baseline_store", "SELECT event_type AS key, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1")
 def baseline_store(t):
     folder = scratch_folder(t.spark, "baselines")
-    for name, rows in zip(("first", "second"), halves(t)):
+    first, second = halves(t)
+    sinks.save_baseline(D.categorical_baseline(second, "model_id"), folder, "first")  # replaced below
+    for name, rows in (("first", first), ("second", second)):
         sinks.save_baseline(D.categorical_baseline(rows, "model_id"), folder, name)
+    sinks.save_baseline(D.numeric_baseline(t.events, "value"), folder, "values")
     return sinks.load_baseline(t.spark, folder, "first").select("key", "n")
 
 
@@ -199,13 +233,19 @@ COMPONENT = """CASE failure_code WHEN 'DV-002' THEN 'completeness' WHEN 'DV-003'
 HEALTH = f"""
 bronze_feed AS (SELECT * FROM feed WHERE failure_code LIKE 'DV-%'),
 pen AS (SELECT batch_id, {COMPONENT} AS comp, CASE severity WHEN 'CRITICAL' THEN 30 WHEN 'WARNING' THEN 15 ELSE 5 END * CASE WHEN affected_count > 0 THEN least(2.0::DOUBLE, 1 + affected_count / 200.0::DOUBLE) ELSE 1 END / 20 AS p FROM bronze_feed),
-comp AS (SELECT batch_id, {', '.join(f"greatest(0.0::DOUBLE, 100 - coalesce(sum(p) FILTER (WHERE comp = '{c}'), 0) * 20) AS {c}" for c in H.COMPONENTS)}, count(*) AS active_anomalies FROM pen GROUP BY 1),
+subjects AS (SELECT DISTINCT 'B' || user_id AS batch_id FROM events UNION SELECT 'part-' || p_partkey FROM part),
+comp AS (SELECT batch_id, {', '.join(f"greatest(0.0::DOUBLE, 100 - coalesce(sum(p) FILTER (WHERE comp = '{c}'), 0) * 20) AS {c}" for c in H.COMPONENTS)}, count(comp) AS active_anomalies FROM subjects LEFT JOIN pen USING (batch_id) GROUP BY 1),
 health AS (SELECT *, {' + '.join(f'{c} * {w}::DOUBLE' for c, (w, _) in H.COMPONENTS.items())} AS overall_score FROM comp)"""
 
 
+def subjects(t):
+    """Batches that ran: those with findings, and one per part without any."""
+    return anomaly_feed(t).select("batch_id").union(t.part.select(F.concat(F.lit("part-"), "p_partkey"))).distinct()
+
+
 def health(t):
     bronze = anomaly_feed(t).filter("failure_code LIKE 'DV-%'")
-    return H.batch_health(bronze, ["batch_id"], F.lit(200))
+    return H.batch_health(bronze, ["batch_id"], F.lit(200), subjects(t))
 
 
 @query("health_score", FEED + f", {HEALTH} SELECT batch_id, active_anomalies, {', '.join(f'round({c}, 6) AS {c}' for c in H.COMPONENTS)}, round(overall_score, 6) AS overall_score FROM health")
@@ -241,29 +281,39 @@ def staleness_message(t):
 def _layers(group: str, source: str = "feed") -> str:
     points = {2: ("schema", 30, 10, 2), 3: ("business", 25, 10, 2), 4: ("freshness", 30, 15, 0), 5: ("model", 25, 10, 2), 6: ("ethics", 30, 12, 3)}
     scores = ", ".join(
-        f"greatest(0.0::DOUBLE, 100 - coalesce(sum(CASE severity WHEN 'CRITICAL' THEN {c} WHEN 'WARNING' THEN {w} ELSE {i} END) FILTER (WHERE {LAYER} = {k}), 0)) AS {n}"
+        f"greatest(0.0::DOUBLE, 100 - coalesce(sum(CASE severity WHEN 'CRITICAL' THEN {c} WHEN 'WARNING' THEN {w} ELSE {i} END) FILTER (WHERE {LAYER} = {k} AND failure_code IS NOT NULL), 0)) AS {n}"
         for k, (n, c, w, i) in points.items())
     return f"""layers AS (SELECT {group} {scores}, count(*) FILTER (WHERE severity = 'CRITICAL' AND {LAYER} BETWEEN 2 AND 4) AS silver_blocking,
-  count(*) FILTER (WHERE severity = 'CRITICAL' AND {LAYER} BETWEEN 5 AND 6) AS gold_blocking, bool_or(severity = 'CRITICAL') AS crit, bool_or(severity = 'CRITICAL' AND {LAYER} = 2) AS blocked, count(*) AS anomalies FROM {source} {'GROUP BY ALL' if group else ''})"""
+  count(*) FILTER (WHERE severity = 'CRITICAL' AND {LAYER} BETWEEN 5 AND 6) AS gold_blocking, bool_or(severity = 'CRITICAL') AS crit, bool_or(severity = 'CRITICAL' AND {LAYER} = 2) AS blocked, count(failure_code) AS anomalies FROM {source} {'GROUP BY ALL' if group else ''})"""
 
 
 def _trend(x: str) -> str:
     return (f"CASE WHEN {x}_score - lag({x}_score) OVER w > 1 THEN 'improving' WHEN {x}_score - lag({x}_score) OVER w < -1 THEN 'degrading' ELSE 'stable' END AS {x}_trend")
 
 
-@query("tier_health", FEED + f", {_layers('batch_id, CAST(detected_at AS DATE) AS day,')}" + f""",
+CLEAN_DAYS = """,
+fed AS (SELECT batch_id, severity, failure_code, detected_at FROM feed UNION ALL SELECT DISTINCT batch_id, NULL, NULL, TIMESTAMP '2023-12-31' FROM feed)"""
+
+
+@query("tier_health", FEED + CLEAN_DAYS + f", {_layers('batch_id, CAST(detected_at AS DATE) AS day,', 'fed')}" + f""",
 tiers AS (SELECT batch_id, day, least("schema", business, freshness) AS silver_score, silver_blocking, least(model, ethics) AS gold_score, gold_blocking FROM layers)
 SELECT *, {_trend('silver')}, {_trend('gold')} FROM tiers WINDOW w AS (PARTITION BY batch_id ORDER BY day)""")
 def tier_health(t):
-    return H.tier_health(anomaly_feed(t).withColumn("day", F.to_date("detected_at")), ["batch_id"], "day")
+    # Every batch was also checked the day before the history starts, without findings.
+    clean = anomaly_feed(t).select("batch_id", F.lit("2023-12-31").cast("date").alias("day"))
+    return H.tier_health(anomaly_feed(t).withColumn("day", F.to_date("detected_at")), ["batch_id"], "day", clean)
+
+
+CLEAN_PARTS = """,
+fed AS (SELECT batch_id, severity, failure_code FROM feed UNION ALL SELECT 'part-' || p_partkey, NULL, NULL FROM part)"""
 
 
-@query("batch_result", FEED + f", {_layers('batch_id,')}" + """
-SELECT batch_id, NOT crit AS passed, blocked, anomalies, round(("schema" + business + freshness) / 3, 6) AS silver_overall, silver_health, least(model, ethics) AS gold_overall,
+@query("batch_result", FEED + CLEAN_PARTS + f", {_layers('batch_id,', 'fed')}" + """
+SELECT batch_id, NOT coalesce(crit, false) AS passed, coalesce(blocked, false) AS blocked, anomalies, round(("schema" + business + freshness) / 3, 6) AS silver_overall, silver_health, least(model, ethics) AS gold_overall,
   CASE WHEN silver_health >= 90 THEN 'Excellent' WHEN silver_health >= 70 THEN 'Good' WHEN silver_health >= 50 THEN 'Fair' WHEN silver_health >= 30 THEN 'Poor' ELSE 'Critical' END AS status_label
 FROM (SELECT *, least("schema", business, freshness) AS silver_health FROM layers)""")
 def batch_result(t):
-    return rounded(H.batch_results(anomaly_feed(t), ["batch_id"]), "silver_overall")
+    return rounded(H.batch_results(anomaly_feed(t), ["batch_id"], subjects(t)), "silver_overall")
 
 
 @query("layer_health", FEED + f", {_layers('')}, l AS (SELECT * FROM layers)" + f""",

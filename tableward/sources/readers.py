@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with every value a string and empty text null."""
-    return spark.read.csv(path, header=True, inferSchema=False, nullValue="", multiLine=False)
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV with every value a string and empty text null.
+
+    ``multi_line`` allows quoted line breaks; such a file is read by one task.
+    """
+    return spark.read.csv(path, header=True, inferSchema=False, nullValue="", multiLine=multi_line)
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -25,13 +28,16 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str |
     return spark.read.csv(path, header=True, schema=schema, columnNameOfCorruptRecord="_corrupt_record")
 
 
-def read_json_batch(spark: SparkSession, path: str, multi_line: bool = False,
+def read_json_batch(spark: SparkSession, path: str, form: str = "json",
                     schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON records: bare objects, an array of them, or an object holding ``records`` or ``data``.
+    """JSON records: bare objects, arrays of them, or objects holding ``records`` or ``data``.
 
-    ``multi_line`` reads whole files as one document; line-delimited files split across tasks.
+    ``json``: every file is one document, laid out in any way.  ``jsonl``: every line is one; such
+    files split across tasks.
     """
-    reader = spark.read.option("multiLine", multi_line)
+    if form not in ("json", "jsonl"):
+        raise ValueError(f"json or jsonl, not {form}")
+    reader = spark.read.option("multiLine", form == "json")
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path)
@@ -45,7 +51,7 @@ def read_reference(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Reference records from CSV, JSON or JSON lines."""
     if kind == "csv":
         return read_csv_text(spark, path)
-    return read_json_batch(spark, path, multi_line=kind == "json")
+    return read_json_batch(spark, path, kind)
 
 
 def read_history(spark: SparkSession, path: str, since: str | None = None, until: str | None = None,
@@ -64,6 +70,15 @@ def read_history(spark: SparkSession, path: str, since: str | None = None, until
 
 
 def read_audit(spark: SparkSession, path: str, schema: str, kinds: Sequence[str] = ()) -> DataFrame:
-    """Day-partitioned JSON lines; unreadable lines are skipped."""
+    """Day-partitioned JSON lines; unreadable lines are left to ``unreadable_audit``."""
     df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return df.filter(F.col("event_type").isin(*kinds)) if kinds else df
+
+
+def unreadable_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines that ``read_audit`` leaves out, per file: (file, lines)."""
+    whole = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    # The marker alone cannot be asked of a JSON scan: read with the columns around it.
+    marked = whole.select(F.input_file_name().alias("file"), F.struct(*whole.columns).alias("_all"))
+    return marked.filter(F.col("_all._corrupt_record").isNotNull()).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))

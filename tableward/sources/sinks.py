@@ -45,11 +45,14 @@ def still_held(spark: SparkSession, path: str, released_path: str) -> DataFrame:
 
 
 def save_baseline(df: DataFrame, path: str, name: str) -> None:
-    df.withColumn("baseline", F.lit(name)).write.partitionBy("baseline").mode("append").parquet(path)
+    """Keep a baseline under a name; one that is there under this name is replaced, others stay."""
+    df.withColumn("baseline", F.lit(name)).write.partitionBy("baseline").option(
+        "partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def load_baseline(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("baseline") == name).drop("baseline")
+    """A baseline by name.  Numeric and categorical ones may share a store: each keeps its columns."""
+    return spark.read.option("basePath", path).parquet(f"{path}/baseline={name}").drop("baseline")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

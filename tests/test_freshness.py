@@ -75,3 +75,17 @@ def test_dependency_gate(spark):
     got = {r["source"]: (r["can_proceed"], r["blocked_by"], r["late"]) for r in FR.dependency_gate(df, ["seq"]).collect()}
     assert got == {"s": (False, "d2", 3), "t": (True, None, 0)}
     assert FR.dependency_score(df).first()["score"] == 50.0
+
+
+def test_two_deadlines_of_one_source_do_not_share_arrivals(spark):
+    slas = FR.sla_table(spark, [FR.Sla("hourly", "s", "0 * * * *"), FR.Sla("daily", "s", "0 0 * * *")])
+    at = lambda h: F.lit(f"2024-01-01 {h:02d}:00:00").cast("timestamp_ntz")
+    arrivals = spark.createDataFrame([("s", dt.datetime(2024, 1, 1, h, 5)) for h in (0, 2)], "source string, ts timestamp_ntz")
+    got = {(r["sla_id"], r["tick"].hour): r["arrivals"] for r in FR.arrivals_per_tick(slas, arrivals, at(0), at(3)).collect()}
+    assert got == {("hourly", 0): 1, ("hourly", 1): 0, ("hourly", 2): 1, ("hourly", 3): 0, ("daily", 0): 2}
+
+
+def test_leap_days_around_a_century(spark):
+    slas = FR.sla_table(spark, [FR.Sla("leap", "s", "0 0 29 2 *")])
+    as_of = F.lit("2104-02-01 00:00:00").cast("timestamp_ntz")
+    assert slas.select(FR.previous_tick(as_of).alias("t")).first()["t"] == dt.datetime(2096, 2, 29)

@@ -23,7 +23,7 @@ def test_json_envelopes(spark, tmp_path):
     for name, content in {"array": records, "records": {"records": records}, "data": {"data": records}, "single": {"a": 1}}.items():
         path = tmp_path / f"{name}.json"
         path.write_text(json.dumps(content))
-        rows = readers.read_json_batch(spark, str(path), multi_line=True).collect()
+        rows = readers.read_json_batch(spark, str(path)).collect()
         assert [r["a"] for r in rows] == ([1] if name == "single" else [1, 2])
     lines = tmp_path / "ref.jsonl"
     lines.write_text("\n".join(map(json.dumps, records)))
@@ -57,3 +57,25 @@ def test_baselines_by_name(spark, tmp_path):
     for name, n in (("a", 1), ("b", 2)):
         sinks.save_baseline(spark.range(n), str(tmp_path / "b"), name)
     assert sinks.load_baseline(spark, str(tmp_path / "b"), "b").count() == 2
+
+
+def test_saved_baselines_are_replaced(spark, tmp_path):
+    from tableward.sources import sinks
+
+    folder = str(tmp_path / "b")
+    for n in (1, 2):
+        sinks.save_baseline(spark.createDataFrame([("k", n)], "key string, n int"), folder, "one")
+    sinks.save_baseline(spark.createDataFrame([(0, 1.0)], "bin_no int, low double"), folder, "two")
+    assert [tuple(r) for r in sinks.load_baseline(spark, folder, "one").collect()] == [("k", 2)]
+    assert sinks.load_baseline(spark, folder, "two").columns == ["bin_no", "low"]
+
+
+def test_unreadable_audit_lines_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"event_type": "x"}\nnot json\n{"event_type": "y"}\n')
+    assert readers.read_audit(spark, str(tmp_path), "event_type string").count() == 2
+    assert [r["lines"] for r in readers.unreadable_audit(spark, str(tmp_path), "event_type string").collect()] == [1]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert [tuple(r) for r in readers.read_csv_text(spark, str(tmp_path), multi_line=True).collect()] == [("1", "x\ny"), ("2", "z")]
