@@ -253,6 +253,10 @@ def protected_imbalance(df: DataFrame, loose: bool = False, limit: float = 0.05)
         F.lit("ET-001").alias("failure_code"), F.lit(WARNING).alias("severity"))
 
 
+def age_columns(df: DataFrame, loose: bool = False) -> list[str]:
+    return list(named_like(df.columns, ("age",), loose))
+
+
 def minors(df: DataFrame, age: str) -> DataFrame:
     """Rows of people under 18 (ET-005)."""
     value = F.col(age).try_cast("double")

@@ -179,6 +179,15 @@ def missed_deliveries(per_tick: DataFrame) -> DataFrame:
     ).drop("_run").withColumn("failure_code", F.when(F.col("consecutive_misses") >= 2, "FR-005"))
 
 
+def open_misses(slas: DataFrame, last: DataFrame, as_of: Column) -> DataFrame:
+    """Expected arrivals since the last one that came (FR-005 from two), per deadline."""
+    open_slas = slas.filter("enabled AND valid").join(last.select("source", "last_arrival"), "source")
+    due = calendar(open_slas, F.col("last_arrival"), as_of).join(last.select("source", "last_arrival"), "source")
+    return due.filter(F.col("tick") > F.col("last_arrival")).groupBy("source", "sla_id").agg(
+        F.count(F.lit(1)).alias("consecutive_misses")).filter("consecutive_misses >= 2").withColumns(
+        {"failure_code": F.lit("FR-005"), "severity": F.lit(CRITICAL)})
+
+
 def arrival_volume(slas: DataFrame, batches: DataFrame) -> DataFrame:
     """Records per arrived batch against the expected count of its source."""
     wanted = slas.filter("expected_count IS NOT NULL").select("source", "expected_count")

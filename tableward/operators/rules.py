@@ -6,9 +6,11 @@ scan: an array of violation structs per row, nulls removed, then exploded.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,12 @@ RULE_CODES = {
 class Rule:
     """One rule; which fields matter depends on ``kind``.
 
-    crossfield, domain: ``expression`` must hold.  calculation: ``field`` must equal
-    ``expression`` within ``tolerance``.  temporal: ``check`` is ``no_future`` or ``sequence``
-    over ``fields``.
+    crossfield, domain: ``expression`` must hold.  calculation: the first of ``fields`` must equal
+    ``expression`` within ``tolerance``, or without fields both sides of an equation ``a == b``.
+    temporal: ``check`` is ``no_future`` (or ``not_future``) or ``sequence`` over ``fields``.
+    state_transition: the field holds one of ``allowed``, or per ``entity`` in ``order`` its steps
+    are those of ``transitions``.  referential, orphan: the field is in the set ``reference``.
+    distribution: the field follows its stored baseline.
     """
 
     id: str
@@ -46,6 +51,17 @@ class Rule:
     check: str = ""
     enabled: bool = True
     priority: int = 0
+    reference: str = ""
+    allowed: tuple[str, ...] = ()
+    transitions: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    entity: str = ""
+    order: tuple[str, ...] = ()
+
+    @property
+    def of_rows(self) -> bool:
+        """Whether a row alone decides."""
+        return self.kind in ("crossfield", "domain", "calculation", "temporal") or (
+            self.kind == "state_transition" and not self.transitions)
 
     @property
     def failure_code(self) -> str:
@@ -80,8 +96,16 @@ def violated(rule: Rule, as_of: Column | None = None) -> Column:
     if rule.kind in ("crossfield", "domain"):
         broken = ~F.coalesce(F.expr(rule.expression), F.lit(False))
     elif rule.kind == "calculation":
-        broken = breaks_calculation(F.col(rule.fields[0]), F.expr(rule.expression), rule.tolerance)
-    elif rule.kind == "temporal" and rule.check == "no_future":
+        sides = [f"`{rule.fields[0]}`", rule.expression] if rule.fields else rule.expression.split("==")
+        if len(sides) != 2:
+            raise ValueError(f"rule {rule.id}: a calculation names a field or is an equation")
+        left, right = (F.expr(nested_sums(s)) for s in sides)
+        broken = breaks_calculation(left, right, rule.tolerance)
+    elif rule.kind == "state_transition" and not rule.transitions:
+        if not (rule.fields and rule.allowed):
+            raise ValueError(f"rule {rule.id}: no field, or neither transitions nor allowed values")
+        broken = F.coalesce(~F.col(rule.fields[0]).isin(*rule.allowed), F.lit(False))
+    elif rule.kind == "temporal" and rule.check in ("no_future", "not_future"):
         broken = F.lit(False)
         for name in rule.fields:
             broken = broken | F.coalesce(F.col(name) > as_of, F.lit(False))
@@ -94,6 +118,39 @@ def violated(rule: Rule, as_of: Column | None = None) -> Column:
     return broken
 
 
+def nested_sums(expression: str) -> str:
+    """``sum(items.amount)`` over the elements of an array column of the row."""
+    return re.sub(r"\bsum\(\s*(\w+(?:\.\w+)+)\s*\)", r"aggregate(\1, 0D, (a, x) -> a + coalesce(x, 0))", expression)
+
+
+def resolve_rules(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = None,
+                  sets: Sequence[str] = (), baselines: Sequence[str] = ()) -> tuple[list[Rule], list[tuple[str, str]]]:
+    """Active rules that the table's columns and the given sets can answer, and the others with the
+    reason.  Only plans are analysed; no job runs."""
+    fit, skipped = [], []
+    for r in active(rules):
+        missing = [c for c in (*r.fields, *([r.entity] if r.entity else []), *r.order) if c not in df.columns]
+        reason = f"no column {', '.join(missing)}" if missing else ""
+        if not reason and r.kind in ("referential", "orphan") and r.reference not in sets:
+            reason = f"no reference set {r.reference or '(unnamed)'}"
+        elif not reason and r.kind == "distribution" and not set(r.fields) & set(baselines):
+            reason = "no baseline"
+        elif not reason and r.kind == "state_transition" and r.transitions and not (r.entity and r.order and r.fields):
+            reason = "transitions need a field, an entity and an order"
+        elif not reason and r.of_rows:
+            try:
+                df.select(violated(r, as_of))
+            except (AnalysisException, ParseException, ValueError) as e:
+                reason = str(e).splitlines()[0][:200]
+        elif not reason and r.kind not in RULE_CODES:
+            reason = f"unknown kind {r.kind}"
+        if reason:
+            skipped.append((r.id, reason))
+        else:
+            fit.append(r)
+    return fit, skipped
+
+
 def active(rules: Sequence[Rule]) -> list[Rule]:
     """Enabled rules, highest priority first."""
     return sorted([r for r in rules if r.enabled], key=lambda r: -r.priority)

@@ -61,6 +61,9 @@ found AS (SELECT * FROM bronze
   UNION ALL SELECT 3, 'BL-006', 'rule', 'INFO', count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F') HAVING count(*) > 0
   UNION ALL SELECT 3, 'BL-001', 'rule', 'WARNING', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice <= 50000 HAVING count(*) > 0
   UNION ALL SELECT 3, 'BL-002', 'reference', 'CRITICAL', count(*) FROM orders WHERE o_custkey NOT IN {GOOD} HAVING count(*) > 0
+  UNION ALL SELECT 4, 'FR-002', 'freshness', 'CRITICAL', -1 FROM orders HAVING count(*) > 0
+  UNION ALL SELECT 4, 'FR-005', 'freshness', 'CRITICAL', -1 FROM (SELECT unnest(generate_series(TIMESTAMP '1990-01-01 06:00:00', TIMESTAMP '{AS_OF}', INTERVAL 1 DAY)) AS tick)
+    WHERE tick > (SELECT max(o_orderdate) FROM orders) HAVING count(*) >= 2
   UNION ALL SELECT 4, 'FR-001', 'freshness', CASE WHEN m >= 3000 THEN 'CRITICAL' ELSE 'WARNING' END, -1 FROM (SELECT date_diff('second', max(o_orderdate), TIMESTAMP '{AS_OF}') / 60.0 AS m FROM orders) WHERE m >= 60)
 SELECT * FROM found""")
 def run_tiers_query(t):
@@ -82,6 +85,78 @@ def run_tiers_layers(t):
     return run_tiers(orders_under_contract(t), suite(t, ORDERS), "orders-1", AS_OF).layers
 
 
+# Every kind of rule, over orders with an array of their lines' prices.
+RULED = """
+ruled AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+  (SELECT sum(l_extendedprice) FROM lineitem WHERE l_orderkey = o_orderkey) AS items FROM orders),
+steps AS (SELECT o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders)"""
+KINDS = (
+    R.Rule("r1", "domain", "o_totalprice > 20000", severity="INFO"),
+    R.Rule("r2", "crossfield", "o_totalprice > 50000", condition="o_orderpriority = '1-URGENT'"),
+    R.Rule("r3", "calculation", "sum(lines.amount) == o_totalprice", tolerance=1000.0),
+    R.Rule("r4", "temporal", fields=("o_orderdate",), check="not_future"),
+    R.Rule("r5", "state_transition", fields=("o_orderstatus",), allowed=("O", "F"), severity="INFO"),
+    R.Rule("r6", "state_transition", fields=("o_orderstatus",), transitions=(("F", ("O",)), ("O", ("P", "F"))),
+           entity="o_custkey", order=("o_orderdate", "o_orderkey"), severity="CRITICAL"),
+    R.Rule("r7", "referential", fields=("o_custkey",), reference="good", severity="CRITICAL"),
+    R.Rule("r8", "orphan", fields=("o_custkey",), reference="good"),
+    R.Rule("r9", "referential", fields=("o_custkey",), reference="unknown"),
+    R.Rule("r10", "domain", "no_such_column > 1"),
+)
+
+
+@query("run_tiers_rules", f"""WITH {RULED}, found AS (
+  SELECT 'r1' AS rule_id, 'BL-006' AS failure_code, 'INFO' AS severity, count(*) AS n FROM ruled WHERE o_totalprice <= 20000
+  UNION ALL SELECT 'r2', 'BL-001', 'WARNING', count(*) FROM ruled WHERE o_orderpriority = '1-URGENT' AND o_totalprice <= 50000
+  UNION ALL SELECT 'r3', 'BL-003', 'WARNING', count(*) FROM ruled WHERE abs(coalesce(items, 0) - o_totalprice) > 1000 AND items IS NOT NULL
+  UNION ALL SELECT 'r4', 'BL-005', 'WARNING', count(*) FROM ruled WHERE o_orderdate > TIMESTAMP '2000-01-01'
+  UNION ALL SELECT 'r5', 'BL-004', 'INFO', count(*) FROM ruled WHERE o_orderstatus NOT IN ('O', 'F')
+  UNION ALL SELECT 'r6', 'BL-004', 'CRITICAL', count(*) FROM steps WHERE previous IS NOT NULL AND NOT ((previous = 'F' AND o_orderstatus = 'O') OR (previous = 'O' AND o_orderstatus IN ('P', 'F')))
+  UNION ALL SELECT 'r7', 'BL-002', 'CRITICAL', count(*) FROM ruled WHERE o_custkey NOT IN {GOOD}
+  UNION ALL SELECT 'r8', 'BL-008', 'WARNING', count(*) FROM ruled WHERE o_custkey NOT IN {GOOD})
+SELECT rule_id, failure_code, severity, n AS affected_count, false AS skipped FROM found WHERE n > 0
+UNION ALL SELECT * FROM (VALUES ('r9', NULL, NULL, NULL, true), ('r10', NULL, NULL, NULL, true))""")
+def run_tiers_rules(t):
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_extendedprice").alias("amount"))).alias("lines"))
+    orders = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    run = run_tiers(orders, Suite(keys=("o_orderkey",), rules=KINDS, sets={"good": (good_customers(t), "c_custkey")},
+                                  personal_data=False), "orders-1", "2000-01-01 00:00:00")
+    found = run.anomalies.filter("check_name = 'rule'").select(
+        "rule_id", "failure_code", "severity", F.col("affected_count").cast("bigint").alias("affected_count"), F.lit(False).alias("skipped"))
+    skipped = t.spark.createDataFrame([(r, True) for r, _ in run.skipped], "rule_id string, skipped boolean")
+    return found.unionByName(skipped, allowMissingColumns=True)
+
+
+@query("run_tiers_freshness", f"""WITH last AS (SELECT event_type AS source, max(ts) AS came FROM events GROUP BY 1),
+due AS (SELECT source, came, tick FROM last, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 01:20:00', INTERVAL 1 HOUR)) AS tick) WHERE tick > came)
+SELECT source, 'FR-001' AS failure_code, CASE WHEN date_diff('microsecond', came, TIMESTAMP '2024-01-31 01:20:00') >= 5400000000 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM last WHERE date_diff('microsecond', came, TIMESTAMP '2024-01-31 01:20:00') >= 3600000000
+UNION ALL SELECT source, 'FR-003', 'WARNING' FROM last
+UNION ALL SELECT source, 'FR-005', 'CRITICAL' FROM due GROUP BY source HAVING count(*) >= 2""")
+def run_tiers_freshness(t):
+    slas = FR.sla_table(t.spark, [FR.Sla(f"sla-{s}", s, "0 * * * *", 60, 90) for s in (
+        "click", "view", "purchase", "signup", "error")])
+    run = run_tiers(t.events, Suite(keys=("event_id",), slas=slas, personal_data=False, arrivals=t.events.select(
+        F.col("event_type").alias("source"), "ts")), "events-1", "2024-01-31 01:20:00")
+    return run.anomalies.filter("layer = 4").select(F.col("subject").alias("source"), "failure_code", "severity")
+
+
+@query("run_tiers_ethics", """WITH p AS (SELECT c_custkey, c_custkey % 97 AS age, CASE WHEN c_custkey % 40 = 0 THEN 'x' ELSE 'y' END AS gender,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS email, CASE WHEN c_custkey % 10 = 0 THEN 'mail a.b@c.org' ELSE 'none' END AS note FROM customer)
+SELECT 'ET-006' AS failure_code, 'CRITICAL' AS severity, 'email' AS field, count(email) AS affected_count FROM p
+UNION ALL SELECT 'ET-006', 'CRITICAL', 'note', count(*) FROM p WHERE note <> 'none'
+UNION ALL SELECT 'ET-005', CASE WHEN count(*) < 100 THEN 'WARNING' ELSE 'CRITICAL' END, 'age', count(*) FROM p WHERE age > 0 AND age < 18
+UNION ALL SELECT 'ET-001', 'WARNING', 'gender', -1 UNION ALL SELECT 'ET-001', 'WARNING', 'age', -1""")
+def run_tiers_ethics(t):
+    k = F.col("c_custkey")
+    people = t.customer.select(
+        k, (k % 97).alias("age"), F.when(k % 40 == 0, "x").otherwise("y").alias("gender"),
+        F.when(k % 7 != 0, F.col("c_name")).alias("email"), F.when(k % 10 == 0, "mail a.b@c.org").otherwise("none").alias("note"))
+    run = run_tiers(people, Suite(keys=("c_custkey",)), "people-1", AS_OF)
+    return run.anomalies.filter("layer = 6").select(
+        "failure_code", "severity", F.col("affected_fields")[0].alias("field"),
+        F.coalesce("affected_count", F.lit(-1)).cast("bigint").alias("affected_count"))
+
+
 FEATURES = ["prediction", "confidence", "latency_ms", "f_user"]
 
 

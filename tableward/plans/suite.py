@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tableward.functions import severity as S
-from tableward.model import CRITICAL, as_anomalies
+from tableward.model import CRITICAL, WARNING, as_anomalies
 from tableward.operators import bronze as B
 from tableward.operators import contracts as C
 from tableward.operators import ethics as E
@@ -20,6 +20,7 @@ from tableward.operators import references as J
 from tableward.operators import rules as R
 from tableward.operators import statistics as D
 from tableward.session import cut_lineage
+from tableward.sources.definitions import contract_table
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,9 @@ class Suite:
     bronze: B.BatchSpec = field(default_factory=B.BatchSpec)
     contract: C.Contract | None = None
     rules: tuple[R.Rule, ...] = ()
+    sets: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)  # reference sets of rules: table, key
+    registered: DataFrame | None = None  # contract_id, version, contract_hash
+    foreign: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)  # by the contract's foreign_key
     references: tuple[ReferenceCheck, ...] = ()
     baselines: dict[str, DataFrame] = field(default_factory=dict)
     slas: DataFrame | None = None
@@ -51,6 +55,7 @@ class TierRun:
     anomalies: DataFrame
     layers: DataFrame
     blocked: bool
+    skipped: tuple[tuple[str, str], ...] = ()  # rules that could not run, with the reason
 
 
 def _one(column: str) -> Column:
@@ -69,11 +74,53 @@ def _counted(df: DataFrame, suite: Suite) -> list[Row]:
     return B.profile(df, checks, suite.bronze.count).filter("failed").collect()
 
 
-def _business(df: DataFrame, suite: Suite, emit, as_of: Column) -> list[DataFrame]:
+def _contract_sets(df: DataFrame, suite: Suite) -> list[Row]:
+    """Contract findings that need more than a row: hash, repeated values, foreign keys.
+
+    At most one row per constraint is fetched, as they decide whether later layers run.
+    """
+    contract, spark, found = suite.contract, df.sparkSession, []
+    if suite.registered is not None:
+        submitted = C.contract_hashes(contract_table(spark, [contract]))
+        found += [("SC-008", contract.id, CRITICAL, None) for _ in C.verify_hashes(submitted, suite.registered).collect()]
+    present = [c for c in contract.columns if c.name in df.columns]
+    unique = [c for c in present if c.unique]
+    level = {c.name: CRITICAL if c.required else WARNING for c in present}
+    if unique:
+        found += [("SC-005", r["column_name"], level[r["column_name"]], r["affected_count"]) for r in C.unique_findings(
+            df, [[c.name] for c in unique]).filter("affected_count > 0").collect()]
+    for c in present:
+        if c.foreign_key in suite.foreign:
+            reference, key = suite.foreign[c.foreign_key]
+            n = J.broken_references(df, c.name, reference, key, suite.keys, allow_null=c.nullable).count()
+            if n:
+                found.append(("SC-005", c.name, level[c.name], n))
+    return [Row(check_name="contract", failure_code=code, field=name, severity=severity, affected_count=n)
+            for code, name, severity, n in found]
+
+
+def _set_rule(df: DataFrame, rule: R.Rule, suite: Suite) -> DataFrame:
+    """Violations of a rule that needs more than a row: (rule_id, failure_code, severity, violations)."""
+    name = rule.fields[0]
+    if rule.kind in ("referential", "orphan"):
+        reference, key = suite.sets[rule.reference]
+        broken = J.broken_references(df, name, reference, key, suite.keys, allow_null=rule.kind == "orphan")
+    else:
+        broken = R.state_transitions(df, rule.entity, list(rule.order), name, dict(rule.transitions))
+    return broken.agg(F.count(F.lit(1)).alias("violations")).filter("violations > 0").select(
+        F.lit(rule.id).alias("rule_id"), F.lit(rule.failure_code).alias("failure_code"),
+        F.lit(rule.severity).alias("severity"), "violations")
+
+
+def _business(df: DataFrame, suite: Suite, rules: Sequence[R.Rule], emit, as_of: Column) -> list[DataFrame]:
     parts = []
-    if suite.rules:
-        found = R.check_rules(df, suite.rules, suite.keys, as_of)
+    of_rows = [r for r in rules if r.of_rows]
+    if of_rows:
+        found = R.check_rules(df, of_rows, suite.keys, as_of)
         parts.append(emit(R.rollup(found), check_name=F.lit("rule"), affected_count=F.col("violations")))
+    for rule in rules:
+        if not rule.of_rows and rule.kind != "distribution":
+            parts.append(emit(_set_rule(df, rule, suite), check_name=F.lit("rule"), affected_count=F.col("violations")))
     for check in suite.references:
         broken = J.broken_references(df, check.field, check.reference, check.key, suite.keys, check.allow_null)
         parts.append(emit(J.reference_summary(broken, f"check-{check.field}"), check_name=F.lit("reference"),
@@ -91,15 +138,26 @@ def _business(df: DataFrame, suite: Suite, emit, as_of: Column) -> list[DataFram
 
 def _freshness(suite: Suite, emit, as_of: Column) -> DataFrame:
     last = FR.last_arrivals(suite.arrivals)
-    status = FR.freshness_status(suite.slas.filter("enabled"), last, as_of).filter("failure_code IS NOT NULL")
-    return emit(status, severity=F.col("status"), check_name=F.lit("freshness"), subject=F.col("source"),
-                rule_id=F.col("sla_id"))
+    slas = suite.slas.filter("enabled")
+    status = FR.freshness_status(slas, last, as_of).filter("failure_code IS NOT NULL").withColumn("severity", F.col("status"))
+    late = FR.sla_status_fixed(slas, last, as_of).filter("failure_code IS NOT NULL")
+    parts = [status, late, FR.open_misses(slas, last, as_of)]
+    found = reduce(DataFrame.unionByName, [p.select("source", "sla_id", "failure_code", "severity") for p in parts])
+    return emit(found, check_name=F.lit("freshness"), subject=F.col("source"), rule_id=F.col("sla_id"))
 
 
 def _ethics(df: DataFrame, emit) -> list[DataFrame]:
-    pii = E.pii_scan(df).groupBy("field").agg(F.sum("rows").alias("affected_count"))
+    named = E.sensitive_columns(df)
+    # A column named like personal data is reported by name; the others are searched.
+    known = set(E.named_like(df.columns, E.SENSITIVE_NAMES))
+    searched = [c for c in E.readable(df) if c not in known]
+    pii = named.select("field", F.col("filled").alias("affected_count"))
+    if searched:
+        pii = pii.unionByName(E.pii_scan(df, searched).groupBy("field").agg(F.sum("rows").alias("affected_count")))
     imbalance = E.protected_imbalance(df)
     return [
+        *[emit(E.minors(df, c), check_name=F.lit("minors"), affected_fields=F.array(F.lit(c)), affected_count=F.col("minors"))
+          for c in E.age_columns(df)],
         emit(pii, check_name=F.lit("personal_data"), failure_code=F.lit("ET-006"), severity=F.lit(CRITICAL),
              severity_score=F.lit(85.0), affected_fields=_one("field")),
         emit(imbalance, check_name=F.lit("imbalance"), affected_fields=_one("attribute"), actual=F.col("ratio"),
@@ -120,13 +178,19 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
         return as_anomalies(findings, batch_id, as_of, **columns)
 
     rows = _counted(df, suite)
-    blocked = any(r["check_name"] == "contract" and r["severity"] == CRITICAL for r in rows)
+    sets = _contract_sets(df, suite) if suite.contract else []
+    rules, skipped = R.resolve_rules(df, suite.rules, now, list(suite.sets), list(suite.baselines))
+    blocked = any(r["severity"] == CRITICAL for r in sets) or any(r["check_name"] == "contract" and r["severity"] == CRITICAL for r in rows)
 
     if blocked:
         rows = [r for r in rows if r["check_name"] != "auto_logic"]
     counted = emit(df.sparkSession.createDataFrame(rows, B.FINDING_DDL), affected_fields=_one("field"),
                    blocking=(F.col("check_name") == "contract") & (F.col("severity") == CRITICAL))
     evaluated, parts = {1}, [counted]
+    if sets:
+        parts.append(emit(df.sparkSession.createDataFrame(
+            sets, "check_name string, failure_code string, field string, severity string, affected_count bigint"),
+            affected_fields=_one("field"), blocking=F.col("severity") == CRITICAL))
     if suite.contract:
         evaluated.add(2)
     if suite.bronze.duplicates:
@@ -134,7 +198,7 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
         parts.append(emit(repeated, affected_fields=_one("field")))
     if not blocked:
         evaluated.add(3)
-        parts += _business(df, suite, emit, now)
+        parts += _business(df, suite, rules, emit, now)
         if suite.slas is not None and suite.arrivals is not None:
             evaluated.add(4)
             parts.append(_freshness(suite, emit, now))
@@ -142,7 +206,9 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
         evaluated.add(6)
         parts += _ethics(df, emit)
     anomalies = reduce(DataFrame.unionByName, parts)
-    return TierRun(anomalies, layer_table(anomalies, evaluated), blocked)
+    # Written, so that findings and scores come from one evaluation.
+    anomalies = cut_lineage(anomalies)
+    return TierRun(anomalies, layer_table(anomalies, evaluated), blocked, tuple(skipped))
 
 
 # Layer -> (name, penalties).

@@ -96,7 +96,11 @@ def rule_from(entry: dict) -> Rule:
         fields=tuple(fields), severity=entry.get("severity", "WARNING").upper(), code=entry.get("failure_code", ""),
         condition=entry.get("condition"), tolerance=float(entry.get("tolerance", 0.001)),
         check=parameters.get("check_type") or entry.get("rule", ""), enabled=entry.get("enabled", True),
-        priority=int(entry.get("priority", 0)))
+        priority=int(entry.get("priority", 0)), reference=entry.get("reference", ""),
+        allowed=tuple(entry.get("allowed_values") or ()),
+        transitions=tuple((k, tuple(v or ())) for k, v in (entry.get("transitions") or {}).items()),
+        entity=entry.get("entity") or parameters.get("entity", ""),
+        order=tuple(entry.get("order") or parameters.get("order") or ()))
 
 
 def read_rules(path: str) -> list[Rule]:
