@@ -126,7 +126,21 @@ def _attach(df: DataFrame, stats: DataFrame, groups: Sequence[str]) -> DataFrame
         *[f"_g_{g}" for g in groups])
 
 
-def histogram(df: DataFrame, groups: Sequence[str], value: str, current: str, bins: int = 10,
+def value_counts(df: DataFrame, groups: Sequence[str], value: str, current: str) -> DataFrame:
+    """Rows of both samples per distinct value: (groups, value, b, c), null values left out.
+
+    All distances below can be taken from this table, so a log is read once for all of them.
+    """
+    return df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+        F.count_if(~F.col(current)).alias("b"), F.count_if(F.col(current)).alias("c"))
+
+
+def _counted(df: DataFrame, groups: Sequence[str], value: str, current: str | None) -> DataFrame:
+    """``df`` itself where it holds counts already (no ``current``)."""
+    return df if current is None else value_counts(df, groups, value, current)
+
+
+def histogram(df: DataFrame, groups: Sequence[str], value: str, current: str | None, bins: int = 10,
               pooled: bool = False) -> DataFrame:
     """Counts per (group, bin) of both samples, in equal-width bins.
 
@@ -134,12 +148,11 @@ def histogram(df: DataFrame, groups: Sequence[str], value: str, current: str, bi
     sample size only.  Small samples get as many bins as the smaller one has rows; a sample with
     a single value spans half a unit to each side.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    cur = F.col(current)
-    inside = F.lit(True) if pooled else ~cur
+    rows = _counted(df, groups, value, current)
+    inside = F.lit(True) if pooled else F.col("b") > 0
     stats = rows.groupBy(*groups).agg(
         F.min(F.when(inside, F.col(value))).alias("_lo"), F.max(F.when(inside, F.col(value))).alias("_hi"),
-        F.count_if(~cur).alias("n_base"), F.count_if(cur).alias("n_cur"),
+        F.sum("b").alias("n_base"), F.sum("c").alias("n_cur"),
     ).withColumn("_k", F.least("n_base", "n_cur", F.lit(bins))).filter("_k >= 2")
     point = F.col("_lo") == F.col("_hi")
     stats = stats.withColumns({
@@ -149,7 +162,7 @@ def histogram(df: DataFrame, groups: Sequence[str], value: str, current: str, bi
     position = F.floor((v - lo) / (hi - lo) * k)
     number = F.when((v >= lo) & (v <= hi), F.least(position, k - 1)).otherwise(-1)
     return _attach(rows, stats, groups).groupBy(*groups, number.cast("int").alias("bin")).agg(
-        F.count_if(~cur).alias("base"), F.count_if(cur).alias("cur"),
+        F.sum("b").alias("base"), F.sum("c").alias("cur"),
         F.max("n_base").alias("n_base"), F.max("n_cur").alias("n_cur"), F.max("_k").alias("bins"))
 
 
@@ -157,7 +170,7 @@ def _divergence(left: Column, right: Column) -> Column:
     return left * F.ln(left / right)
 
 
-def drift_psi(df: DataFrame, groups: Sequence[str], value: str, current: str, bins: int = 10) -> DataFrame:
+def drift_psi(df: DataFrame, groups: Sequence[str], value: str, current: str | None, bins: int = 10) -> DataFrame:
     """Stability index; a bin empty on both sides adds nothing, so it need not be listed."""
     clip = lambda x: F.greatest(F.lit(HISTOGRAM_FLOOR), F.least(F.lit(1 - HISTOGRAM_FLOOR), x))
     b, c = clip(F.col("base") / F.col("n_base")), clip(F.col("cur") / F.col("n_cur"))
@@ -165,7 +178,7 @@ def drift_psi(df: DataFrame, groups: Sequence[str], value: str, current: str, bi
     return histogram(df, groups, value, current, bins).groupBy(*groups).agg(F.sum(term).alias("psi"))
 
 
-def drift_divergence(df: DataFrame, groups: Sequence[str], value: str, current: str,
+def drift_divergence(df: DataFrame, groups: Sequence[str], value: str, current: str | None,
                      bins: int = 10) -> DataFrame:
     """Jensen-Shannon (capped at 1) and Kullback-Leibler divergence of current from baseline."""
     binned = histogram(df, groups, value, current, bins, pooled=True)
@@ -179,10 +192,9 @@ def drift_divergence(df: DataFrame, groups: Sequence[str], value: str, current:
     return sums.select(*groups, F.least("js", F.lit(1.0)).alias("js"), "kl")
 
 
-def cumulative(df: DataFrame, groups: Sequence[str], value: str, current: str) -> DataFrame:
+def cumulative(df: DataFrame, groups: Sequence[str], value: str, current: str | None) -> DataFrame:
     """Both empirical distribution functions at and just below every distinct value."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
-        F.count_if(~F.col(current)).alias("b"), F.count_if(F.col(current)).alias("c"))
+    counts = _counted(df, groups, value, current)
     steps = running_totals(counts, list(groups), value, ["b", "c"])
     share = lambda n, w: F.when(F.col(f"all_{w}") > 0, n / F.col(f"all_{w}"))
     return steps.select(
@@ -191,14 +203,14 @@ def cumulative(df: DataFrame, groups: Sequence[str], value: str, current: str) -
         share(F.col("cum_c") - F.col("c"), "c").alias("f_cur_below"))
 
 
-def drift_ks(df: DataFrame, groups: Sequence[str], value: str, current: str) -> DataFrame:
+def drift_ks(df: DataFrame, groups: Sequence[str], value: str, current: str | None) -> DataFrame:
     """Exact two-sample Kolmogorov-Smirnov statistic; 0 when a sample is empty."""
     gap = F.abs(F.col("f_base") - F.col("f_cur"))
     return cumulative(df, groups, value, current).groupBy(*groups).agg(
         F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
 
-def drift_wasserstein(df: DataFrame, groups: Sequence[str], value: str, current: str) -> DataFrame:
+def drift_wasserstein(df: DataFrame, groups: Sequence[str], value: str, current: str | None) -> DataFrame:
     """Exact first Wasserstein distance.
 
     The area between both distribution functions, written as a sum over values that needs no
@@ -222,12 +234,14 @@ def drift_chi2(df: DataFrame, groups: Sequence[str], category: str, current: str
     return joined.groupBy(*groups).agg(F.sum(term).alias("chi2"), (_ones() - 1).alias("freedom"))
 
 
-def prediction_drift(df: DataFrame, groups: Sequence[str], value: str, current: str,
+def prediction_drift(df: DataFrame, groups: Sequence[str], value: str, current: str | None,
                      psi_limit: float = 0.25, ks_limit: float = 0.2, psi: DataFrame | None = None) -> DataFrame:
     """The three metrics of a prediction column and their verdict (ML-001).
 
     ``psi`` may bring the stability index when it is already known.
     """
+    if current is not None:
+        df, current = cut_lineage(value_counts(df, groups, value, current)), None
     index = psi if psi is not None else drift_psi(df, groups, value, current)
     # Stacked and grouped, not joined: a null group is one group.
     parts = [index.select(*groups, "psi"), drift_ks(df, groups, value, current),
@@ -242,11 +256,17 @@ def prediction_drift(df: DataFrame, groups: Sequence[str], value: str, current:
                           F.when(detected, severity).alias("severity"))
 
 
-def feature_psi(df: DataFrame, groups: Sequence[str], features: Sequence[str], current: str) -> DataFrame:
-    """Stability index of every feature of every group, from one unpivoted pass."""
+def feature_counts(df: DataFrame, groups: Sequence[str], features: Sequence[str], current: str) -> DataFrame:
+    """Counts per (group, feature, value) of both samples, from one unpivoted pass."""
     long = df.select(*groups, current, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         [*groups, current], list(features), "feature", "value")
-    return drift_psi(long, [*groups, "feature"], "value", current)
+    return value_counts(long, [*groups, "feature"], "value", current)
+
+
+def feature_psi(df: DataFrame, groups: Sequence[str], features: Sequence[str], current: str) -> DataFrame:
+    """Stability index of every feature of every group."""
+    counts = cut_lineage(feature_counts(df, groups, features, current))
+    return drift_psi(counts, [*groups, "feature"], "value", None)
 
 
 def feature_drift(psis: DataFrame, groups: Sequence[str], total: int, limit: float = 0.25) -> DataFrame:

@@ -244,24 +244,25 @@ def model_compat(t):
 
 
 def signals(t):
-    """Flags per model from the other checks."""
+    """Flags per model from the other checks; performance is the share of right predictions."""
     rows, averages = log(t), means(t)
     drift = D.prediction_drift(rows, ["model_id"], "prediction", "cur")
-    stale = M.staleness(rows.filter("is_error"), "model_id", "ts", F.lit("2024-03-31 00:30:00").cast("timestamp_ntz"))
+    stale = M.staleness(rows, "model_id", "ts", F.lit("2024-03-31 00:30:00").cast("timestamp_ntz"))
     errors = M.error_rate(averages, "model_id", "is_error")
     return (
-        averages.select("model_id", F.col("confidence_cur").alias("performance"))
+        averages.select("model_id", (1.0 - F.col("is_error_cur")).alias("performance"))
         .join(drift.select("model_id", F.col("drift_detected").alias("drift_detected")), "model_id", "left")
         .join(stale.select("model_id", F.col("severity").isNotNull().alias("model_stale")), "model_id", "left")
-        .join(errors.select("model_id", F.col("severity").isNotNull().alias("high_error_rate")), "model_id", "left")
+        .join(errors.select("model_id", F.coalesce(F.col("severity") == "CRITICAL", F.lit(False)).alias("high_error_rate")),
+              "model_id", "left")
     )
 
 
 RETRAIN = f"""{DRIFT}, {MEANS},
-stale AS (SELECT model_id, date_diff('second', max(ts), TIMESTAMP '2024-03-31 00:30:00') // 86400 >= 60 AS model_stale FROM log WHERE is_error GROUP BY 1),
-retrain AS (SELECT model_id, concat_ws(',', CASE WHEN conf_c < 0.7 THEN 'low_performance' END, CASE WHEN drift_detected THEN 'drift_detected' END, CASE WHEN model_stale THEN 'model_stale' END,
-    CASE WHEN err_c - err_b >= 0.05 OR err_c >= 0.2 THEN 'high_error_rate' END) AS signals,
-  CAST((conf_c < 0.7)::INT + drift_detected::INT + model_stale::INT + (err_c - err_b >= 0.05 OR err_c >= 0.2)::INT AS INTEGER) AS signal_count
+stale AS (SELECT model_id, date_diff('second', max(ts), TIMESTAMP '2024-03-31 00:30:00') // 86400 >= 60 AS model_stale FROM log GROUP BY 1),
+retrain AS (SELECT model_id, concat_ws(',', CASE WHEN 1 - err_c < 0.7 THEN 'low_performance' END, CASE WHEN drift_detected THEN 'drift_detected' END, CASE WHEN model_stale THEN 'model_stale' END,
+    CASE WHEN err_c - err_b >= 0.1 OR err_c >= 0.2 THEN 'high_error_rate' END) AS signals,
+  CAST((1 - err_c < 0.7)::INT + drift_detected::INT + model_stale::INT + (err_c - err_b >= 0.1 OR err_c >= 0.2)::INT AS INTEGER) AS signal_count
   FROM means JOIN drift USING (model_id) JOIN stale USING (model_id))"""
 
 

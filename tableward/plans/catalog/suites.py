@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tableward.operators import bronze as B
 from tableward.operators import contracts as C
+from tableward.operators import ethics as E
 from tableward.operators import freshness as FR
 from tableward.operators import rules as R
 from tableward.operators import statistics as D
@@ -13,7 +14,7 @@ from tableward.plans.catalog.contracts import CONTRACT_FINDINGS, ORDERS, orders_
 from tableward.plans.catalog.models import CONF, DRIFT, ERR, LAT, LONG, MEANS, PSI, _histogram, log
 from tableward.plans.catalog.rules import GOOD, good_customers
 from tableward.plans.registry import query
-from tableward.plans.suite import ReferenceCheck, Suite, run_models, run_tiers
+from tableward.plans.suite import ReferenceCheck, Suite, model_layers, run_models, run_tiers
 
 CONTRACT = C.Contract("orders", "1.0.0", "orders", (
     C.ContractColumn("o_orderkey", "integer", required=True, nullable=False),
@@ -160,7 +161,7 @@ def run_tiers_ethics(t):
 FEATURES = ["prediction", "confidence", "latency_ms", "f_user"]
 
 
-@query("run_models", f"""{DRIFT}, {MEANS}, {LONG},
+MODELS = f"""{DRIFT}, {MEANS}, {LONG},
 {_histogram(False, 'long', 'model_id, feature', 'value').replace('st2', 'fst2').replace('st AS', 'fst AS').replace('FROM st)', 'FROM fst)').replace('grid', 'fgrid').replace('placed', 'fplaced').replace(chr(10) + 'h AS', chr(10) + 'fh AS')},
 {PSI.format('model_id, feature').replace('psi AS (', 'fpsi AS (', 1).replace('FROM h)', 'FROM fh)')},
 fd AS (SELECT model_id, count(*) FILTER (WHERE psi >= 0.25) AS drifted, max(psi) AS max_psi FROM fpsi GROUP BY 1),
@@ -170,9 +171,38 @@ found AS (SELECT model_id, 'ML-001' AS failure_code, severity FROM drift
   UNION ALL SELECT model_id, 'ML-002', CASE WHEN drifted > 0 THEN CASE WHEN drifted / 4.0 >= 0.5 OR max_psi >= 0.5 THEN 'CRITICAL' ELSE 'WARNING' END END FROM fd
   UNION ALL SELECT model_id, failure_code, severity FROM conf UNION ALL SELECT model_id, failure_code, severity FROM lat UNION ALL SELECT model_id, failure_code, severity FROM err
   UNION ALL SELECT model_id, 'ML-003', CASE WHEN age >= 90 THEN 'CRITICAL' WHEN age >= 60 THEN 'WARNING' END FROM stale),
-sig AS (SELECT f.model_id, (any_value(conf_c) < 0.7)::INT + bool_or(failure_code IN ('ML-001', 'ML-002') AND severity IS NOT NULL)::INT + bool_or(failure_code = 'ML-003' AND severity IS NOT NULL)::INT + bool_or(failure_code = 'ML-006' AND severity IS NOT NULL)::INT AS n
-  FROM found f JOIN means m ON f.model_id = m.model_id GROUP BY 1)
-SELECT * FROM found WHERE severity IS NOT NULL UNION ALL SELECT model_id, 'ML-008', CASE WHEN n >= 3 THEN 'CRITICAL' WHEN n = 2 THEN 'WARNING' ELSE 'INFO' END FROM sig WHERE n > 0""")
-def run_models_query(t):
+sig AS (SELECT f.model_id, (1 - any_value(err_c) < 0.7)::INT + bool_or(failure_code IN ('ML-001', 'ML-002') AND severity IS NOT NULL)::INT + bool_or(failure_code = 'ML-003' AND severity IS NOT NULL)::INT + bool_or(failure_code = 'ML-006' AND severity = 'CRITICAL')::INT AS n
+  FROM found f JOIN means m ON f.model_id = m.model_id GROUP BY 1),
+every AS (SELECT * FROM found WHERE severity IS NOT NULL UNION ALL SELECT model_id, 'ML-008', CASE WHEN n >= 3 THEN 'CRITICAL' WHEN n = 2 THEN 'WARNING' ELSE 'INFO' END FROM sig WHERE n > 0
+  UNION ALL SELECT 'view', 'ML-007', 'CRITICAL' UNION ALL SELECT 'click', 'ML-007', 'WARNING'
+  UNION ALL SELECT model_id, 'ET-004', 'CRITICAL' FROM means WHERE model_id IN ('click', 'error') UNION ALL SELECT model_id, 'ET-007', 'CRITICAL' FROM means)"""
+
+
+def model_findings(t):
+    """All checks: one model lacks a feature, one has another type, two explain nothing, none is audited."""
     rows = log(t).drop("cur")
-    return run_models(rows, "2024-03-31 00:30:00", FEATURES, rows.select("model_id", F.col("ts").alias("trained_at")))
+    feature = lambda have: t.spark.createDataFrame(have, "model_id string, feature string, type string")
+    models = rows.select("model_id").distinct()
+    flags = [F.col("model_id").isin("view", "purchase", "signup").alias(f"has_{n}") for n in (
+        "feature_importance", "shap_values", "local_explanations", "model_card")]
+    registry = models.select("model_id", F.lit("neural").alias("model_type"), *flags)
+    nothing = t.events.limit(0).select(F.lit("").alias("model_id"), F.lit("").alias("kind"), "ts")
+    return run_models(
+        rows, "2024-03-31 00:30:00", FEATURES, rows.select("model_id", F.col("ts").alias("trained_at")),
+        feature([("view", "a", "bigint"), ("view", "b", "bigint"), ("click", "a", "bigint")]),
+        feature([("view", "a", "bigint"), ("click", "a", "double")]),
+        [E.explainability(registry), E.audit_trail(nothing, registry=models)])
+
+
+@query("run_models", MODELS + " SELECT * FROM every")
+def run_models_query(t):
+    return model_findings(t)
+
+
+@query("run_models_layers", MODELS + """
+SELECT model_id, greatest(0.0::DOUBLE, 100.0::DOUBLE - coalesce(sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'WARNING' THEN 10 ELSE 2 END) FILTER (WHERE failure_code LIKE 'ML-%'), 0)) AS health_score,
+  greatest(0.0::DOUBLE, 100.0::DOUBLE - coalesce(sum(CASE severity WHEN 'CRITICAL' THEN 30 WHEN 'WARNING' THEN 12 ELSE 3 END) FILTER (WHERE failure_code LIKE 'ET-%'), 0)) AS ethics_score,
+  count(*) AS findings, coalesce(bool_or(severity = 'CRITICAL' AND failure_code LIKE 'ML-%'), false) AS blocked_by_health, least(health_score, ethics_score) AS overall_score
+FROM every GROUP BY model_id""")
+def run_models_layers(t):
+    return model_layers(model_findings(t), log(t))

@@ -229,37 +229,55 @@ def layer_table(anomalies: DataFrame, evaluated: set[int]) -> DataFrame:
         for n, (name, _) in LAYERS.items()])))
 
 
-def run_models(log: DataFrame, as_of: str, features: Sequence[str], trained: DataFrame | None = None) -> DataFrame:
+def run_models(log: DataFrame, as_of: str, features: Sequence[str], trained: DataFrame | None = None,
+               expected: DataFrame | None = None, actual: DataFrame | None = None,
+               ethics: Sequence[DataFrame] = ()) -> DataFrame:
     """All checks of all models of a prediction log, one row per finding.
 
     ``log``: model_id, period, prediction, confidence, latency_ms, is_error and the features.
-    ``trained``: model_id and trained_at.
+    ``trained``: model_id and trained_at.  ``expected`` and ``actual``: features of the models as
+    (model_id, feature, type).  ``ethics``: findings of the ethics layer as (model_id, failure_code,
+    severity); they count whether or not model health blocks.
+
+    The log is read twice: for the means and for the counts per value, which all distances share.
     """
     marked = log.withColumn("_current", F.col("period") == "current")
-    means = M.period_means(log, "model_id", "period", ["confidence", "latency_ms", "is_error"])
-    means = cut_lineage(means)
-    psis = D.feature_psi(marked, ["model_id"], sorted({"prediction", *features}), "_current")
-    psis = cut_lineage(psis)
-    of_prediction = psis.filter("feature = 'prediction'").drop("feature")
-    drift = D.prediction_drift(marked, ["model_id"], "prediction", "_current", psi=of_prediction)
+    means = cut_lineage(M.period_means(log, "model_id", "period", ["confidence", "latency_ms", "is_error"]))
+    counts = cut_lineage(D.feature_counts(marked, ["model_id"], sorted({"prediction", *features}), "_current"))
+    psis = cut_lineage(D.drift_psi(counts, ["model_id", "feature"], "value", None))
+    drift = D.prediction_drift(counts.filter("feature = 'prediction'").drop("feature"), ["model_id"], "value", None,
+                               psi=psis.filter("feature = 'prediction'").drop("feature"))
     feature = D.feature_drift(psis.filter(F.col("feature").isin(*features)), ["model_id"], len(features))
-    errors = M.error_rate(means, "model_id", "is_error")
     checks = [
         drift.select("model_id", F.lit("ML-001").alias("failure_code"), "severity"),
         feature.select("model_id", F.lit("ML-002").alias("failure_code"), "severity"),
-        M.confidence_drop(means, "model_id", "confidence").select("model_id", "failure_code", "severity"),
-        M.latency_spike(means, "model_id", "latency_ms").select("model_id", "failure_code", "severity"),
-        errors.select("model_id", "failure_code", "severity"),
+        M.confidence_drop(means, "model_id", "confidence"), M.latency_spike(means, "model_id", "latency_ms"),
+        M.error_rate(means, "model_id", "is_error"),
     ]
     if trained is not None:
-        stale = M.staleness(trained, "model_id", "trained_at", F.lit(as_of).cast("timestamp_ntz"))
-        checks.append(stale.select("model_id", "failure_code", "severity"))
+        checks.append(M.staleness(trained, "model_id", "trained_at", F.lit(as_of).cast("timestamp_ntz")))
+    if expected is not None and actual is not None:
+        checks.append(M.compatibility(expected, actual, "model_id"))
+    named = lambda df: df.select("model_id", "failure_code", "severity")
     # Used twice below; a few rows per model.
-    found = cut_lineage(reduce(DataFrame.unionByName, checks))
+    found = cut_lineage(reduce(DataFrame.unionByName, map(named, checks)))
     raised = lambda *codes: F.bool_or(F.col("failure_code").isin(*codes) & F.col("severity").isNotNull())
     signals = found.groupBy("model_id").agg(
         raised("ML-001", "ML-002").alias("drift_detected"), raised("ML-003").alias("model_stale"),
-        raised("ML-006").alias("high_error_rate")).join(
-        means.select("model_id", F.col("confidence_cur").alias("performance")), "model_id")
+        F.bool_or((F.col("failure_code") == "ML-006") & (F.col("severity") == CRITICAL)).alias("high_error_rate")).join(
+        means.select("model_id", (1.0 - F.col("is_error_cur")).alias("performance")), "model_id")
     retrain = M.retraining(signals, "model_id", "performance", ["drift_detected", "model_stale", "high_error_rate"])
-    return found.unionByName(retrain.select("model_id", "failure_code", "severity")).filter("severity IS NOT NULL")
+    every = reduce(DataFrame.unionByName, [found, named(retrain), *map(named, ethics)])
+    return every.filter("severity IS NOT NULL")
+
+
+def model_layers(found: DataFrame, models: DataFrame) -> DataFrame:
+    """Health, ethics and overall (least) score of every model of ``models``, with or without findings."""
+    every = found.select("model_id", "failure_code", "severity").unionByName(
+        models.select("model_id").distinct(), allowMissingColumns=True)
+    of = lambda start: F.when(F.col("failure_code").startswith(start), F.col("severity"))
+    scored = every.groupBy("model_id").agg(
+        S.layer_score(of("ML-"), "model").alias("health_score"), S.layer_score(of("ET-"), "ethics").alias("ethics_score"),
+        F.count("failure_code").alias("findings"),
+        F.coalesce(F.bool_or(of("ML-") == CRITICAL), F.lit(False)).alias("blocked_by_health"))
+    return scored.withColumn("overall_score", F.least("health_score", "ethics_score"))
