@@ -85,6 +85,19 @@ def disparate_pairs(rates: DataFrame, attribute: Sequence[str], group: str, valu
         _ratio(F.col("_v"), F.col(value)).alias("disparity_ratio"))
 
 
+def against_best(rates: DataFrame, attribute: Sequence[str], group: str, value: str,
+                 threshold: float = 0.8) -> DataFrame:
+    """Groups under ``threshold`` of their attribute's best group: at most one row per group, where
+    all violating pairs (``disparate_pairs``) may be quadratic in the groups."""
+    best = rates.groupBy(*[F.col(a).alias(f"_{a}") for a in attribute]).agg(
+        F.max(F.struct(value, group)).alias("_b"))
+    joined = rates.join(best, [F.col(a) == F.col(f"_{a}") for a in attribute])
+    ratio = _ratio(F.col(value), F.col(f"_b.{value}"))
+    return joined.select(*attribute, F.col(group).alias("grp"), F.col(f"_b.{group}").alias("best"), F.col(value).alias("value"),
+                         F.col(f"_b.{value}").alias("best_value"), ratio.alias("disparity_ratio")).filter(
+        F.col("disparity_ratio") < threshold)
+
+
 def fairness(rates: DataFrame, attribute: Sequence[str], value: str, threshold: float = 0.8) -> DataFrame:
     """Verdict per attribute (ET-002): the worst pair is the smallest against the largest value."""
     spread = rates.groupBy(*attribute).agg(

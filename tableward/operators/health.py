@@ -58,6 +58,15 @@ def with_clean(anomalies: DataFrame, groups: Sequence[str], batches: DataFrame |
     return marked.unionByName(clean, allowMissingColumns=True)
 
 
+def _penalty(total_records: Column) -> Column:
+    base = F.lit(10.0)
+    for name, points in PENALTY.items():
+        base = F.when(F.col("severity") == name, points).otherwise(base)
+    scaled = (total_records > 0) & (F.col("affected_count") > 0)
+    share = F.try_divide(F.col("affected_count"), total_records)
+    return F.when(scaled, base * F.least(F.lit(2.0), 1.0 + share)).otherwise(base)
+
+
 def batch_health(anomalies: DataFrame, groups: Sequence[str], total_records: Column,
                  batches: DataFrame | None = None) -> DataFrame:
     """Five component scores and their weighted mean, from one aggregate.
@@ -65,12 +74,7 @@ def batch_health(anomalies: DataFrame, groups: Sequence[str], total_records: Col
     A penalty doubles at most, with the share of affected records.  Of ``batches`` every one has a
     row; without findings it scores 100.
     """
-    base = F.lit(10.0)
-    for name, points in PENALTY.items():
-        base = F.when(F.col("severity") == name, points).otherwise(base)
-    scaled = (total_records > 0) & (F.col("affected_count") > 0)
-    share = F.col("affected_count") / total_records
-    penalty = F.when(scaled, base * F.least(F.lit(2.0), 1.0 + share)).otherwise(base)
+    penalty = _penalty(total_records)
     component = F.when(F.col("_real"), component_of(F.col("failure_code")))
     lost = with_clean(anomalies, groups, batches).groupBy(*groups).agg(
         *[F.sum(F.when(component == c, penalty)).alias(f"_{c}") for c in COMPONENTS],
@@ -187,11 +191,14 @@ def column_breakdown(anomalies: DataFrame) -> DataFrame:
 
 
 def layer_health(anomalies: DataFrame) -> DataFrame:
-    """One row per layer with its score and counts, and the overall minimum on each."""
-    wide = layer_scores(anomalies, [])
-    bronze = batch_health(anomalies.filter(layer_of(F.col("failure_code")) == 1), [], F.lit(0)).select("overall_score")
-    rows = F.array(F.struct(F.lit(1).alias("layer"), F.lit("bronze").alias("name"), bronze.scalar().alias("score")),
-                   *[F.struct(F.lit(k).alias("layer"), F.lit(v).alias("name"), F.col(v).alias("score")) for k, v in LAYER_NAMES.items()])
-    listed = wide.withColumn("_rows", rows).select(F.inline("_rows"))
-    lowest = listed.agg(F.min("score").alias("m")).scalar()
-    return listed.withColumn("overall", lowest)
+    """One row per layer with its score and counts, and the overall minimum on each; one aggregate."""
+    bronze = F.col("_real") & (layer_of(F.col("failure_code")) == 1)
+    component = F.when(bronze, component_of(F.col("failure_code")))
+    lost = [F.sum(F.when(component == c, _penalty(F.lit(0)))).alias(f"_{c}") for c in COMPONENTS]
+    wide = layer_scores(anomalies, [], *lost)
+    score = sum((F.greatest(F.lit(0.0), 100.0 - F.coalesce(f"_{c}", F.lit(0.0))) * w for c, (w, _) in COMPONENTS.items()), F.lit(0.0))
+    scores = {1: ("bronze", score / sum(w for w, _ in COMPONENTS.values()))} | {k: (v, F.col(v)) for k, v in LAYER_NAMES.items()}
+    lowest = F.least(*[x for _, x in scores.values()])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("layer"), F.lit(name).alias("name"), x.alias("score"), lowest.alias("overall"))
+        for k, (name, x) in scores.items()])))

@@ -49,9 +49,9 @@ def contract_validate(t):
 
 @query("score_schema", f"""WITH {CONTRACT_FINDINGS}
 SELECT bool_or(blocking) AS blocked, greatest(0.0::DOUBLE, 100.0::DOUBLE - sum(CASE severity WHEN 'CRITICAL' THEN 30 WHEN 'WARNING' THEN 10 ELSE 2 END)) AS score
-FROM contract_findings WHERE failure_code <> 'SC-001'""")
+FROM contract_findings""")
 def score_schema(t):
-    found = C.validate_contract(orders_under_contract(t), ORDERS).filter("failure_code <> 'SC-001'")
+    found = C.validate_contract(orders_under_contract(t), ORDERS)
     return found.agg(F.bool_or("blocking").alias("blocked"), S.layer_score(F.col("severity"), "schema").alias("score"))
 
 

@@ -51,6 +51,15 @@ def fairness_pairs(t):
     return rounded(E.disparate_pairs(rates, ["attribute"], "source", "positive_rate"), "value_a", "value_b", "disparity_ratio")
 
 
+@query("fairness_against_best", f"""WITH {JUDGED}, par AS (SELECT source, avg(CAST(prediction = 1 AS INTEGER)) AS v FROM judged GROUP BY 1),
+best AS (SELECT source AS best, v AS best_value FROM par ORDER BY v DESC, source DESC LIMIT 1)
+SELECT 'source' AS attribute, source AS grp, best, round(v, 6) AS value, round(best_value, 6) AS best_value, round(CASE WHEN best_value = 0 THEN 1 ELSE v / best_value END, 6) AS disparity_ratio
+FROM par, best WHERE CASE WHEN best_value = 0 THEN 1 ELSE v / best_value END < 0.8""")
+def fairness_against_best(t):
+    rates = E.parity(judged(t), ["source"], "prediction").withColumn("attribute", F.lit("source"))
+    return rounded(E.against_best(rates, ["attribute"], "source", "positive_rate"), "value", "best_value", "disparity_ratio")
+
+
 @query("fairness_check", RATES + """,
 m AS (SELECT 'parity' AS metric, count(*) AS groups, min(positive_rate) AS lo, max(positive_rate) AS hi FROM par UNION ALL SELECT 'equalized_odds', count(*), min(tpr), max(tpr) FROM odds),
 r AS (SELECT metric, groups, CASE WHEN hi = 0 THEN 1 ELSE lo / hi END AS min_ratio FROM m)

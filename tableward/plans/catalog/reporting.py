@@ -270,11 +270,11 @@ def health_summary(t):
 
 @query("staleness_message", f"""
 SELECT source, CASE WHEN h < 1 THEN 'Data is current (updated within the last hour).' ELSE 'Customer data may not reflect orders from the last ' || CAST(floor(h) AS BIGINT) || ' hours.' END AS message
-FROM (SELECT event_type AS source, date_diff('microsecond', max(ts), TIMESTAMP '{NOW}') // 1000000 / 3600.0 AS h FROM events WHERE value > 200 OR event_type = 'view' GROUP BY 1)""")
+FROM (SELECT event_type AS source, date_diff('microsecond', max(ts), TIMESTAMP '{NOW}') // 1000000 / 3600.0 AS h FROM events GROUP BY 1)""")
 def staleness_message(t):
     from tableward.functions.predicates import seconds_between
 
-    last = t.events.filter("value > 200 OR event_type = 'view'").groupBy(F.col("event_type").alias("source")).agg(F.max("ts").alias("last"))
+    last = t.events.groupBy(F.col("event_type").alias("source")).agg(F.max("ts").alias("last"))
     return last.select("source", RP.staleness_message(seconds_between(now(), F.col("last")) / 3600.0).alias("message"))
 
 

@@ -252,3 +252,13 @@ def refint_cascade(t):
         ("o_custkey", good_customers(t).union(good_customers(t)), "c_custkey", ["c_nationkey"]),
         ("c_nationkey", t.nation.filter("n_regionkey <> 3"), "n_nationkey", []),
     ])
+
+
+@query("rule_default_keys", """
+SELECT CAST(coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END, o_custkey) AS VARCHAR) AS row_key, 'big' AS rule_id, 'BL-006' AS failure_code, 'WARNING' AS severity, '' AS fields
+FROM orders WHERE o_totalprice <= 50000""")
+def rule_default_keys(t):
+    """Rows go by the first identifier column that is not null where no keys are named."""
+    rows = t.orders.select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")).alias("order_id"),
+                           F.col("o_custkey").alias("customer_id"), "o_totalprice")
+    return R.check_rules(rows, [R.Rule("big", "domain", "o_totalprice > 50000")])
