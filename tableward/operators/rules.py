@@ -222,7 +222,11 @@ def child_sums(parents: DataFrame, parent_key: str, total: str, children: DataFr
 def state_transitions(df: DataFrame, key: str, order: list[str], state: str,
                       allowed: dict[str, Sequence[str]]) -> DataFrame:
     """Steps between consecutive states of a key that ``allowed`` does not list."""
-    stepped = with_neighbour(df, [key], order, {"previous_state": state})
+    return disallowed(with_neighbour(df, [key], order, {"previous_state": state}), state, allowed)
+
+
+def disallowed(stepped: DataFrame, state: str, allowed: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows whose step from ``previous_state`` is not allowed, with the reason."""
     chain = None
     for source, targets in allowed.items():
         permitted = F.col(state).isin(*targets) if targets else F.lit(False)

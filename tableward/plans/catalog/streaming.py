@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tableward.plans.catalog.bronze import SPEC, tidy
@@ -44,15 +46,47 @@ def stream_validate(t):
 
 @query("stream_state_transition", REGISTRY["rule_state_transition"].sql)
 def stream_state_transition(t):
-    stream = Streams(t.spark, t.folder).orders
+    folder = scratch_folder(t.spark, "stream")
+    ST.stream_transitions(
+        Streams(t.spark, t.folder).orders, "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", {"F": ["O"], "O": ["P", "F"]},
+        folder, f"{folder}-checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/steps").drop("batch")
+
+
+@contextmanager
+def rocksdb(spark):
+    """The state store that custom state needs."""
     provider = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(provider, None)
-    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return drained(t, ST.stream_transitions(
-            stream, "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", {"F": ["O"], "O": ["P", "F"]}))
+        yield
     finally:
-        t.spark.conf.unset(provider) if before is None else t.spark.conf.set(provider, before)
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+@query("stream_silence", """
+WITH last AS (SELECT event_type, max(ts) AS last FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
+SELECT event_type, date_trunc('milliseconds', last) AS last_arrival, severity, 'FR-001' AS failure_code FROM last, m, (VALUES ('WARNING', 10), ('CRITICAL', 20)) v(severity, minutes)
+WHERE date_trunc('milliseconds', last) + to_minutes(minutes) <= date_trunc('milliseconds', now)""")
+def stream_silence(t):
+    """Sources that were silent for long when the stream ended; event time is the clock."""
+    with rocksdb(t.spark):
+        found = drained(t, ST.stream_silence(Streams(t.spark, t.folder).events, "event_type", "ts", 10, 20))
+    return found.withColumn("last_arrival", F.col("last_arrival").cast("timestamp_ntz"))
+
+
+def newest(t, stream):
+    """Run a stream with complete output to its end; the last micro-batch's table."""
+    folder = scratch_folder(t.spark, "stream")
+
+    def keep(rows, number):
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option(
+        "checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    batches = t.spark.read.parquet(folder)
+    return batches.filter(F.col("batch") == batches.agg(F.max("batch").alias("b")).scalar()).drop("batch")
 
 
 WINDOWS = """
@@ -66,9 +100,9 @@ def with_gaps(events):
 
 @query("stream_window_quality", WINDOWS)
 def stream_window_quality(t):
-    windows = SV.window_quality(with_gaps(t.events), "ts", "value", "1 day", groups=["event_type"],
+    windows = SV.window_quality(with_gaps(Streams(t.spark, t.folder).events), "ts", "value", "1 day", groups=["event_type"],
                                 outlier=F.coalesce(F.col("value") > 150, F.lit(False)))
-    return rounded(windows, "null_rate", "mean", "outlier_rate")
+    return rounded(newest(t, windows), "null_rate", "mean", "outlier_rate")
 
 
 @query("stream_sessions", """
@@ -76,19 +110,16 @@ WITH g AS (SELECT user_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER (
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS rows FROM s GROUP BY user_id, n""")
 def stream_sessions(t):
+    events = Streams(t.spark, t.folder).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    found = newest(t, SV.stream_sessions(events, "ts", "user_id", "6 hours", "40 days"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("table_sessions", REGISTRY["stream_sessions"].sql)
+def table_sessions(t):
     return SV.sessions(t.events, "ts", "user_id", 6 * 3600)
 
 
 @query("stream_last_arrival", "SELECT event_type, max(ts) AS last_arrival, count(*) AS arrivals FROM events GROUP BY 1")
 def stream_last_arrival(t):
-    folder = scratch_folder(t.spark, "stream")
-    totals = SV.last_arrivals(Streams(t.spark, t.folder).events, "event_type", "ts")
-
-    def keep(rows, number):
-        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    totals.writeStream.outputMode("complete").foreachBatch(keep).option(
-        "checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    batches = t.spark.read.parquet(folder)
-    newest = batches.agg(F.max("batch").alias("b")).scalar()
-    return batches.filter(F.col("batch") == newest).drop("batch")
+    return newest(t, SV.last_arrivals(Streams(t.spark, t.folder).events, "event_type", "ts"))

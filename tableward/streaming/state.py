@@ -6,54 +6,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-
-def transition_processor(key: str, key_type: str, order: str, row_id: str, row_id_type: str, state: str,
-                         allowed: dict[str, list[str]]):
-    """Keeps the last state of each key and reports steps that ``allowed`` does not list.
-
-    Within a micro-batch rows are taken by ``order``, then row id; across batches in order of
-    arrival, as a stream delivers them.
-    """
-    schema = f"{key} {key_type}, {row_id} {row_id_type}, {state} string, previous_state string, reason string"
-
-    columns = [key, row_id, state, "previous_state", "reason"]
-
-    class Transitions(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self._last = handle.getValueState("last", T.StructType([T.StructField("state", T.StringType())]))
-
-        def handleInputRows(self, key, rows, timerValues):
-            batch = pd.concat(list(rows)).sort_values([order, row_id])
-            previous = self._last.get()[0] if self._last.exists() else None
-            out = []
-            for identity, current in zip(batch[row_id].tolist(), batch[state].tolist()):
-                if previous is not None and current not in allowed.get(previous, ()):
-                    reason = "not_allowed" if previous in allowed else "unknown_state"
-                    out.append((key[0], identity, current, previous, reason))
-                previous = current
-            self._last.update((previous,))
-            yield pd.DataFrame(out, columns=columns)
-
-        def close(self) -> None:
-            pass
-
-    return Transitions(), schema
+from tableward.functions.ordered import with_neighbour
+from tableward.operators.rules import disallowed
+from tableward.session import cut_lineage
 
 
 def stream_transitions(stream: DataFrame, key: str, order: str, row_id: str, state: str,
-                       allowed: dict[str, list[str]]) -> DataFrame:
-    """Invalid transitions of a stream.  Needs the RocksDB state store.
-
-    The rows of one key within one micro-batch are put in order in memory, so bound the
-    micro-batch (``files_per_batch`` of ``file_stream``).
+                       allowed: dict[str, list[str]], out: str, checkpoint: str,
+                       every: str | None = None) -> StreamingQuery:
+    """Invalid transitions of a stream, into ``out/steps``.
+
+    Each micro-batch finds the neighbours of its rows as a table does; the first row of a key takes
+    its state from the snapshot that the batch before left in ``out/states``.  Within a batch rows
+    are taken by ``order``, then row id; across batches as the stream delivers them.  Folders carry
+    the batch number, so a repeated batch overwrites its own.
     """
-    types = dict(stream.dtypes)
-    processor, schema = transition_processor(key, types[key], order, row_id, types[row_id], state, allowed)
-    slim = stream.select(key, order, row_id, state)
-    return slim.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = cut_lineage(batch.select(key, order, row_id, state))
+        last = rows.groupBy(key).agg(F.max_by(state, F.struct(order, row_id)).alias("last_state"))
+        if number:
+            known = spark.read.parquet(f"{out}/states/batch={number - 1}")
+        else:
+            known = last.limit(0)
+        stepped = with_neighbour(rows.withColumn("_seen", F.lit(True)), [key], [order, row_id],
+                                 {"_before": state, "_any": "_seen"})
+        before = F.when(F.coalesce("_any", F.lit(False)), F.col("_before")).otherwise(F.col("last_state"))
+        joined = stepped.join(known, key, "left").withColumn("previous_state", before)
+        found = disallowed(joined, state, allowed).select(key, row_id, state, "previous_state", "reason")
+        found.write.mode("overwrite").parquet(f"{out}/steps/batch={number}")
+        last.unionByName(known.join(last, key, "left_anti")).write.mode("overwrite").parquet(f"{out}/states/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def silence_processor(source: str, ts: str, warning_minutes: int, critical_minutes: int):

@@ -43,18 +43,17 @@ def test_each_file_is_validated_once_across_restarts(spark, tmp_path):
     assert [r["row_key"] for r in spark.read.parquet(f"{out}/quarantine").collect()] == ["2"]
 
 
-def test_transitions_over_batches_equal_the_batch_check(spark, tmp_path, rocksdb):
+def test_transitions_over_batches_equal_the_batch_check(spark, tmp_path):
     schema = "k string, t bigint, id bigint, s string"
     allowed = {"A": ["B"], "B": ["A", "C"]}
-    rows = [(f"k{i % 3}", i, i, "ABC"[(i * i + i // 3) % 3]) for i in range(60)]
-    for name, part in (("1", rows[:25]), ("2", rows[25:])):
+    rows = [(f"k{i % 3}" if i % 5 else None, i, i, "ABC"[(i * i + i // 3) % 3]) for i in range(60)]
+    out = str(tmp_path / "out")
+    for name, part in (("1", rows[:25]), ("2", rows[25:40]), ("3", rows[40:])):
         arrive(spark, tmp_path / "in", name, part, schema)
         stream = SV.file_stream(spark, str(tmp_path / "in" / "*"), schema)
-        found = ST.stream_transitions(stream, "k", "t", "id", "s", allowed)
-        found.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(
-            str(tmp_path / "out"), format="parquet").awaitTermination()
-    got = {tuple(r) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()}
-    batch = R.state_transitions(spark.createDataFrame(rows, schema), "k", ["t", "id"], "s", allowed)
+        ST.stream_transitions(stream.filter("k IS NOT NULL"), "k", "t", "id", "s", allowed, out, str(tmp_path / "cp")).awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(f"{out}/steps").drop("batch").collect()}
+    batch = R.state_transitions(spark.createDataFrame(rows, schema).filter("k IS NOT NULL"), "k", ["t", "id"], "s", allowed)
     assert got == {tuple(r) for r in batch.select("k", "id", "s", "previous_state", "reason").collect()} and got
 
 
@@ -81,3 +80,35 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
         availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 3 and all(r["rows"] == 6 for r in got)
+
+
+def test_a_row_behind_the_watermark_is_left_out(spark, tmp_path):
+    schema, zero = "ts timestamp, v double", dt.datetime(2024, 1, 1)
+    at = lambda m: (zero + dt.timedelta(minutes=m), 1.0)
+    for name, rows in (("1", [at(10), at(130)]), ("2", [at(20), at(140)]), ("3", [at(400)])):
+        arrive(spark, tmp_path / "in", name, rows, schema)
+        stream = SV.file_stream(spark, str(tmp_path / "in" / "*"), schema)
+        windows = SV.window_quality(stream, "ts", "v", "1 hour", lateness="30 minutes")
+        windows.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(
+            availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
+    got = {r["window_start"].hour: r["rows"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: 1, 2: 2}
+
+
+def test_a_running_query_takes_files_as_they_come(spark, tmp_path):
+    import time
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    arrive(spark, source, "a", [(1, "x", 5.0)], SCHEMA)
+    seen = []
+    query = SV.validate_stream(SV.file_stream(spark, str(source / "*"), SCHEMA), SPEC, ["id"], out, str(tmp_path / "cp"),
+                               every="200 milliseconds", notify=lambda _, n: seen.append(n))
+    try:
+        arrive(spark, source, "b", [(2, None, 500.0)], SCHEMA)
+        for _ in range(300):
+            if len(seen) >= 2 or query.exception():
+                break
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert spark.read.parquet(f"{out}/quarantine").count() == 1
