@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,7 @@ def blocks(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose first column has about ``size`` bytes each."""
     if not batch.num_rows:
         return
-    lengths = np.fromiter((0 if x is None else len(x) for x in text_bytes(batch.column(0))), np.int64, batch.num_rows)
+    lengths = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = (np.cumsum(lengths) - lengths) // size
     edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for lo, hi in zip(edges, edges[1:], strict=False):

@@ -48,7 +48,7 @@ LABELLED_ROWS = 24_000
 SHRINK = 2.0
 #: Features kept: those that go with toxic rows, at most this many, the strongest first.
 KEPT_FEATURES = 200_000
-LEAST_RATE, REMEMBERED = 0.3, 300_000
+LEAST_RATE, REMEMBERED = 0.3, 150_000
 #: Toxic rows that a feature must explain.
 LEAST_ROWS = 4
 #: Rate and toxic rows of a whole word that is kept as it is, and of a beginning or ending, where
