@@ -146,12 +146,14 @@ def neighbors(df: DataFrame, key: str, vector: str, label: str, threshold: float
     """``key``, ``n_links``, ``component_id`` and ``kept`` per row, and ``class_id``, the least key of its equals."""
     spark = df.sparkSession
     x = F.col("vector")
+    # Single-precision vectors travel as they are and are widened where they are compared.
+    number = "float" if df.select(vector).dtypes[0][1] == "array<float>" else "double"
     sound = (F.col("key").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0)
              & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
              & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False)))
     # Minus zero is zero: equal vectors must be equal arrays.
     rows = cut_lineage(df.select(F.col(key).alias("key"), F.col(label).cast("long").alias("label"),
-                                 F.transform(F.col(vector), lambda v: v.cast("double") + F.lit(0.0)).alias("vector"))
+                                 F.transform(F.col(vector), lambda v: v.cast(number) + F.lit(0.0).cast(number)).alias("vector"))
                        .withColumn("sound", sound))
     good = rows.filter("sound")
     classes = cut_lineage(good.groupBy("label", "vector").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies"))
@@ -182,7 +184,7 @@ def neighbors(df: DataFrame, key: str, vector: str, label: str, threshold: float
                 names=[*batch.schema.names, "leaves"])
 
     indexed = cut_lineage(classes.mapInArrow(
-        index, "label long, vector array<double>, class long, copies long, dim int, leaves array<long>"))
+        index, f"label long, vector array<{number}>, class long, copies long, dim int, leaves array<long>"))
     placed = indexed.select("label", "dim", F.explode("leaves").alias("leaf"), "class", "copies", "vector", "leaves")
     sizes = placed.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.filter(F.col("n") > BLOCK_ROWS).select(
