@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +31,32 @@ def build_session(app: str = "tableward", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint so that later plans see fixed partitions.
+def work_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and temporary tables: the session's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's shared ``spark.checkpoint.dir``.  Only a local master may fall
-    back to a folder of its own, because there every task sees the same disk.
+    Only a session on one machine may do without: it gets a folder of this process, removed when
+    the process ends.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tableward-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in the work folder, so that later plans see
+    fixed partitions and a lost executor costs no recomputation of what lies before."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="tableward-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from tableward.session import work_folder
+
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared ``spark.checkpoint.dir``; a local master may use its disk."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"tableward-{purpose}-") + "/data"
+    """A new folder below the work folder."""
+    return f"{work_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
