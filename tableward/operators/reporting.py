@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tableward.functions import chains
 from tableward.model import CRITICAL, INFO, WARNING, describe, layer_of, severity_rank, tier_of
+from tableward.session import cut_lineage
 
 # Grouping runs in Python workers, which need not have this package installed.
 register_pickle_by_value(chains)
@@ -221,22 +222,25 @@ def _micros(ts: Column) -> Column:
     return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + second
 
 
-def event_groups(events: DataFrame, width_seconds: int = 60, chunk_seconds: int = 21600) -> DataFrame:
+def event_groups(events: DataFrame, width_seconds: int = 60) -> DataFrame:
     """Greedy groups per batch: the newest event left takes every event up to a minute older.
 
     Where a group starts depends on the one before it, all the way from the newest event of the
-    batch.  Times are cut into chunks so that no batch has to fit one task: each chunk first
-    tells, for every way the scan can enter it, how the scan leaves (a few rows); these are
-    chained per batch; then each chunk labels its own times.
+    batch.  Distinct times are cut into ranges of equal row counts, whatever their density, so that
+    no batch has to fit one task: each range first tells, for every way the scan can enter it, how
+    the scan leaves (a few rows); these are chained per batch; then each range labels its own times.
     """
-    width, length = width_seconds * 1_000_000, chunk_seconds * 1_000_000
+    width = width_seconds * 1_000_000
     times = events.filter(F.col("batch_id").isNotNull() & (F.col("batch_id") != "")).groupBy(
         "batch_id", _micros(F.col("ts")).alias("us")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts"))
-    chunked = times.withColumn("chunk", F.expr(f"us div {length}"))
+    chunked = cut_lineage(times.repartitionByRange("batch_id", "us").withColumn(
+        "chunk", F.spark_partition_id().cast("bigint")))
 
     def leave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         batch, chunk = key
-        steps = chains.transfer(np.sort(pdf["us"].to_numpy()), (int(chunk) + 1) * length, width)
+        ordered = np.sort(pdf["us"].to_numpy())
+        # Later ranges hold later times only, so the scan enters above the last time here.
+        steps = chains.transfer(ordered, int(ordered[-1]) + 1, width)
         return pd.DataFrame({"batch_id": batch, "chunk": chunk, "start": [s for s, _ in steps],
                              "leaving": [e for _, e in steps]})
 
