@@ -102,12 +102,17 @@ HASHES = f"""
 SELECT contract_id, version, sha256('{{"additional_properties":' || additional_properties || ',"columns":[' ||
     string_agg({JSON_COLUMN}, ',' ORDER BY column_name) || '],"id":"' || contract_id || '","source":"' || source || '","version":"' || version || '"}}') AS contract_hash
 FROM @from GROUP BY contract_id, version, source, additional_properties"""
-LIVE = "live AS (SELECT * FROM registry WHERE l_linestatus = 'F')"
+# The whole registry; versions of open and closed lines are told apart.
+LIVE = "live AS (SELECT * REPLACE (version || '-' || l_linestatus AS version) FROM registry)"
+
+
+def live(t):
+    return contract_registry(t).withColumn("version", F.concat_ws("-", "version", "l_linestatus"))
 
 
 @query("contract_hash", f"WITH {CONTRACT_REGISTRY}, {LIVE} {HASHES.replace('@from', 'live')}")
 def contract_hash(t):
-    return C.contract_hashes(contract_registry(t).filter("l_linestatus = 'F'"))
+    return C.contract_hashes(live(t))
 
 
 JSON_PROPERTY = """'"' || column_name || '":{' || concat_ws(',', '"enum":["' || array_to_string(enum_values, '","') || '"]', '"maxLength":' || max_length, '"maximum":' || maximum,
@@ -119,7 +124,7 @@ SELECT contract_id, version, sha256('{{"additionalProperties":' || additional_pr
   '}},"required":[' || coalesce(string_agg('"' || column_name || '"', ',' ORDER BY column_name) FILTER (WHERE criticality = 'required' AND NOT nullable), '') || '],"type":"object"}}') AS schema_hash
 FROM live GROUP BY contract_id, version, additional_properties""")
 def contract_schema_hash(t):
-    return C.schema_hashes(contract_registry(t).filter("l_linestatus = 'F'"))
+    return C.schema_hashes(live(t))
 
 
 @query("contract_verify", f"""WITH {CONTRACT_REGISTRY}, {LIVE},
@@ -129,10 +134,10 @@ SELECT contract_id, version, 'SC-008' AS failure_code, 'CRITICAL' AS severity, t
   CASE WHEN r.contract_hash IS NULL THEN 'Contract not registered' ELSE 'Contract hash mismatch' END AS issue
 FROM submitted s LEFT JOIN registered r USING (contract_id, version) WHERE r.contract_hash IS NULL OR r.contract_hash <> s.contract_hash""")
 def contract_verify(t):
-    live = contract_registry(t).filter("l_linestatus = 'F'")
+    submitted = live(t)
     changed = F.when(F.col("source").isin("source-3", "source-7"), F.col("max_length") + 1).otherwise(F.col("max_length"))
-    kept = live.filter("source <> 'source-9'").withColumn("max_length", changed)
-    return C.verify_hashes(C.contract_hashes(live), C.contract_hashes(kept))
+    kept = submitted.filter("source <> 'source-9'").withColumn("max_length", changed)
+    return C.verify_hashes(C.contract_hashes(submitted), C.contract_hashes(kept))
 
 
 PARTS = "list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER))"
