@@ -112,9 +112,7 @@ def kd_tree_nodes(units: DataFrame, dims: list[str], shards: int) -> DataFrame:
         step = F.col("_node")
         for n, cut in cuts.items():
             step = F.when((F.col("_node") == n) & (F.col("_key") >= F.lit(cut)), F.lit(n + leaves[n] // 2)).otherwise(step)
-        units = placed.withColumn("_step", step).drop("_node", "_key").withColumnRenamed("_step", "_at")
-        node = F.col("_at")
-        units, node = units.withColumn("_shard", node).drop("_at"), F.col("_shard")
+        units, node = placed.withColumn("_shard", step).drop("_node", "_key"), F.col("_shard")
         leaves = {n + off: part for n, k in leaves.items()
                   for off, part in ([(0, k // 2), (k // 2, k - k // 2)] if k > 1 else [(0, k)])}
     return units.withColumn("shard", node.cast("int")).drop("_shard")

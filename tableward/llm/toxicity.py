@@ -36,7 +36,7 @@ IMITATED = {
     "£": "l", "¡": "i", "§": "s", "ø": "o", "*": "aeiou",
 }
 #: Costs in nats of reading a sign as a letter, of dropping a separator, of dropping a
-#: repeated letter, of dropping a sign that could be a letter, of a letter that is not in the alphabet.
+#: repeated letter, of dropping a sign that could be a letter, of keeping a blank between letters.
 AS_LETTER, DROP_SEPARATOR, DROP_REPEAT, DROP_SIGN, KEPT_BLANK = 1.0, 0.3, 0.5, 12.0, 1.5
 INVISIBLE = "\u200b\u200c\u200d\u00ad\u2060"
 SEPARATORS = frozenset(".-_*~^'`/\\,:;" + INVISIBLE)
@@ -47,13 +47,14 @@ LABELLED_ROWS = 24_000
 #: Pseudo-rows of the base rate that a feature's rate is shrunk with.
 SHRINK = 2.0
 #: Features kept: those that go with toxic rows, at most this many, the strongest first.
-KEPT_FEATURES = 200_000
-LEAST_RATE, REMEMBERED = 0.3, 150_000
+KEPT_FEATURES, LEAST_RATE = 200_000, 0.3
 #: Toxic rows that a feature must explain.
 LEAST_ROWS = 4
 #: Rate and toxic rows of a whole word that is kept as it is, and of a beginning or ending, where
 #: the rows of its most frequent word do not count.
 CLEAR_WORD, CLEAR_PART = (0.75, 15), (0.9, 10)
+#: Words a worker remembers before it starts afresh; decides speed and memory only.
+REMEMBERED = 150_000
 _REPEATED = re.compile(r"(.)\1\1")
 _DOUBLED = re.compile(r"(.)\1+")
 _LONG_REPEAT = re.compile(r"(\S )\1{3,}")
