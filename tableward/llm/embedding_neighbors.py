@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ TREES = 8
 SAMPLE_ROWS = 20_000
 #: Vectors of the largest label that a leaf should hold, and classes of a block.
 LEAF_ROWS, BLOCK_ROWS = 400, 1000
+#: Sampled vectors that a leaf should hold at least.
+LEAF_SAMPLE = 16
 #: Part of a node's sample on either side of the median that goes to both children.
 SPILL = 0.05
 SEED = 29
@@ -159,13 +162,17 @@ def neighbors(df: DataFrame, key: str, vector: str, label: str, threshold: float
     classes = cut_lineage(good.groupBy("label", "vector").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies"))
                           .withColumn("dim", F.size("vector")))
     most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    depth = max(0, math.ceil(math.log2(max(1, most) / LEAF_ROWS)))
-    sample = classes.orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(SAMPLE_ROWS).select("vector").collect()
-    by_dim: dict[int, list] = {}
-    for r in sample:
-        by_dim.setdefault(len(r["vector"]), []).append(r["vector"])
-    forest = spark.sparkContext.broadcast({
-        dim: [Tree(_unit(np.array(v)), depth, SEED + t) for t in range(trees)] for dim, v in by_dim.items()})
+    sample = classes.orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(SAMPLE_ROWS).select("vector").toArrow()
+    lengths = pc.list_value_length(sample.column("vector")).to_numpy()
+    # No deeper than the sample can fit, which bounds what is broadcast; leaves that stay large are
+    # compared in pairs of blocks.
+    depth = max(0, min(math.ceil(math.log2(max(1, most) / LEAF_ROWS)), int(math.log2(max(1, len(lengths)) / LEAF_SAMPLE + 1e-9))
+                       if len(lengths) else 0))
+    trees_of = {}
+    for dim in np.unique(lengths).tolist():
+        vectors = _unit(_matrix(sample.column("vector").filter(pa.array(lengths == dim)).combine_chunks(), dim))
+        trees_of[dim] = [Tree(vectors, depth, SEED + t) for t in range(trees)]
+    forest = spark.sparkContext.broadcast(trees_of)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
