@@ -54,7 +54,7 @@ LEAST_ROWS = 4
 #: the rows of its most frequent word do not count.
 CLEAR_WORD, CLEAR_PART = (0.75, 15), (0.9, 10)
 #: Words a worker remembers before it starts afresh; decides speed and memory only.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _REPEATED = re.compile(r"(.)\1\1")
 _DOUBLED = re.compile(r"(.)\1+")
 _LONG_REPEAT = re.compile(r"(\S )\1{3,}")
@@ -169,7 +169,7 @@ class Restorer(dict):
         super().__init__()
         self.cost = cost
 
-    def __missing__(self, written: bytes) -> tuple[str, ...]:
+    def read(self, written: bytes) -> tuple[str, ...]:
         text = written.decode("utf-8", "replace").lower()
         core = text.strip(EDGE).translate(_UNSEEN)
         if plain(core):
@@ -181,6 +181,10 @@ class Restorer(dict):
             # Signs at either edge may be letters or punctuation: every reading counts.
             forms = (core, text.rstrip(EDGE), text.lstrip(EDGE), text)
             found = tuple(dict.fromkeys(w for w in (viterbi(f, self.cost) for f in dict.fromkeys(forms)) if w))
+        return found
+
+    def __missing__(self, written: bytes) -> tuple[str, ...]:
+        found = self.read(written)
         if len(written) <= 40:
             if len(self) > REMEMBERED:
                 self.clear()
@@ -233,7 +237,7 @@ class Evidence(dict):
         return max((get(f, 0.0) for w in restored_words for f in features(w)), default=0.0)
 
     def __missing__(self, written: bytes) -> float:
-        found = self.of(self.words[written])
+        found = self.of(self.words.read(written))
         if len(written) <= 40:
             if len(self) > REMEMBERED:
                 self.clear()
