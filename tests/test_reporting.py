@@ -20,12 +20,24 @@ def brute_groups(times, width):
     return sorted(groups)
 
 
-@pytest.mark.parametrize("seed, chunk", [(1, 120), (2, 61), (3, 3600), (4, 60), (5, 7)])
-def test_event_groups_against_brute_force(spark, seed, chunk):
+@pytest.fixture()
+def ranges(spark, request):
+    """So many ranges, also for few rows."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(request.param)}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed, ranges", [(1, 1), (2, 2), (3, 5), (4, 13), (5, 30)], indirect=["ranges"])
+def test_event_groups_against_brute_force(spark, seed, ranges):
     rnd, zero = random.Random(seed), dt.datetime(2024, 1, 1)
     rows = [(b, zero + dt.timedelta(seconds=rnd.choice([rnd.randint(0, 600), rnd.randint(0, 9000)]), microseconds=rnd.randint(0, 1) * 5))
             for b in ("a", "b") for _ in range(150)] + [("", zero), (None, zero)]
-    got = RP.event_groups(spark.createDataFrame(rows, "batch_id string, ts timestamp_ntz"), 60, chunk)
+    got = RP.event_groups(spark.createDataFrame(rows, "batch_id string, ts timestamp_ntz"), 60)
     for batch in ("a", "b"):
         want = brute_groups([t for b, t in rows if b == batch], dt.timedelta(seconds=60))
         assert sorted((r["group_ts"], r["events"]) for r in got.filter(F.col("batch_id") == batch).collect()) == want
