@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill.
 
 A tree splits vectors again and again along random directions at the median of a bounded sample.
-Vectors close to a split go to both sides.  Vectors of one label (and length) that share a leaf of
+Vectors close to a split go to both sides, at least those within about the threshold's distance; a
+node so dense that this leaves it nearly whole is not split.  Vectors of one label (and length) that share a leaf of
 any tree are compared by cosine in double precision; pairs at or above the threshold are linked
 and united.  A pair that meets in several leaves counts in the first: every vector carries its
 leaves, so no pair is shuffled.
@@ -39,24 +40,35 @@ LEAF_ROWS, BLOCK_ROWS = 400, 1000
 LEAF_SAMPLE = 16
 #: Part of a node's sample on either side of the median that goes to both children.
 SPILL = 0.05
+#: Least width of what goes to both children, in standard deviations of the difference of two
+#: vectors at the threshold, and the largest part of a node that a child may have.
+MARGIN, CHILD_PART = 2.0, 0.75
 SEED = 29
 
 
 class Tree:
-    """Splits of one tree, by level: directions and intervals of node projections."""
+    """Splits of one tree, by level: directions and intervals of node projections.
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+    A node that no such split makes smaller is about as dense as the threshold; it goes to its left
+    child whole.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, threshold: float):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.levels = []
         members = [np.arange(len(sample))]
         for _ in range(depth):
             directions = rng.normal(size=(len(members), dim))
+            margins = MARGIN * np.sqrt(max(0.0, 2 - 2 * threshold) / dim) * np.linalg.norm(directions, axis=1)
             bounds, below = np.zeros((len(members), 2)), []
             for n, rows in enumerate(members):
                 at = sample[rows] @ directions[n]
                 if len(at):
-                    bounds[n] = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
+                    low, mid, high = np.quantile(at, [0.5 - SPILL, 0.5, 0.5 + SPILL])
+                    low, high = min(low, mid - margins[n] / 2), max(high, mid + margins[n] / 2)
+                    dense = max((at <= high).mean(), (at >= low).mean()) > CHILD_PART
+                    bounds[n] = np.inf if dense else (low, high)
                 below += [rows[at <= bounds[n, 1]], rows[at >= bounds[n, 0]]]
             self.levels.append((directions, bounds))
             members = below
@@ -171,7 +183,7 @@ def neighbors(df: DataFrame, key: str, vector: str, label: str, threshold: float
     trees_of = {}
     for dim in np.unique(lengths).tolist():
         vectors = _unit(_matrix(sample.column("vector").filter(pa.array(lengths == dim)).combine_chunks(), dim))
-        trees_of[dim] = [Tree(vectors, depth, SEED + t) for t in range(trees)]
+        trees_of[dim] = [Tree(vectors, depth, SEED + t, threshold) for t in range(trees)]
     forest = spark.sparkContext.broadcast(trees_of)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,3 +77,21 @@ def test_edges(spark):
     assert en.neighbors(df.limit(0), "vec_id", "embedding", "label").count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0], 0)] * 3, SCHEMA)
     assert [tuple(r)[:4] for r in en.neighbors(twice, "vec_id", "embedding", "label").collect()] == [(1, 2, 1, True)] * 3
+
+
+@pytest.mark.parametrize("depth", [7, 10])
+def test_dense_group_stays_together(depth):
+    """A third of the vectors in one group, nine in ten of its pairs linked, in deep trees."""
+    rng = np.random.default_rng(11)
+    group = en._unit(en._unit(rng.normal(size=(1, 64))) + rng.normal(size=(4000, 64)) * 0.016)
+    x = np.concatenate([group, en._unit(rng.normal(size=(8000, 64)))])
+    i, j = rng.integers(0, 4000, (2, 4000))
+    linked = (np.einsum("ij,ij->i", x[i], x[j]) >= 0.98) & (i != j)
+    assert 0.8 < linked.mean() < 0.97
+    i, j, met = i[linked], j[linked], np.zeros(linked.sum(), bool)
+    for t in range(en.TREES):
+        row, leaf = en.Tree(x, depth, en.SEED + t, 0.98).leaves(x)
+        held = np.zeros((len(x), 1 << depth), bool)
+        held[row, leaf] = True
+        met |= (held[i] & held[j]).any(axis=1)
+    assert met.mean() >= 0.98
