@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableward.llm import bpe, chat, embedding_neighbors, language, packing, quality_rules, sharding, simhash, subwords, toxicity
+from tableward.llm import (
+    bpe, centroids, chat, collocations, embedding_neighbors, fingerprints, language, packing, quality_rules, sharding, simhash,
+    subwords, toxicity,
+)
 from tableward.llm.common import is_held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +140,105 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every page."""
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     return language.identify(pages, documents(spark, folder), "page_id", "url", "html", "text", "lang")
+
+
+@query("op11_closed_syncmers")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are."""
+    made = fingerprints.edited_likeness(documents(spark, folder), "doc_id", "text")
+    return made.withColumns({c: fingerprints.printed(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+CLUSTERS, ROUNDS = 40, 5
+
+
+def _centroid_sql() -> str:
+    """Every round spelt out: assign, then move the centroids that have vectors."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""
+a{r} as (
+  select id, min(struct_pack(d := d, c := c)) as best from (
+    select v.id, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from v, c{r} c) group by id)""")
+        if r < ROUNDS:
+            steps.append(f"""
+s{r} as (
+  select c, list(m order by i) as x from (
+    select c, i, ((s - ((s % n) + n) % n) // n)::bigint as m from (
+      select c, i, sum(x) as s, count(*) as n from (
+        select best.c as c, unnest(range(64)) as i, unnest(x) as x from a{r} join v using (id)) group by all)) group by c),
+c{r + 1} as (select c.c, coalesce(s{r}.x, c.x) as x from c{r} c left join s{r} on s{r}.c = c.c)""")
+    return f"""
+with v as (
+  select row_number() over () as id, vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+c0 as (
+  select row_number() over (order by sha256('2:' || vec_id), x) - 1 as c, x from v
+  order by sha256('2:' || vec_id), x limit {CLUSTERS}),{",".join(steps)},
+t as (select best.c as c, sum(best.d)::bigint as s from a{ROUNDS} group by 1)
+select v.vec_id, a.best.c::int as cluster, a.best.d as distance, t.s as cluster_inertia,
+  (select sum(s) from t)::bigint as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from v join a{ROUNDS} a using (id) join t on t.c = a.best.c join c{ROUNDS} c on c.c = a.best.c"""
+
+
+@query("op12_expiring_bounds", _centroid_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster and distance of every embedding."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return centroids.fit(vectors, "vec_id", "embedding", CLUSTERS, ROUNDS).rows
+
+
+COLLOCATION_SQL = r"""
+with recursive pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)
+), starts as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from pieces
+), f as (
+  select lang, k as words, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+  from starts, (values (1), (2), (3), (4)) sizes(k) where i + k - 1 <= len(w) group by all
+), found as (
+  select *, string_split(phrase, ' ') as w from f where f >= 30
+), split as (
+  select lang, phrase, words, f as a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, words)) as k from found where words > 1)
+), cuts as (
+  select s.lang, s.phrase, s.words, a, k, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score
+  from split s join found l on l.lang = s.lang and l.phrase = s.first join found r on r.lang = s.lang and r.phrase = s.rest
+), weakest as (
+  select lang, phrase, words, a, min(struct_pack(score := score, k := k, l := l, r := r)) as cut from cuts group by all
+), longer as (
+  select lang, phrase, max(f) as most from (
+    select lang, f, array_to_string(w[:-2], ' ') as phrase from found where words >= 3
+    union all select lang, f, array_to_string(w[2:], ' ') from found where words >= 3
+    union all select lang, f, array_to_string(w[:-3], ' ') from found where words = 4
+    union all select lang, f, array_to_string(w[3:], ' ') from found where words = 4
+    union all select lang, f, array_to_string(w[2:3], ' ') from found where words = 4) group by all
+), edges as (
+  select e.lang, e.phrase, array_to_string(e.w[:-2], ' ') as tail, array_to_string(e.w[2:], ' ') as head, e.f from found e where e.words = 4
+), linked as (
+  select a.lang, a.phrase as a, b.phrase as b from edges a join edges b on a.lang = b.lang and a.head = b.tail and a.f = b.f
+  join found node on node.lang = a.lang and node.phrase = a.head and node.f = a.f
+), walk as (
+  select lang, phrase as start, phrase, 4 as words from edges e
+  where not exists (select 1 from linked k where k.lang = e.lang and k.b = e.phrase)
+  union all select walk.lang, start, k.b, walk.words + 1 from walk join linked k on k.lang = walk.lang and k.a = walk.phrase
+), path as (
+  select lang, phrase, max(words) over (partition by lang, start) as path_words from walk
+), ranked as (
+  select w.lang, row_number() over (partition by w.lang order by cut.score desc, a desc, w.phrase) as rank, w.phrase, words, a, cut
+  from weakest w left join longer using (lang, phrase) where most is null or 100 * most < 80 * a
+)
+select lang, rank, phrase, a, cut.l as l, cut.r as r, (select sum(f)::bigint from f where f.lang = ranked.lang and words = 1) as n,
+  cut.score::bigint as score, coalesce(path_words, words)::bigint as path_words
+from ranked left join path using (lang, phrase) where rank <= 2000
+"""
+
+
+@query("op13_de_bruijn_phrases", COLLOCATION_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations.collocations(documents(spark, folder), "text", "lang")
