@@ -207,7 +207,9 @@ def train(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, mod
     # At most twice per_class rows.
     chosen = F.broadcast(first[0].union(first[1]))
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(chosen, "_k")
-    made = map_texts(rows.dropDuplicates(["_k"]), "_t", ["_y", "_k"], bags, "buckets binary, weights binary")
+    # Of rows with one id the least text counts.
+    single = rows.groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
+    made = map_texts(single, "_t", ["_y", "_k"], bags, "buckets binary, weights binary")
     return fit([(r["_y"], r["buckets"], r["weights"]) for r in sorted(made.collect(), key=lambda r: r["_k"])])
 
 

@@ -247,14 +247,15 @@ class Evidence(dict):
 
 def score_text(text: bytes | None, evidence: Evidence, base: float) -> float:
     written = (text or b"").split()
-    if not written:
-        return base
+    # Without words, or where all labelled rows were of one class, nothing tells texts apart.
+    if not written or base in (0, 1):
+        return float(base)
     found = [evidence[w] for w in set(written)]
     found += [evidence.of(evidence.words.spaced(run)) for run in spelled(written)]
     top = sorted((r for r in found if r), reverse=True)[:3]
     if not top:
         return 0.0
-    odds = base / (1 - base) if 0 < base < 1 else 1.0
+    odds = base / (1 - base)
     total = odds
     for r in top:
         total *= r / (1 - r) / odds
@@ -270,7 +271,8 @@ def train(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, mod
     # At most ``rows`` rows.
     chosen = F.broadcast(known.orderBy(F.xxhash64("_k"), "_k").limit(rows))
     docs = (df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(chosen, "_k")
-            .filter(F.col("_t").isNotNull()).dropDuplicates(["_t"]))
+            # Equal texts count once, as toxic if one of them is.
+            .filter(F.col("_t").isNotNull()).groupBy("_t").agg(F.max("_y").alias("_y")))
     shared = df.sparkSession.sparkContext.broadcast(model.cost)
 
     def count(batches):

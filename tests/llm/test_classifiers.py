@@ -144,3 +144,25 @@ def test_edges(spark, docs):
     chars = toxicity.char_model(empty, "text")
     assert toxicity.score(empty, "text", ["doc_id"], chars, *toxicity.train(
         empty, labels, "doc_id", "text", "toxic", 3, 1, chars)).count() == 0
+
+
+@pytest.mark.parametrize("y", [0, 1])
+def test_labels_of_one_class(docs, spark, y):
+    """Where all labelled rows are of one class every text has a defined score."""
+    df = docs([(n, f"some words of text {n}" if n else "", "en", "s") for n in range(20)] + [(90, None, None, None)])
+    labels = spark.createDataFrame([(n, y, y) for n in range(20)], "doc_id long, quality int, toxic int")
+    chars = toxicity.char_model(df, "text")
+    rates = toxicity.train(df, labels, "doc_id", "text", "toxic", 3, 1, chars)
+    assert {r.score for r in toxicity.score(df, "text", ["doc_id"], chars, *rates).collect()} == {float(y)}
+    model = subwords.train(df, labels, "doc_id", "text", "quality", 5, 0)
+    scores = [r[-1] for r in subwords.score(df, "text", ["doc_id"], model).collect()]
+    assert len(scores) == 21 and all(0 <= s <= 1 for s in scores) and (min(scores) > 0.5 if y else max(scores) < 0.5)
+
+
+def test_equal_texts_with_different_labels(docs, spark):
+    """A text is toxic if one of its rows is, whichever row a task meets first."""
+    df = docs([(n, f"text {n % 10} {'bad' if n % 10 < 5 else 'good'}", "en", "s") for n in range(60)])
+    labels = spark.createDataFrame([(n, 0, int(n % 10 < 5 and n < 30)) for n in range(60)], "doc_id long, quality int, toxic int")
+    chars = toxicity.char_model(df, "text")
+    made = [toxicity.train(df.repartition(k), labels, "doc_id", "text", "toxic", 3, 1, chars) for k in (1, 7)]
+    assert made[0] == made[1] and made[0][1] == 0.5
