@@ -30,7 +30,8 @@ BUCKET_BITS = 14
 EFFECTIVE = 60
 #: Pseudo-pages of the level above in a host's or domain's prior, and of the mean in a likelihood.
 HOST_WEIGHT, EVIDENCE_WEIGHT = 5.0, 20.0
-_LANG = re.compile(rb"<html[^>]{0,2000}?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+_HTML = re.compile(rb"<html\b[^>]*", re.I)
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
 _TRIGRAM = np.uint32(0x9E3779B1)
 
 
@@ -96,7 +97,7 @@ def read_pages(pages: DataFrame, html: str, url: str, keep: list[str], model: np
     def work(htmls: list[bytes | None], model: np.ndarray) -> list[pa.Array]:
         declared, lls = [], []
         for h in htmls:
-            found = _LANG.search(h or b"")
+            found = next(filter(None, (_LANG.search(tag[0]) for tag in _HTML.finditer(h or b""))), None)
             declared.append(found[1][:2].lower().decode() if found else "")
             grams = trigrams(visible(h)) if h else np.zeros(0, np.int64)
             if len(grams):

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tableward.llm import language, queries
 
@@ -66,3 +67,12 @@ def test_edges(spark):
     assert language.identify(pages.limit(0), docs, "page_id", "url", "html", "text", "lang").count() == 0
     found = language.identify(pages, docs.limit(0), "page_id", "url", "html", "text", "lang").collect()
     assert len(found) == 3 and all(r.lang is None for r in found)
+
+
+@pytest.mark.parametrize("before", [0, 1999, 2000, 50000])
+def test_declared_language_behind_attributes_of_any_length(spark, before):
+    html = f"<HTML data-x='{'y' * before}'\n lang = 'fr-CA'>le la"
+    pages = spark.createDataFrame([(1, "http://x.de/", html), (2, "http://x.de/", "<html><p lang='de'>x"),
+                                   (3, "http://x.de/", "<html " * 20000)], "page_id long, url string, html string")
+    read = language.read_pages(pages, "html", "url", ["page_id"], np.zeros((1, 1 << language.BUCKET_BITS)))
+    assert {r.page_id: r.declared for r in read.collect()} == {1: "fr", 2: "", 3: ""}
