@@ -8,7 +8,8 @@ buckets per node, and the next round looks into the bucket that holds the median
 bucket is light or cannot be divided.  Only the histograms of at most ``shards`` nodes reach the
 driver.
 
-Contract: a null text weighs one byte and counts as empty.  Null metadata sorts first.  Texts of
+Contract: a null text weighs one byte and counts as empty.  Metadata are compared whole, as places
+among their distinct values; null is the empty text.  Texts of
 any length are weighed whole.  Ties on a dimension are ordered by the hash of the text.  Repeated
 rows get slots of their own.  An empty table gives no rows.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tableward.functions.ordered import running_totals
 from tableward.llm.common import cut_lineage
 
 #: Bits of a dimension's value and of the tie-breaking hash in a sort key, and of one histogram.
@@ -31,10 +33,11 @@ TOLERANCE = 0.0005
 SLOT_ROWS = 100_000
 
 
-def _text_code(column: str) -> Column:
-    """The first six bytes of a text as a number that sorts like it."""
-    head = F.substring(F.hex(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")), 1, 12)
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced by the place of its value among the distinct ones, in byte order."""
+    values = rows.select(column).distinct().withColumn("_one", F.lit(1).cast("long"))
+    places = running_totals(values, [], column, ["_one"]).select(F.col(column).alias("_value"), F.col("cum__one").cast("double").alias("_place"))
+    return rows.join(places, F.col(column) == F.col("_value")).withColumn(column, F.col("_place")).drop("_value", "_place")
 
 
 def _sort_key(dims: list[str], bounds: dict[str, tuple[float, float]]) -> dict[str, Column]:
@@ -143,7 +146,7 @@ def kd_shards(df: DataFrame, key: str, text: str, metadata: list[str], shards: i
     rows = cut_lineage(df.select(
         F.col(key).alias("_key_id"), (F.octet_length(whole) + 1).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole).alias("_text"),
-        *[_text_code(m).alias(f"_m{i}") for i, m in enumerate(metadata)]))
+        *[F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"_m{i}") for i, m in enumerate(metadata)]))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
     weight = total["bytes"] or 0
     if shards is None:
@@ -153,6 +156,8 @@ def kd_shards(df: DataFrame, key: str, text: str, metadata: list[str], shards: i
     # At most shards / LARGE_PART groups weigh this much.
     large = groups.filter(F.col("_w") > limit).select(
         "_text", F.ceil(F.col("_w") / F.lit(limit)).cast("long").alias("_parts"))
+    for i in range(len(metadata)):
+        rows = _ranked(rows, f"_m{i}")
     rows = rows.join(F.broadcast(large), "_text", "left").withColumn("_unit", F.when(
         F.col("_parts").isNotNull(), F.xxhash64("_text", F.pmod(F.xxhash64("_key_id", F.lit(3)), F.col("_parts")))
     ).otherwise(F.col("_text"))).drop("_parts")

@@ -51,3 +51,40 @@ def test_edges(docs):
 def test_no_python_in_the_plan(spark, small, capsys):
     queries.QUERIES["op6_kd_sharding"](spark, small).explain("formatted")
     assert "Python" not in (plan := capsys.readouterr().out) and "Arrow" not in plan
+
+
+def kd_brute(rows, shards, large):
+    """Shard loads of a k-d tree over (weight, dims) units, split at exact weighted medians."""
+    whole = {d: max(u[1][d] for u in rows) - min(u[1][d] for u in rows) or 1 for d in range(len(rows[0][1]))}
+
+    def split(units, k):
+        if k == 1:
+            return [sum(w for w, _ in units)]
+        wide = max(whole, key=lambda d: (max(u[1][d] for u in units) - min(u[1][d] for u in units)) / whole[d])
+        units = sorted(units, key=lambda u: u[1][wide])
+        below, share, at = 0, sum(w for w, _ in units) * (k // 2) / k, 0
+        while at < len(units) and below + units[at][0] / 2 < share:
+            below += units[at][0]
+            at += 1
+        return split(units[:at], k // 2) + split(units[at:], k - k // 2)
+
+    return split(rows, shards)
+
+
+def test_tree_is_that_of_brute_force(spark, docs):
+    """One text a group, sizes all different: shards hold what exact medians give them, and each is a box."""
+    rows = [(n, "w" * (40 + 3 * n), f"language-{n % 4}", f"a long source name {(n * 7) % 11:02d}") for n in range(800)]
+    found = sharding.kd_shards(docs(rows), "doc_id", "text", ["lang", "source"], shards=8).collect()
+    shard = {r.doc_id: r.shard for r in found}
+    import math
+    units = [(len(t) + 1, (math.log2(len(t) + 1), int(g[-1]), int(s[-2:]))) for _, t, g, s in rows]
+    want = kd_brute(units, 8, 0)
+    got = [sum(len(t) + 1 for n, t, *_ in rows if shard[n] == k) for k in range(8)]
+    assert all(abs(a - b) <= 0.01 * sum(want) / 8 + 2500 for a, b in zip(got, want, strict=True)), (got, want)
+
+
+def test_metadata_are_compared_whole(spark, docs):
+    """Values equal in their first bytes are different places on a dimension."""
+    rows = [(n, "x" * 50 + f"{n:04d}", f"a very long common prefix {n % 2}", None) for n in range(400)]
+    found = sharding.kd_shards(docs(rows), "doc_id", "text", ["lang"], shards=2).collect()
+    assert len({(r.shard, r.doc_id % 2) for r in found}) == 2
