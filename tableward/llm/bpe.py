@@ -8,8 +8,9 @@ them.  Following the stored tokens backwards from the end of the word gives its
 
 Contract: null and empty texts have no ids and decode to the empty text.  Texts of any length are
 read whole.  Repeated rows give repeated results; columns besides the text pass through.  Ids equal
-the tokenizers library's for every character assigned in its Unicode tables (newer ones may be
-classed differently by ours).
+the tokenizers library's for every character.  Its Unicode tables are not those of this Python: a
+character that its splitting shows to be classed or composed differently has the text that holds it
+split by the library.  Encoding is ours in any case.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tableward.llm.common import map_texts
 
@@ -48,6 +50,9 @@ class PrefixBpe:
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.symbols = byte_symbols()
+        self.byte_of = {c: b for b, c in self.symbols.items()}
+        self.library = Tokenizer.from_file(path)
+        self.agreed: dict[str, bool] = {}
         self._read_steps(spec)
         self._read_merges(model["vocab"], model["merges"])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
@@ -163,6 +168,29 @@ class PrefixBpe:
         return ids
 
     def _plain(self, text: str) -> list[int]:
+        encode = self.encode_word
+        return [i for word in self.split(text) for i in encode(word)]
+
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or all(map(self._agrees, set(text))):
+            return self._own_split(text)
+        return self._library_split(text)
+
+    def _agrees(self, c: str) -> bool:
+        """Whether both split texts alike that hold a character alone, among others and among marks."""
+        known = self.agreed.get(c)
+        if known is None:
+            probe = f"{c} a{c}a {c}{c} 1{c}1 !{c}! a\u0301{c}\u0323"
+            known = self.agreed[c] = c.isascii() or self._own_split(probe) == self._library_split(probe)
+        return known
+
+    def _library_split(self, text: str) -> list[str]:
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        byte = self.byte_of
+        return [bytes([byte[c] for c in piece]).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _own_split(self, text: str) -> list[str]:
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if not self.free_of_space:
@@ -170,8 +198,7 @@ class PrefixBpe:
                 text = pattern.sub(content, text)
         if self.lower:  # one character at a time: no rule looks at the neighbours
             text = text.lower() if text.isascii() else "".join([c.lower() for c in text])
-        encode = self.encode_word
-        return [i for word in self.pattern.findall(text) for i in encode(word)]
+        return self.pattern.findall(text)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; the strings of special tokens in it become their ids."""
@@ -188,7 +215,7 @@ class PrefixBpe:
         """UTF-8 bytes of the decoded text."""
         if self.joined_by_space:
             return " ".join([self.text_of[i] for i in ids]).encode()
-        special, back = set(self.special.values()), {c: b for b, c in self.symbols.items()}
+        special, back = set(self.special.values()), self.byte_of
         raw = b"".join([self.text_of[i].encode() if i in special else bytes([back[c] for c in self.text_of[i]])
                         for i in ids])
         return raw.decode("utf-8", "replace").encode()

@@ -63,3 +63,15 @@ def test_edges(docs):
         df, "text", ["doc_id"], WORD).withColumnRenamed("ids", "ids_").collect()}
     assert found == {(None, "a</w> b</w>"): 8, (1, ""): 0, (2, ""): 0}
     assert bpe.encode_decode(df.limit(0), "text", ["doc_id"], WORD).count() == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_code_point_equals_the_library(path):
+    """All planes: assigned or not in this Python's tables, alone, among letters and among digits."""
+    mine, library = bpe.PrefixBpe(path), Tokenizer.from_file(path)
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    # Far planes hold nothing but unassigned and private characters: every 31st.
+    points = [c for n, c in enumerate(points) if ord(c) < 0x32000 or 0xE0000 <= ord(c) < 0xE0200 or n % 31 == 0]
+    texts = [f"{c} a{c}b{c}{c} 1{c}!" for c in points]
+    wrong = [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if mine.encode(t) != e.ids]
+    assert not wrong, (len(wrong), wrong[:3])
