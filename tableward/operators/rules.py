@@ -2,6 +2,10 @@
 
 Rules are Spark SQL text over the columns of one row.  All rules of a set are evaluated in one
 scan: an array of violation structs per row, nulls removed, then exploded.
+
+A row that a rule cannot evaluate (zero divisor, text that is no number, missing element) has a null
+there and ends no job: a boolean rule or sequence is violated, a calculation passes, a condition does
+not hold.  A sum or product of whole numbers that may pass 64 bits is to be written on decimals.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from tableward.functions.ordered import null_safe, top_per_group, with_neighbour
 from tableward.functions.predicates import first_identifier, row_key
 from tableward.model import CRITICAL, INFO, WARNING, severity_name, severity_rank
 from tableward.operators.bronze import RowCheck, profile
+from tableward.session import undefined_as_null
 
 # Rule type -> failure code used when a rule names none.
 RULE_CODES = {
@@ -139,7 +144,8 @@ def resolve_rules(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = N
             reason = "transitions need a field, an entity and an order"
         elif not reason and r.of_rows:
             try:
-                df.select(violated(r, as_of))
+                with undefined_as_null(df.sparkSession):
+                    df.select(violated(r, as_of))
             except (AnalysisException, ParseException, ValueError) as e:
                 reason = str(e).splitlines()[0][:200]
         elif not reason and r.kind not in RULE_CODES:
@@ -169,7 +175,8 @@ def check_rules(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = (),
             F.lit(r.severity).alias("severity"), F.lit(",".join(r.fields)).alias("fields")))
         for r in active(rules)
     ]
-    return df.select(identity.alias("row_key"), F.inline(F.array_compact(F.array(*hits))))
+    with undefined_as_null(df.sparkSession):
+        return df.select(identity.alias("row_key"), F.inline(F.array_compact(F.array(*hits))))
 
 
 def rule_report(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = None) -> DataFrame:
@@ -179,7 +186,8 @@ def rule_report(df: DataFrame, rules: Sequence[Rule], as_of: Column | None = Non
     for i, r in enumerate(ordered):
         if r.enabled:
             counts.append(F.count_if(violated(r, as_of)).alias(f"f{i}"))
-    wide = df.agg(F.count(F.lit(1)).alias("total"), *counts)
+    with undefined_as_null(df.sparkSession):
+        wide = df.agg(F.count(F.lit(1)).alias("total"), *counts)
     rows = []
     for i, r in enumerate(ordered):
         failed = F.col(f"f{i}") if r.enabled else F.lit(0).cast("bigint")

@@ -71,6 +71,38 @@ for _name, _ids in {
     query(_name, f"WITH {ORDER_LINES} {_violations_sql(*_ids)}")(lambda t, ids=_ids: _check(t, *ids))
 
 
+UNDEFINED = (
+    R.Rule("unit_price", "crossfield", "l_extendedprice / (l_quantity - l_linenumber) > 500", fields=("l_quantity",), severity="CRITICAL"),
+    R.Rule("reads_as_number", "domain", "cast(code AS INT) >= 0", fields=("code",)),
+    R.Rule("third_part", "domain", "parts[2] <> ''", fields=("parts",)),
+    R.Rule("named_part", "domain", "element_at(parts, l_linenumber) IS NOT NULL", fields=("parts",), severity="INFO"),
+    R.Rule("share_of_price", "calculation", "l_tax / l_discount", fields=("l_discount",), tolerance=0.5),
+    R.Rule("only_if_ratio", "domain", "false", condition="l_tax / l_discount > 4", fields=("l_tax",)),
+)
+
+
+@query("rule_undefined", f"""
+WITH lines AS (
+  SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN 'n/a' ELSE CAST(l_linenumber AS VARCHAR) END AS code,
+    CASE WHEN l_partkey % 2 = 0 THEN ['a', 'b'] ELSE ['a', 'b', 'c', 'd'] END AS parts FROM lineitem),
+hits AS (
+  SELECT *, 'unit_price' AS rule_id, 'BL-001' AS failure_code, 'CRITICAL' AS severity, 'l_quantity' AS fields FROM lines
+    WHERE NOT coalesce(CASE WHEN l_quantity <> l_linenumber THEN l_extendedprice / (l_quantity - l_linenumber) END > 500, false)
+  UNION ALL SELECT *, 'reads_as_number', 'BL-006', 'WARNING', 'code' FROM lines WHERE NOT coalesce(try_cast(code AS INTEGER) >= 0, false)
+  UNION ALL SELECT *, 'third_part', 'BL-006', 'WARNING', 'parts' FROM lines WHERE len(parts) < 3
+  UNION ALL SELECT *, 'named_part', 'BL-006', 'INFO', 'parts' FROM lines WHERE len(parts) < l_linenumber
+  UNION ALL SELECT *, 'share_of_price', 'BL-003', 'WARNING', 'l_discount' FROM lines WHERE l_discount <> 0 AND abs(l_discount - l_tax / l_discount) > 0.5
+  UNION ALL SELECT *, 'only_if_ratio', 'BL-006', 'WARNING', 'l_tax' FROM lines WHERE l_discount <> 0 AND l_tax / l_discount > 4)
+SELECT {LINE_KEY_SQL} AS row_key, rule_id, failure_code, severity, fields FROM hits""")
+def rule_undefined(t):
+    """Rows that rules cannot evaluate: zero divisors, text that is no number, missing elements."""
+    lines = t.lineitem.withColumns({
+        "code": F.when(F.col("l_linenumber") % 3 == 0, "n/a").otherwise(F.col("l_linenumber").cast("string")),
+        "parts": F.when(F.col("l_partkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(
+            F.array(*map(F.lit, "abcd")))})
+    return R.check_rules(lines, UNDEFINED, LINE_KEY)
+
+
 @query("rule_report", f"WITH {ORDER_LINES}, counted AS (SELECT count(*) AS total, " + ", ".join(
     f"count(*) FILTER (WHERE {b[2]}) AS {n}" for n, b in BROKEN.items()) + " FROM lines) " + " UNION ALL ".join(
     f"SELECT '{n}' AS rule_id, {b[4]} AS priority, false AS skipped, total AS evaluated, total - {n} AS passed, {n} AS failed FROM counted"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,21 @@ def build_session(app: str = "tableward", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@contextmanager
+def undefined_as_null(spark: SparkSession) -> Iterator[None]:
+    """What is analysed inside gives null where a row has no value: a division by zero, text that is
+    no number, an element that is not there.  Outside, one such row would end the job.
+
+    Only analysis depends on it: a DataFrame made inside keeps this reading wherever it runs.
+    """
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and temporary tables: the session's ``spark.checkpoint.dir``.
 
