@@ -108,7 +108,15 @@ def badly_encoded(column: Column, data_type: str) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    """Key values joined by ``|``; different values give different keys.
+
+    A null is ``\\N``; a backslash or bar inside a value has a backslash before it.
+    """
+    def part(name: str) -> Column:
+        text = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(text, F.lit("\\N"))
+
+    return F.concat_ws("|", *map(part, columns))
 
 
 def first_identifier(columns, candidates=("id", "order_id", "customer_id", "_id", "record_id")) -> Column:

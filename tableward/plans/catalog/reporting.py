@@ -124,6 +124,27 @@ def quarantine_release(t):
     return left.select("batch_id", "row_key", F.array_join("failure_codes", ",").alias("failure_codes"))
 
 
+@query("quarantine_release_twice", """
+WITH rows AS (
+  SELECT CASE WHEN event_id % 5 <> 0 THEN event_type || CASE WHEN event_id % 7 = 0 THEN '|x' ELSE '' END END AS a,
+    CASE WHEN event_id % 3 <> 0 THEN user_id END AS b, event_id, event_type FROM events)
+SELECT 'all' AS batch_id, coalesce(replace(replace(a, chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), chr(92) || 'N') || '|'
+    || coalesce(CAST(b AS VARCHAR), chr(92) || 'N') || '|' || event_id AS row_key, count(*) AS times
+FROM rows WHERE event_type IN ('click', 'view') GROUP BY ALL""")
+def quarantine_release_twice(t):
+    """Released rows of keys with nulls and bars, after two calls that overlap."""
+    held, released = scratch_folder(t.spark, "held"), scratch_folder(t.spark, "released")
+    e = F.col("event_id")
+    rows = t.events.withColumns({
+        "a": F.when(e % 5 != 0, F.concat("event_type", F.when(e % 7 == 0, "|x").otherwise(""))), "b": F.when(e % 3 != 0, F.col("user_id"))})
+    always = B.BatchSpec(count=B.CountSpec(minimum=1 << 40))  # a finding that hits every row
+    sinks.append_quarantine(B.quarantine(rows, always, ["a", "b", "event_id"]).withColumn("batch_id", F.lit("all")), held)
+    kind = F.get_json_object("record", "$.event_type")
+    for wanted in (["click"], ["click", "view"], ["view"]):
+        sinks.release(t.spark, held, released, t.spark.read.parquet(held).filter(kind.isin(wanted)))
+    return t.spark.read.parquet(released).groupBy("batch_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("baseline_store", "SELECT event_type AS key, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1")
 def baseline_store(t):
     folder = scratch_folder(t.spark, "baselines")

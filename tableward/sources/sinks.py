@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +32,25 @@ def append_quarantine(df: DataFrame, path: str) -> None:
 def release(spark: SparkSession, path: str, released_path: str, released_keys: DataFrame) -> DataFrame:
     """Move rows out of quarantine by appending them to a table of released rows.
 
-    Nothing is rewritten: what is still held is the quarantine without the released keys.
+    Nothing is rewritten: what is still held is the quarantine without the released keys.  Keys that
+    were released before are left alone, so a repeated call adds nothing.
     """
-    held = spark.read.parquet(path)
+    held = still_held(spark, path, released_path)
     freed = held.join(released_keys.select("batch_id", "row_key").distinct(), ["batch_id", "row_key"], "left_semi")
     freed.write.mode("append").parquet(released_path)
     return still_held(spark, path, released_path)
 
 
 def still_held(spark: SparkSession, path: str, released_path: str) -> DataFrame:
-    released = spark.read.parquet(released_path).select("batch_id", "row_key")
-    return spark.read.parquet(path).join(released, ["batch_id", "row_key"], "left_anti")
+    held = spark.read.parquet(path)
+    try:
+        released = spark.read.parquet(released_path)
+    except AnalysisException as e:
+        # Nothing released yet: no folder, or one without files.
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return held
+    return held.join(released.select("batch_id", "row_key").distinct(), ["batch_id", "row_key"], "left_anti")
 
 
 def save_baseline(df: DataFrame, path: str, name: str) -> None:
