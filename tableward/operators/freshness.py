@@ -179,13 +179,21 @@ def missed_deliveries(per_tick: DataFrame) -> DataFrame:
     ).drop("_run").withColumn("failure_code", F.when(F.col("consecutive_misses") >= 2, "FR-005"))
 
 
-def open_misses(slas: DataFrame, last: DataFrame, as_of: Column) -> DataFrame:
-    """Expected arrivals since the last one that came (FR-005 from two), per deadline."""
-    open_slas = slas.filter("enabled AND valid").join(last.select("source", "last_arrival"), "source")
-    due = calendar(open_slas, F.col("last_arrival"), as_of).join(last.select("source", "last_arrival"), "source")
-    return due.filter(F.col("tick") > F.col("last_arrival")).groupBy("source", "sla_id").agg(
-        F.count(F.lit(1)).alias("consecutive_misses")).filter("consecutive_misses >= 2").withColumns(
-        {"failure_code": F.lit("FR-005"), "severity": F.lit(CRITICAL)})
+def open_misses(slas: DataFrame, last: DataFrame, as_of: Column, grace_seconds: int = 1800) -> DataFrame:
+    """Expected arrivals since the last one that came (FR-005 from two), per deadline.
+
+    A source that never delivered has missed its latest expected arrival, once ``grace_seconds`` have
+    passed; how many before it is not known, so its count is null.
+    """
+    known = last.select("source", "last_arrival")
+    open_slas = slas.filter("enabled AND valid").join(known, "source")
+    due = calendar(open_slas, F.col("last_arrival"), as_of).join(known, "source")
+    missed = due.filter(F.col("tick") > F.col("last_arrival")).groupBy("source", "sla_id").agg(
+        F.count(F.lit(1)).alias("consecutive_misses")).filter("consecutive_misses >= 2")
+    never = slas.filter("enabled").join(known.filter("last_arrival IS NOT NULL"), "source", "left_anti").filter(
+        seconds_between(as_of, previous_tick(as_of)) > grace_seconds).select(
+        "source", "sla_id", F.lit(None).cast("bigint").alias("consecutive_misses"))
+    return missed.unionByName(never).withColumns({"failure_code": F.lit("FR-005"), "severity": F.lit(CRITICAL)})
 
 
 def arrival_volume(slas: DataFrame, batches: DataFrame) -> DataFrame:
