@@ -248,6 +248,29 @@ def profile(df: DataFrame, checks: Sequence[RowCheck], count: CountSpec | None =
     return reduce(DataFrame.unionByName, slices)
 
 
+def profile_groups(df: DataFrame, by: Sequence[str], checks: Sequence[RowCheck], count: CountSpec | None = None) -> DataFrame:
+    """``profile`` of every group of rows (file, day, source), from one fused aggregate over one scan.
+
+    Partial sums are made per task and group, so a group of any size is counted by all tasks.
+    """
+    if not checks and not count:
+        return df.select(*by).limit(0).join(df.sparkSession.createDataFrame([], FINDING_DDL))
+    slices = []
+    for start in range(0, max(len(checks), 1), SLICE):
+        part = checks[start:start + SLICE]
+        wide = df.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_total"), *[F.count_if(c.violated).alias(f"_n{i}") for i, c in enumerate(part)],
+            *[c.extra.alias(f"_x{i}") for i, c in enumerate(part)])
+        rows = [_count_row(F.col("_total"), count)] if count and start == 0 else []
+        for i, c in enumerate(part):
+            n, total = F.col(f"_n{i}"), F.col("_total")
+            pct = _share(n, total)
+            failed = (n > 0) & (pct > c.tolerance)
+            rows.append(_finding(c.name, c.code, c.field, n, total, pct, failed, c.score(pct, F.col(f"_x{i}"), n), c.level))
+        slices.append(wide.select(*by, F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, slices)
+
+
 def count_finding(df: DataFrame, spec: CountSpec) -> DataFrame:
     return profile(df, [], spec)
 
@@ -345,10 +368,14 @@ def outlier_predicates(df: DataFrame, columns: Sequence[str], threshold: float =
 
 def outlier_checks(df: DataFrame, columns: Sequence[str], threshold: float = 3.0,
                    min_records: int = 30) -> list[RowCheck]:
+    return _outlier_row_checks(outlier_predicates(df, columns, threshold, min_records))
+
+
+def _outlier_row_checks(predicates: dict[str, Column]) -> list[RowCheck]:
     return [
         RowCheck("outlier", "DV-004", c, bad, lambda pct, _, n: S.outlier_score(pct, n),
                  level=lambda score, n: S.outlier_level(score))
-        for c, bad in outlier_predicates(df, columns, threshold, min_records).items()
+        for c, bad in predicates.items()
     ]
 
 
@@ -394,6 +421,79 @@ def validate_batch(df: DataFrame, spec: BatchSpec) -> DataFrame:
     return findings
 
 
+def _same_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_g_{c}"]) for c in by])
+
+
+def with_group_moments(df: DataFrame, by: Sequence[str], columns: Sequence[str], min_records: int = 30) -> DataFrame:
+    """Adds ``_z_<column>``: how many deviations a value lies from its group's mean; null where a group has
+    too few values or no spread.  One row of moments a group is joined."""
+    moments = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(*[
+        F.struct(F.avg(finite(F.col(c))).alias("mean"), F.stddev_pop(finite(F.col(c))).alias("std"),
+                 F.count(finite(F.col(c))).alias("n")).alias(f"_m_{c}") for c in columns])
+    joined = df.join(moments, _same_group(df, moments, by), "left")
+    z = {f"_z_{c}": F.when((F.col(f"_m_{c}.n") >= min_records) & (F.col(f"_m_{c}.std") > 0),
+                           F.abs(finite(F.col(c)) - F.col(f"_m_{c}.mean")) / F.col(f"_m_{c}.std")) for c in columns}
+    return joined.withColumns(z).select(*df.columns, *z)
+
+
+def duplicate_findings(df: DataFrame, spec: DuplicateSpec, by: Sequence[str]) -> DataFrame:
+    """``duplicate_finding`` of every group of rows; rows repeat only within their group."""
+    keys = duplicate_keys(df.drop(*by) if not spec.keys else df, spec)
+    sizes = df.select(*by, *keys).groupBy(*by, *[f"_k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("_m"))
+    totals = sizes.groupBy(*by).agg(F.sum("_m").alias("_total"), F.coalesce(F.sum(F.when(F.col("_m") > 1, F.col("_m"))), F.lit(0)).alias("_n"),
+                                    F.count_if(F.col("_m") > 1).alias("_groups"))
+    n, total = F.col("_n"), F.col("_total")
+    pct = _share(n, total)
+    failed = (pct > spec.tolerance) & (n > 0)
+    finding = _finding("duplicate", "DV-006", ",".join(spec.keys) or "*", n, total, pct, failed, S.duplicate_score(pct, F.col("_groups")))
+    return totals.select(*by, finding.alias("_f")).select(*by, "_f.*")
+
+
+def validate_groups(df: DataFrame, spec: BatchSpec, by: Sequence[str]) -> DataFrame:
+    """``validate_batch`` of every group of rows, each judged on its own: the group's columns and its findings.
+
+    Scans: one for the moments of outlier columns, one for every count, one for duplicates, however many
+    groups there are.  Nothing is fetched.
+    """
+    checks, rows = row_checks(df, spec), df
+    if spec.outliers:
+        rows = with_group_moments(df, by, spec.outliers)
+        checks += _outlier_row_checks({c: F.coalesce(F.col(f"_z_{c}") > spec.z_threshold, F.lit(False)) for c in spec.outliers})
+    findings = profile_groups(rows, by, checks, spec.count)
+    if spec.duplicates:
+        findings = findings.unionByName(duplicate_findings(df, spec.duplicates, by))
+    return findings
+
+
+def quarantine_groups(df: DataFrame, spec: BatchSpec, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``quarantine`` of every group of rows, with the group's columns.
+
+    The severities of a group's checks come by one joined row a group; a row is held by the checks that it
+    breaks and that are CRITICAL in its group.
+    """
+    spec_rows = replace(spec, outliers=())
+    found = validate_groups(df, spec_rows, by).filter(F.col("severity") == CRITICAL)
+    critical = found.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(
+        F.collect_set(F.concat_ws(":", "check_name", "field")).alias("_critical"))
+    marked = df.join(critical, _same_group(df, critical, by)).select(*df.columns, "_critical")
+    hits = [(c.violated, c.code, c.id) for c in row_checks(df, spec)] + [(F.lit(True), "DV-001", "count:*")]
+    if spec.duplicates:
+        names = duplicate_keys(marked.drop(*by, "_critical") if not spec.duplicates.keys else marked, spec.duplicates)
+        keyed = marked.select("*", *names)
+        own = [f"_k{i}" for i in range(len(names))]
+        repeated = keyed.groupBy(*by, *own).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select(
+            *[F.col(c).alias(f"_g_{c}") for c in (*by, *own)], F.lit(True).alias("_repeated"))
+        marked = keyed.join(repeated, _same_group(keyed, repeated, [*by, *own]), "left").select(*marked.columns, "_repeated")
+        hits.append((F.col("_repeated"), "DV-006", f"duplicate:{','.join(spec.duplicates.keys) or '*'}"))
+    found = F.array_compact(F.array(*[
+        F.when(test & F.array_contains("_critical", name), F.struct(F.lit(code).alias("code"), F.lit(name).alias("reason")))
+        for test, code, name in hits]))
+    return marked.withColumn("_hits", found).filter(F.size("_hits") > 0).select(
+        *by, P.row_key(*keys).alias("row_key"), F.struct(*df.columns).alias("record"),
+        F.array_sort(F.array_distinct(F.col("_hits.code"))).alias("failure_codes"), F.array_join("_hits.reason", "; ").alias("reason"))
+
+
 def violations(df: DataFrame, checks: Sequence[RowCheck], keys: Sequence[str]) -> DataFrame:
     """Long form, one row per violating (row, check).  Stays distributed."""
     hits = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -287,6 +288,65 @@ def validate_batch(t):
     return tidy(B.validate_batch(dirty_events(t), SPEC))
 
 
+# Every group judged on its own --------------------------------------------------------------------
+
+GROUP_SPEC = replace(SPEC, count=B.CountSpec(minimum=400), duplicates=B.DuplicateSpec(("user_id",)))
+
+
+def group_findings_sql(group: str) -> str:
+    """What GROUP_SPEC finds in every group of the dirty events; ``group`` is SQL over their columns."""
+    def found(name: str, code: str, field: str, hits: str, score: str, level: str = LEVEL) -> str:
+        return f"""
+SELECT g, '{name}' AS check_name, '{code}' AS failure_code, '{field}' AS field, CAST(n AS BIGINT) AS affected_count, CAST(total AS BIGINT) AS total_count,
+  round(pct, 6) AS affected_pct, CASE WHEN failed THEN score END AS severity_score, CASE WHEN failed THEN {level.format('score')} END AS severity, failed
+FROM (SELECT *, {score} AS score FROM (SELECT *, n * 100.0::DOUBLE / total AS pct, n > 0 AS failed FROM (
+  SELECT g, {hits} AS n, count(*) AS total FROM placed GROUP BY g)))"""
+
+    return f"""
+WITH {DIRTY_EVENTS},
+placed AS (SELECT *, count(*) OVER (PARTITION BY g, user_id) AS same, count(value) OVER (PARTITION BY g) AS known,
+    abs(value - avg(value) OVER (PARTITION BY g)) / nullif(stddev_pop(value) OVER (PARTITION BY g), 0) AS z
+  FROM (SELECT *, {group} AS g FROM dirty)),
+""" + "repeated AS (SELECT g, same, count(*) AS rows, count(DISTINCT user_id) AS users FROM placed GROUP BY g, same)," + f"""
+dup AS (SELECT g, CAST(coalesce(sum(rows) FILTER (WHERE same > 1), 0) AS BIGINT) AS n, coalesce(sum(users) FILTER (WHERE same > 1), 0) AS groups, CAST(sum(rows) AS BIGINT) AS total FROM repeated GROUP BY g)
+""" + " UNION ALL ".join((
+        found("null_required", "DV-002", "value", "count(*) FILTER (WHERE value IS NULL)", case_bands("pct", S.NULL_REQUIRED)),
+        found("null_required", "DV-002", "event_type", f"count(*) FILTER (WHERE {BLANK.format('event_type')})", case_bands("pct", S.NULL_REQUIRED)),
+        found("type", "DV-003", "value_text", "count(*) FILTER (WHERE try_cast(value_text AS DOUBLE) IS NULL)", case_bands("pct", S.TYPE)),
+        found("range", "DV-004", "value", "count(*) FILTER (WHERE value < 0 OR value > 1000)", case_bands("pct", S.RANGE)),
+        found("outlier", "DV-004", "value", "count(*) FILTER (WHERE known >= 30 AND z > 3.0)", OUTLIER_SCORE, OUTLIER_LEVEL),
+        f"""
+SELECT g, 'count', 'DV-001', '*', CASE WHEN failed THEN n ELSE 0 END, n, CASE WHEN failed THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN failed THEN score END,
+  CASE WHEN failed THEN {LEVEL.format('score')} END, failed
+FROM (SELECT g, n, n < 400 AS failed, {case_bands('(400 - n) / 400.0 * 100', S.COUNT)} AS score FROM (SELECT g, count(*) AS n FROM placed GROUP BY g))""",
+        f"""
+SELECT g, 'duplicate', 'DV-006', 'user_id', n, total, round(pct, 6), CASE WHEN failed THEN score END, CASE WHEN failed THEN {LEVEL.format('score')} END, failed
+FROM (SELECT *, pct > 0.5 AND n > 0 AS failed, least(100.0::DOUBLE, {case_bands('pct', S.DUPLICATE)} + CASE WHEN groups >= 50 THEN 10 WHEN groups >= 20 THEN 5 ELSE 0 END) AS score
+  FROM (SELECT *, n * 100.0::DOUBLE / total AS pct FROM dup))"""))
+
+
+@query("validate_groups", group_findings_sql("CAST(ts AS DATE)"))
+def validate_groups(t):
+    """Every day of the events as a batch of its own, in one scan."""
+    days = dirty_events(t).withColumn("g", F.col("ts").cast("date"))
+    return tidy(B.validate_groups(days, GROUP_SPEC, ["g"]))
+
+
+@query("quarantine_groups", f"""
+WITH found AS ({group_findings_sql("CAST(ts AS DATE)")}),
+critical AS (SELECT g, list(check_name || ':' || field) AS c FROM found WHERE severity = 'CRITICAL' AND check_name <> 'outlier' GROUP BY g), {DIRTY_EVENTS.strip()},
+hits AS (SELECT CAST(ts AS DATE) AS g, event_id, list_contains(c, 'count:*') AS h0, list_contains(c, 'null_required:value') AND value IS NULL AS h1,
+    list_contains(c, 'null_required:event_type') AND {BLANK.format('event_type')} AS h2, list_contains(c, 'type:value_text') AND try_cast(value_text AS DOUBLE) IS NULL AS h3,
+    list_contains(c, 'range:value') AND coalesce(value < 0 OR value > 1000, false) AS h4,
+    list_contains(c, 'duplicate:user_id') AND count(*) OVER (PARTITION BY CAST(ts AS DATE), user_id) > 1 AS h5
+  FROM dirty JOIN critical ON CAST(ts AS DATE) = g)
+SELECT g, CAST(event_id AS VARCHAR) AS row_key, concat_ws(',', CASE WHEN h0 THEN 'DV-001' END, CASE WHEN h1 OR h2 THEN 'DV-002' END, CASE WHEN h3 THEN 'DV-003' END,
+  CASE WHEN h4 THEN 'DV-004' END, CASE WHEN h5 THEN 'DV-006' END) AS failure_codes FROM hits WHERE h0 OR h1 OR h2 OR h3 OR h4 OR h5""")
+def quarantine_groups(t):
+    days = dirty_events(t).withColumn("g", F.col("ts").cast("date"))
+    return B.quarantine_groups(days, GROUP_SPEC, ["g"], ["event_id"]).select("g", "row_key", F.array_join("failure_codes", ",").alias("failure_codes"))
+
+
 # Predicates of their own ----------------------------------------------------------------------
 
 @query("rule_comparisons", """

@@ -6,7 +6,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tableward.plans.catalog.bronze import SPEC, tidy
+from tableward.operators import freshness as FR
+from tableward.plans.catalog.bronze import GROUP_SPEC, SPEC, group_findings_sql, tidy
+from tableward.plans.catalog.freshness import PER_TICK, SLA_SQL, slas, span
 from tableward.plans.catalog.models import rounded
 from tableward.plans.catalog.rules import good_customers as _rules_loaded  # noqa: F401
 from tableward.plans.inputs import dirty_events
@@ -44,6 +46,40 @@ def stream_validate(t):
     return tidy(t.spark.read.parquet(f"{folder}/findings").drop("batch_id"))
 
 
+@query("stream_validate_files", group_findings_sql("CAST(event_id % 3 AS INTEGER)"))
+def stream_validate_files(t):
+    """One micro-batch of three files, each with a result of its own."""
+    folder = scratch_folder(t.spark, "stream")
+    events = t.events.withColumn("part", (F.col("event_id") % 3).cast("int"))
+    for part in range(3):
+        events.filter(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{folder}/in/part-{part}")
+    stream = SV.file_stream(t.spark, f"{folder}/in/*", t.events.schema, file_column="file")
+    SV.validate_stream(stream, GROUP_SPEC, ["event_id"], folder, f"{folder}-checkpoint", by=["file"],
+                       prepare=lambda rows: with_file(rows)).awaitTermination()
+    found = t.spark.read.parquet(f"{folder}/findings").drop("batch_id")
+    return tidy(found.withColumn("g", F.regexp_extract("file", r"part-(\d)/", 1).cast("int")).drop("file"))
+
+
+def with_file(rows):
+    """Dirty events that keep the file they came from."""
+    names = rows.select("event_id", "file")
+    return dirty_events(type("Batch", (), {"events": rows})).join(names, "event_id")
+
+
+@query("stream_missed_deliveries", f"""WITH {SLA_SQL}{PER_TICK},
+judged AS (SELECT *, lead(tick) OVER (PARTITION BY sla_id ORDER BY tick) AS following FROM per_tick),
+n AS (SELECT *, row_number() OVER (PARTITION BY sla_id ORDER BY tick) AS pos FROM judged WHERE following <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY sla_id ORDER BY tick) AS run FROM n WHERE arrivals = 0)
+SELECT source, sla_id, min(tick) AS first_missed, max(tick) AS last_missed, count(*) AS consecutive_misses, CASE WHEN count(*) >= 2 THEN 'FR-005' END AS failure_code FROM i GROUP BY source, sla_id, run""")
+def stream_missed_deliveries(t):
+    """Runs of misses as a stream counts them, sources that never deliver included."""
+    with rocksdb(t.spark):
+        found = drained(t, ST.stream_misses(Streams(t.spark, t.folder).events, slas(t), FR.calendar(slas(t), *span(t)), "event_type", "ts"))
+    longest = found.groupBy("source", "sla_id", "first_missed").agg(F.max_by(F.struct("last_missed", "consecutive_misses", "failure_code"), "consecutive_misses").alias("run"))
+    made = longest.select("source", "sla_id", "first_missed", "run.*")
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_missed", "last_missed")})
+
+
 @query("stream_state_transition", REGISTRY["rule_state_transition"].sql)
 def stream_state_transition(t):
     folder = scratch_folder(t.spark, "stream")

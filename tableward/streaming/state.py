@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,93 @@ def silence_processor(source: str, ts: str, warning_minutes: int, critical_minut
 def stream_silence(stream: DataFrame, source: str, ts: str, warning_minutes: int = 60, critical_minutes: int = 90,
                    lateness: str = "0 seconds") -> DataFrame:
     processor, schema = silence_processor(source, ts, warning_minutes, critical_minutes)
-    return stream.select(source, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, lateness).groupBy(
+    # A row without a time says nothing about silence.
+    return stream.select(source, F.col(ts).cast("timestamp").alias(ts)).filter(F.col(ts).isNotNull()).withWatermark(ts, lateness).groupBy(
         source).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+MISSES = "source string, sla_id string, first_missed timestamp, last_missed timestamp, consecutive_misses long, failure_code string"
+
+
+def misses_processor(source: str, ts: str):
+    """Counts expected arrivals that did not come, one event-time timer a deadline.
+
+    The key is a deadline.  Its state: the schedule, given before the first row; the expected arrivals that
+    are still open, each with whether something came; and the run of misses so far.  A timer stands at the
+    end of the oldest open one.  When the watermark has passed it, a miss makes the run longer and an
+    arrival ends it.
+    """
+    class Misses(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._handle = handle
+            many = T.ArrayType(T.LongType())
+            self._ticks = handle.getValueState("ticks", T.StructType([T.StructField("ms", many)]))
+            self._came = handle.getValueState("came", T.StructType([T.StructField("ms", many)]))
+            self._run = handle.getValueState("run", T.StructType([T.StructField(n, T.LongType()) for n in ("first", "last", "n")]))
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            ticks = sorted(int(t) for t in initialState["tick_ms"])
+            self._ticks.update((ticks,))
+            if len(ticks) > 1:
+                self._handle.registerTimer(ticks[1])
+
+        def handleInputRows(self, key, rows, timerValues):
+            if self._ticks.exists():
+                ticks = np.array(self._ticks.get()[0], np.int64)
+                came = set(self._came.get()[0]) if self._came.exists() else set()
+                for pdf in rows:
+                    at = np.searchsorted(ticks, pdf[ts].astype("datetime64[ms]").astype(np.int64).to_numpy(), "right") - 1
+                    came.update(ticks[np.unique(at[at >= 0])].tolist())
+                self._came.update((sorted(came),))
+            yield self._rows([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now, ticks = timerValues.getCurrentWatermarkInMs(), list(self._ticks.get()[0])
+            came = set(self._came.get()[0]) if self._came.exists() else set()
+            run, found = tuple(self._run.get()) if self._run.exists() else (0, 0, 0), []
+            # All that are over by now: their next one is due.
+            while len(ticks) > 1 and ticks[1] <= now:
+                tick = ticks.pop(0)
+                if tick in came:
+                    came.discard(tick)
+                    run = (0, 0, 0)
+                else:
+                    run = (run[0] if run[2] else tick, tick, run[2] + 1)
+                    found.append((*key, *run))
+            self._ticks.update((ticks,))
+            self._came.update((sorted(came),))
+            self._run.update(run)
+            if len(ticks) > 1:
+                self._handle.registerTimer(ticks[1])
+            yield self._rows(found)
+
+        def _rows(self, found):
+            made = pd.DataFrame(found, columns=["source", "sla_id", "first_missed", "last_missed", "consecutive_misses"])
+            for c in ("first_missed", "last_missed"):
+                made[c] = pd.to_datetime(made[c], unit="ms")
+            made["consecutive_misses"] = made["consecutive_misses"].astype("int64")
+            made["failure_code"] = np.where(made["consecutive_misses"] >= 2, "FR-005", None)
+            return made
+
+        def close(self) -> None:
+            pass
+
+    return Misses()
+
+
+def stream_misses(stream: DataFrame, slas: DataFrame, ticks: DataFrame, source: str, ts: str, lateness: str = "0 seconds") -> DataFrame:
+    """One row per expected arrival that did not come, with the run of misses it belongs to.
+
+    ``ticks`` (sla_id, source, tick) are the expected arrivals of a horizon.  They are the initial state, so
+    that a source which never delivers is counted too.  An expected arrival is judged when its next one is
+    due; a reset by an arrival starts a new run.  Times are event time.
+    """
+    rows = stream.select(F.col(source).alias("source"), F.col(ts).cast("timestamp").alias(ts)).filter(F.col(ts).isNotNull())
+    # Every deadline of a source sees all of its arrivals.
+    placed = rows.withWatermark(ts, lateness).join(F.broadcast(slas.filter("enabled AND valid").select("source", "sla_id")), "source")
+    # A written table, as a state is read by every task of the first batch.
+    known = cut_lineage(ticks).select("source", "sla_id", F.unix_millis(F.col("tick").cast("timestamp")).alias("tick_ms")).groupBy("source", "sla_id")
+    return placed.select("source", "sla_id", ts).groupBy("source", "sla_id").transformWithStateInPandas(
+        statefulProcessor=misses_processor(source, ts), outputStructType=MISSES, outputMode="Append", timeMode="EventTime",
+        initialState=known)

@@ -11,25 +11,32 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tableward.functions.predicates import seconds_between
-from tableward.operators.bronze import BatchSpec, quarantine, validate_batch
+from tableward.operators.bronze import BatchSpec, quarantine, quarantine_groups, validate_batch, validate_groups
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "parquet",
-                pattern: str | None = None, files_per_batch: int | None = None, **options) -> DataFrame:
-    """New files of a folder, each taken once; the checkpoint of the query remembers which."""
+                pattern: str | None = None, files_per_batch: int | None = None, file_column: str | None = None,
+                **options) -> DataFrame:
+    """New files of a folder, each taken once; the checkpoint of the query remembers which.
+
+    ``file_column`` names a column that holds the path of each row's file.
+    """
     reader = spark.readStream.format(kind).schema(schema).options(**options)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder)
+    rows = reader.load(folder)
+    return rows.withColumn(file_column, F.col("_metadata.file_path")) if file_column else rows
 
 
 def validate_stream(stream: DataFrame, spec: BatchSpec, keys: Sequence[str], out: str, checkpoint: str,
                     prepare: Callable[[DataFrame], DataFrame] = lambda df: df, every: str | None = None,
-                    notify: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+                    notify: Callable[[DataFrame, int], None] | None = None, by: Sequence[str] = ()) -> StreamingQuery:
     """Run the batch suite on each micro-batch: findings and quarantine, tagged with its number.
 
+    With ``by`` (such as the file column of ``file_stream``) every group of a micro-batch is judged on its
+    own: a micro-batch of three files gives three results, as three micro-batches would.
     A batch repeated after a failure overwrites its own folders, so nothing appears twice.
     Without ``every`` the query takes what is there and stops.
     """
@@ -37,9 +44,10 @@ def validate_stream(stream: DataFrame, spec: BatchSpec, keys: Sequence[str], out
     def handle(batch: DataFrame, number: int) -> None:
         rows = prepare(batch).persist()
         tag = F.lit(number).cast("bigint").alias("batch_id")
-        findings = validate_batch(rows, spec).select(tag, "*")
+        judged = validate_groups(rows, spec, by) if by else validate_batch(rows, spec)
+        findings = judged.select(tag, "*")
         findings.drop("batch_id").write.mode("overwrite").parquet(f"{out}/findings/batch_id={number}")
-        held = quarantine(rows, spec, keys).withColumn("record", F.to_json("record"))
+        held = (quarantine_groups(rows, spec, by, keys) if by else quarantine(rows, spec, keys)).withColumn("record", F.to_json("record"))
         held.write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={number}")
         if notify:
             notify(findings, number)

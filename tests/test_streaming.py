@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableward.operators import bronze as B
+from tableward.operators import freshness as FR
 from tableward.operators import rules as R
 from tableward.streaming import state as ST
 from tableward.streaming import validate as SV
@@ -112,3 +113,47 @@ def test_a_running_query_takes_files_as_they_come(spark, tmp_path):
     finally:
         query.stop()
     assert spark.read.parquet(f"{out}/quarantine").count() == 1
+
+
+def test_micro_batch_of_several_files_has_a_result_per_file(spark, tmp_path):
+    for n, rows in enumerate([[(1, "x", 5.0)] * 3, [(2, None, 500.0), (3, "y", 1.0)], [(4, "z", 7.0)]]):
+        arrive(spark, tmp_path / "in", str(n), rows, SCHEMA)
+    stream = SV.file_stream(spark, str(tmp_path / "in" / "*"), SCHEMA, file_column="file")
+    out = str(tmp_path / "out")
+    SV.validate_stream(stream, SPEC, ["id"], out, str(tmp_path / "cp"), by=["file"]).awaitTermination()
+    found = spark.read.parquet(f"{out}/findings")
+    assert found.select("batch_id").distinct().count() == 1 and found.select("file").distinct().count() == 3
+    assert sorted(r.total_count for r in found.filter("check_name = 'range'").collect()) == [1, 2, 3]
+    assert [r.row_key for r in spark.read.parquet(f"{out}/quarantine").collect()] == ["2"]
+
+
+def test_missed_deliveries_are_counted_across_batches(spark, tmp_path, rocksdb):
+    """Arrivals end a run, a source that never delivers has one long run, null times do no harm."""
+    slas = FR.sla_table(spark, [FR.Sla("s1", "a", "0 * * * *", 60, 90), FR.Sla("s2", "never", "0 */2 * * *", 60, 90)])
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    ticks = FR.calendar(slas, F.lit(at(0)).cast("timestamp_ntz"), F.lit(at(12)).cast("timestamp_ntz"))
+    schema = "source string, ts timestamp_ntz"
+    for n, rows in enumerate([[("a", at(0, 5)), ("a", None), ("other", at(1))], [("a", at(4, 30)), ("a", at(5))], [("a", at(9))], [("other", at(13))]]):
+        arrive(spark, tmp_path / "in", str(n), rows, schema)
+        stream = SV.file_stream(spark, str(tmp_path / "in" / "*"), schema)
+        # Rows of other sources do not move a deadline's clock: the watermark does, so let one of them pass.
+        found = ST.stream_misses(stream.withColumn("source", F.when(F.col("source") == "other", "never").otherwise(F.col("source")))
+                                 if n == 3 else stream, slas, ticks, "source", "ts")
+        found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(
+            str(tmp_path / "out")).awaitTermination()
+    rows = spark.read.schema(ST.MISSES).parquet(str(tmp_path / "out")).collect()
+    runs = {}
+    for r in rows:
+        key = (r.source, r.first_missed)
+        runs[key] = max(runs.get(key, 0), r.consecutive_misses)
+        assert r.failure_code == ("FR-005" if r.consecutive_misses >= 2 else None)
+    assert runs == {("a", at(1)): 3, ("a", at(6)): 3, ("a", at(10)): 2, ("never", at(0)): 6}
+
+
+def test_rows_without_time_do_not_end_the_silence_query(spark, tmp_path, rocksdb):
+    arrive(spark, tmp_path / "in", "1", [("a", None), ("b", dt.datetime(2024, 1, 1))], "s string, ts timestamp")
+    stream = SV.file_stream(spark, str(tmp_path / "in" / "*"), "s string, ts timestamp")
+    query = ST.stream_silence(stream, "s", "ts").writeStream.format("memory").queryName("quiet").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("quiet").count() == 0
