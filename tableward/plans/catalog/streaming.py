@@ -89,6 +89,42 @@ def stream_state_transition(t):
     return t.spark.read.parquet(f"{folder}/steps").drop("batch")
 
 
+ALLOWED = {"F": ["O"], "O": ["P", "F"]}
+
+
+@query("stream_steps", REGISTRY["rule_state_transition"].sql)
+def stream_steps(t):
+    """Orders of the first half are the state that the stream of the second half starts from."""
+    found, _ = stepped(t)
+    return found
+
+
+@query("stream_states", """
+SELECT o_custkey, max_by(o_orderdate, (o_orderdate, o_orderkey)) AS at, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS id,
+  max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY 1""")
+def stream_states(t):
+    """The newest state of every customer, read from the state store of the query above."""
+    _, checkpoint = stepped(t)
+    with rocksdb(t.spark):
+        states = ST.newest_states(t.spark, checkpoint, "o_custkey")
+        return states.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def stepped(t):
+    """Two runs of one query, the second from the state that the first left behind."""
+    folder = scratch_folder(t.spark, "stream")
+    middle = t.orders.agg(F.percentile_approx("o_orderdate", 0.5).alias("x")).scalar()
+    parts = {"1": F.col("o_orderdate") < middle, "2": F.col("o_orderdate") >= middle}
+    with rocksdb(t.spark):
+        for name, part in parts.items():
+            t.orders.filter(part).write.parquet(f"{folder}/in/{name}")
+            stream = SV.file_stream(t.spark, f"{folder}/in/*", t.orders.schema)
+            steps = ST.stream_steps(stream, "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", ALLOWED)
+            steps.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(
+                f"{folder}/out").awaitTermination()
+    return t.spark.read.schema(steps.schema).parquet(f"{folder}/out"), f"{folder}/checkpoint"
+
+
 @contextmanager
 def rocksdb(spark):
     """The state store that custom state needs."""

@@ -157,3 +157,24 @@ def test_rows_without_time_do_not_end_the_silence_query(spark, tmp_path, rocksdb
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("quiet").count() == 0
+
+
+def test_steps_in_the_state_store_equal_the_batch_check(spark, tmp_path, rocksdb):
+    """Three batches with a restart between them, states given at the start, and a row that comes late."""
+    schema = "k string, t timestamp, id bigint, s string"
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)
+    allowed = {"A": ["B"], "B": ["A", "C"]}
+    rows = [(f"k{i % 3}", at(i), i, "ABC"[(i * i + i // 3) % 3]) for i in range(60)]
+    known = spark.createDataFrame(rows[:10], schema)
+    late, nameless = ("k0", at(0), 900, "A"), (None, at(70), 901, "A")
+    for name, part in (("1", rows[10:25]), ("2", rows[25:40]), ("3", [*rows[40:], late, nameless, ("k1", None, 902, "A")])):
+        arrive(spark, tmp_path / "in", name, part, schema)
+        found = ST.stream_steps(SV.file_stream(spark, str(tmp_path / "in" / "*"), schema), "k", "t", "id", "s", allowed, initial=known)
+        found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(
+            str(tmp_path / "out")).awaitTermination()
+    got = {tuple(r) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()}
+    batch = R.state_transitions(spark.createDataFrame(rows, schema), "k", ["t", "id"], "s", allowed).filter("id >= 10")
+    want = {tuple(r) for r in batch.select("k", "id", "s", "previous_state", "reason").collect()}
+    assert want and got == want | {("k0", 900, "A", None, "late")}
+    states = {r.k: (r.id, r.state) for r in ST.newest_states(spark, str(tmp_path / "cp"), "k").collect()}
+    assert states == {f"k{i % 3}": (i, rows[i][3]) for i in (57, 58, 59)}
