@@ -1,7 +1,8 @@
 """Hierarchical packing of documents into context windows of several lengths.
 
 Each task tokenizes and packs the documents of its own input split, so nothing is shuffled, no
-state outgrows a block of texts, and a lost task comes back with the same windows.
+state outgrows a block of texts, and a lost task comes back with the same windows.  Splits that hold
+little text are read several to a task, so that what a task leaves open at its end stays a small part.
 
 A document (its ids and a separator) that is longer than the largest tier is cut into windows of
 that tier.  The rest is routed to the smallest tier that holds it.  Tiers are packed from the
@@ -34,6 +35,8 @@ from tableward.llm.common import arrow_fields, blocks, text_bytes
 TIERS = (128, 256, 512, 1024)
 #: Tokens of a step group.
 STEP_TOKENS = 8192
+#: Text that a task holds at least, where splits are smaller.
+TASK_BYTES = 8 << 20
 #: Runs of text a worker remembers before it starts afresh; decides speed and memory only.
 REMEMBERED = 400_000
 ID_BYTES = 4
@@ -212,4 +215,7 @@ def pack(df: DataFrame, text: str, keep: list[str], path: str, separator: int =
         if packer.out:
             yield rows(kept, packer.out, types)
 
-    return df.select(F.col(text).cast("string").alias("_text_in"), *keep).mapInArrow(run, fields).toDF(*names)
+    texts = df.select(F.col(text).cast("string").alias("_text_in"), *keep)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("_text_in")), F.lit(0))).first()[0]
+    # Joins splits and moves no rows; more tasks than splits stay as many as there are splits.
+    return texts.coalesce(max(1, -(-size // TASK_BYTES))).mapInArrow(run, fields).toDF(*names)

@@ -79,3 +79,14 @@ def test_edges(docs):
     assert sum(r.length for r in rows if r.doc_id == 1) == 2 and sum(r.length for r in rows if r.doc_id == 2) == 1
     assert sum(r.length for r in rows if r.doc_id == 3) == next(r.doc_tokens for r in rows if r.doc_id == 3)
     assert packing.pack(df.limit(0), "text", ["doc_id"], BYTE).count() == 0
+
+
+def test_tiers_and_step_groups_hold_over_many_splits(spark):
+    """A hundred splits of a few documents each: groups are full and few windows are below the tiers."""
+    df = queries.documents(spark, "/root/testdata/sf0.01").repartition(100)
+    rows = packing.pack(df, "text", ["doc_id"], BYTE).select("sequence_id", "tier", "step_group").distinct().collect()
+    groups = {}
+    for r in rows:
+        groups[r.step_group] = groups.get(r.step_group, 0) + r.tier
+    assert sum(t == packing.STEP_TOKENS for t in groups.values()) >= 0.9 * len(groups)
+    assert sum(r.tier < packing.TIERS[0] for r in rows) <= 0.05 * len(rows)
