@@ -3,8 +3,9 @@
 Every document is measured in one pass.  The measures of documents that pass the base rule are
 summarised by KLL sketches per (language, source); the sketches of a language are merges of its
 sources' sketches, the overall ones merges of the languages'.  A limit is a fence: the median plus
-a multiple of the distance between the quartiles, with a least distance per measure so that a
-measure that is constant in clean text does not reject the first deviation.  A group with few
+a multiple of a spread, that of the quartiles or, where most texts have none of what is measured, that
+of the last hundredth; with a least reach per measure, so that a measure that is constant in clean text
+does not reject the first deviation.  A group with few
 documents uses the limits of its language, a language with few those of the whole table.
 
 Contract: a null text has no words; it fails the base rule, as does an empty one.  Null languages
@@ -28,14 +29,18 @@ MIN_WORDS, REPEAT_PERCENT = 20, 30
 #: Documents a group needs for limits of its own.
 MIN_GROUP = 200
 SKETCH_K = 800
-#: Measure: (expression, least distance between quartiles, multiple of it, low side too)
+#: Measure: (expression, spread, multiple of it, least reach from the median, low side too).  Spread lies
+#: between two quantiles: the quartiles, or where most texts have 0, the median and the last hundredth.
+#: The least reach of the repeated words ends below the base rule's 0.30, so that this limit can reject.
+QUARTILES, TAIL = (0, 2), (1, 3)
 MEASURES = {
-    "symbol_rate": ("try_divide(n_symbols, word_chars)", 0.01, 8.0, False),
-    "dup_line_rate": ("try_divide(n_dup_lines, n_words)", 0.01, 8.0, False),
-    "repeat_rate": ("try_divide(n_repeat_words, n_words)", 0.04, 8.0, False),
-    "word_length": ("try_divide(word_chars, n_words)", 0.5, 6.0, True),
+    "symbol_rate": ("try_divide(n_symbols, word_chars)", QUARTILES, 8.0, 0.08, False),
+    "dup_line_rate": ("try_divide(n_dup_lines, n_lines)", TAIL, 3.0, 0.35, False),
+    "repeat_rate": ("try_divide(n_repeat_words, n_words)", TAIL, 1.0, 0.285, False),
+    "word_length": ("try_divide(word_chars, n_words)", QUARTILES, 6.0, 3.0, True),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = (*BASE, "n_lines")
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -77,8 +82,8 @@ def measure(texts: list[bytes | None]) -> list[pa.Array]:
         lines = [line for line in t.split(b"\n") if line.strip()]
         rows.append((len(words), len(solid.decode("utf-8", "replace")),
                      len(solid) - len(solid.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-                     repeated_words(words)))
-    columns = zip(*rows, strict=True) if rows else [[]] * 5
+                     repeated_words(words), len(lines)))
+    columns = zip(*rows, strict=True) if rows else [[]] * len(MEASURED)
     return [pa.array(c, pa.int64()) for c in columns]
 
 
@@ -92,11 +97,11 @@ def _sketches(groups: DataFrame, by: list[str], merge: bool) -> DataFrame:
 def _limits(sketches: DataFrame) -> DataFrame:
     """A struct ``limits`` of fences from the sketches' quartiles."""
     fences = []
-    for m, (_, least, times, low) in MEASURES.items():
+    for m, (_, spread, times, least, low) in MEASURES.items():
         # A sketch of nothing has no quantiles.
         q = F.when(F.coalesce("_n", F.lit(0)) > 0, F.kll_sketch_get_quantile_double(
-            F.col(m), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-        reach = F.greatest(q[2] - q[0], F.lit(least)) * times
+            F.col(m), F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.99)))))
+        reach = F.greatest((q[spread[1]] - q[spread[0]]) * times, F.lit(least))
         fences += [(q[1] + reach).alias(f"{m}_high"), *([(q[1] - reach).alias(f"{m}_low")] if low else [])]
     return sketches.withColumn("limits", F.struct(*fences)).drop(*MEASURES)
 
@@ -131,7 +136,7 @@ def thresholds(measured: DataFrame, lang: str, source: str, min_group: int = MIN
 def _verdict() -> Column:
     """Whether every measure lies within its limits; without limits nothing is rejected."""
     within = F.lit(True)
-    for m, (e, _, _, low) in MEASURES.items():
+    for m, (e, *_, low) in MEASURES.items():
         value = F.expr(e).cast("double")
         within = within & F.coalesce(value <= F.col(f"limits.{m}_high"), F.lit(True))
         if low:
@@ -144,7 +149,7 @@ def judge(df: DataFrame, text: str, lang: str, source: str, keep: list[str], min
     shell = df.select(text, F.struct(*keep).alias("_keep"), F.col(lang).cast("string").alias("_dl"),
                       F.col(source).cast("string").alias("_ds"))
     measured = cut_lineage(
-        map_texts(shell, text, ["_keep", "_dl", "_ds"], measure, ", ".join(f"{b} long" for b in BASE))
+        map_texts(shell, text, ["_keep", "_dl", "_ds"], measure, ", ".join(f"{b} long" for b in MEASURED))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                     | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))))
     limits = thresholds(measured, "_dl", "_ds", min_group)

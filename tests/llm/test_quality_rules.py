@@ -65,3 +65,29 @@ def test_edges(docs):
 def test_no_row_passes_the_base_rule(docs):
     df = docs([(1, "too short", "en", "s"), (2, None, "en", None)])
     assert [r.kept for r in quality_rules.judge(df, "text", "lang", "source", ["doc_id"]).collect()] == [False, False]
+
+
+def test_each_limit_rejects_what_passes_the_base_rule(docs):
+    """Junk of one kind each, planted among texts with some repeated lines and words of their own."""
+    def plain(n, words=60):
+        return [f"word{n * 7 + k}" for k in range(words)]
+
+    def lines(words, size):
+        return "\n".join(" ".join(words[k:k + size]) for k in range(0, len(words), size))
+
+    clean = [(n, lines(plain(n), 6) + ("\n" + " ".join(plain(n)[:6]) if n % 60 == 0 else "")
+              + (" " + " ".join(plain(n)[20:29]) if n % 70 == 0 else ""), "en", "s") for n in range(600)]
+    planted = {
+        "symbol_rate": " ".join(f"a#{k}$%&|" for k in range(40)),
+        "dup_line_rate": "\n".join("a b\n" + " ".join(plain(901)[7 * k:7 * k + 7]) for k in range(8)),
+        "repeat_rate": " ".join([*plain(902, 85), *plain(2000, 18), *plain(2100, 2), *plain(2000, 18)]),
+        "word_length": " ".join("x" * 30 + str(k) for k in range(40)),
+    }
+    junk = [(1000 + n, text, "en", "s") for n, text in enumerate(planted.values())]
+    found = {r.doc_id: r for r in quality_rules.judge(docs(clean + junk), "text", "lang", "source", ["doc_id"]).collect()}
+    assert all(found[n].kept for n, *_ in clean)
+    for n, name in enumerate(planted):
+        r = found[1000 + n]
+        assert not r.base_failed and not r.kept, (name, r)
+        others = {"symbol_rate": r.n_symbols / r.word_chars, "repeat_rate": r.n_repeat_words / r.n_words}
+        assert all(others[m] <= r.limits[f"{m}_high"] for m in others if m != name), (name, r)
