@@ -39,9 +39,9 @@ from tableward.llm.common import blocks, cut_lineage, text_bytes
 
 ORDER = 4
 #: Bytes of text that are sorted at once, and that a part should hold.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
 #: Parts of one gathering, and sampled grams behind each splitter.
-MOST_PARTS, SAMPLED_DOCS, SAMPLES = 4096, 20_000, 64
+MOST_PARTS, SAMPLED_DOCS, SAMPLES = 1 << 16, 20_000, 64
 SEED = 13
 UNKNOWN = "und"
 
