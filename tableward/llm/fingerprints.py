@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableward.functions.ordered import null_safe, with_neighbour
+from tableward.functions.ordered import with_neighbour
 
 #: Code points of a k-mer and of its inner substrings; anchors kept; places of a chunk.
 K, S, SIZE, CHUNK = 16, 9, 48, 4096
@@ -150,19 +150,17 @@ def printed(fingerprint: Column) -> Column:
 
 
 def next_documents(rows: DataFrame) -> DataFrame:
-    """(_key, _h, _n, _next_key, _next_h, _times): distinct rows with the one that follows by descending key."""
-    ids = rows.groupBy("_key", "_h", "_n").agg(F.count(F.lit(1)).alias("_copies"))
-    placed = with_neighbour(ids, [], ["_key", "_h", "_n"], {"_next_key": "_key", "_next_h": "_h", "_next_n": "_n", "_next_copies": "_copies"})
-    top = ids.agg(F.max(F.struct("_key", "_h", "_n")).alias("_top"))
-    last = F.col("_next_copies").isNull()
-    follow = lambda name: F.when(last, F.col("_top")[f"_{name}"]).otherwise(F.col(f"_next_{name}")).alias(f"_next_{name}")
+    """(_id, _next, _times): distinct rows with the one that follows by descending key.
+
+    An id is a struct, which is never null itself and equal to one with the same nulls.
+    """
+    ids = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_copies"))
+    placed = with_neighbour(ids, [], ["_id"], {"_next": "_id"})
     # One row; there is no key to join by.
-    found = placed.crossJoin(F.broadcast(top)).select("_key", "_h", "_n", "_copies", follow("key"), follow("h"), follow("n"))
-    once = found.withColumn("_times", F.lit(1).cast("long")).drop("_copies")
-    more = found.filter("_copies > 1").select(
-        "_key", "_h", "_n", F.col("_key").alias("_next_key"), F.col("_h").alias("_next_h"), F.col("_n").alias("_next_n"),
-        (F.col("_copies") - 1).alias("_times"))
-    return once.unionByName(more)
+    found = placed.crossJoin(F.broadcast(ids.agg(F.max("_id").alias("_top")))).select(
+        "_id", F.coalesce("_next", "_top").alias("_next"), "_copies")
+    return found.select("_id", "_next", F.lit(1).cast("long").alias("_times")).unionByName(
+        found.filter("_copies > 1").select("_id", F.col("_id").alias("_next"), (F.col("_copies") - 1).alias("_times")))
 
 
 def edited_likeness(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -172,19 +170,17 @@ def edited_likeness(df: DataFrame, key: str, text: str) -> DataFrame:
     document.  Columns: ``key``, n_chars, edited_sha256, fingerprint and edited_fingerprint (arrays of
     anchors), near_edited, near_next.
     """
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).select(
-        "_key", F.xxhash64("_text").alias("_h"), F.length("_text").cast("long").alias("_n"), "_text")
+    texts = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = texts.select(F.struct("_key", F.xxhash64("_text").alias("h"), F.length("_text").cast("long").alias("n")).alias("_id"), "_text")
     stays = lambda n: n - F.floor(n / 2)
-    own = rows.withColumn("_sketch", sketch(F.col("_text"), F.col("_n"), stays(F.col("_n"))))
+    own = rows.withColumn("_sketch", sketch(F.col("_text"), F.col("_id.n"), stays(F.col("_id.n"))))
     # One exchange of texts, read by both joins.  Copies of a key and text are one row.
-    held = own.groupBy("_key", "_h", "_n").agg(F.first("_text").alias("_text"), F.first("_sketch").alias("_sketch"))
-    follows = next_documents(rows.select("_key", "_h", "_n"))
-
+    held = own.groupBy("_id").agg(F.first("_text").alias("_text"), F.first("_sketch").alias("_sketch"))
     lender = held.select(*[F.col(c).alias(f"_l{c}") for c in held.columns])
-    lent = follows.join(lender, null_safe(follows, lender, [("_next_key", "_l_key"), ("_next_h", "_l_h"), ("_next_n", "_l_n")])).select(
-        *[F.col(c).alias(f"_r{c}") for c in ("_key", "_h", "_n")], "_times",
-        F.substring("_l_text", F.lit(1), F.floor(F.col("_n") / 2).cast("int")).alias("_lent"), F.col("_l_sketch.own").alias("_next"))
-    met = held.join(lent, null_safe(held, lent, [("_key", "_r_key"), ("_h", "_r_h"), ("_n", "_r_n")]))
+    lent = next_documents(rows.select("_id")).join(lender, F.col("_next") == F.col("_l_id")).select(
+        F.col("_id").alias("_r_id"), "_times", F.substring("_l_text", F.lit(1), F.floor(F.col("_id.n") / 2).cast("int")).alias("_lent"),
+        F.col("_l_sketch.own").alias("_next"))
+    met = held.join(lent, F.col("_id") == F.col("_r_id")).withColumns({"_key": F.col("_id._key"), "_n": F.col("_id.n")})
 
     first = F.substring("_text", F.lit(1), F.col("_stays").cast("int"))
     tail = F.substring("_text", F.greatest(F.col("_stays") - (K - 2), F.lit(1)).cast("int"), F.least(F.col("_stays"), F.lit(K - 1)).cast("int"))
