@@ -51,8 +51,7 @@ def _wide(text: Column) -> Column:
 
 def _anchor(mer: Column, place: Column) -> Column:
     """Hash above, place below, not negative."""
-    return F.shiftleft(F.xxhash64(mer).bitwiseAND(F.lit(0xFFFFFFFF)), PLACE_BITS).bitwiseOR(
-        F.least(place, F.lit((1 << PLACE_BITS) - 1)))
+    return F.shiftleft(F.xxhash64(mer).bitwiseAND(F.lit(0xFFFFFFFF)), PLACE_BITS).bitwiseOR(place)
 
 
 def _hash(anchor: Column) -> Column:
@@ -78,20 +77,31 @@ def _window_least(h: Column, width: int) -> Column:
 
 def _chunk_anchors(wide: Column, base: Column) -> Column:
     """Anchors of a chunk of at least K code points that begins at place ``base``."""
-    span = K - S
+    span, half = K - S, (K - S + 1) // 2
     places = F.sequence(F.lit(0), (F.octet_length(wide) / 4).cast("int") - K)
     hashes = F.transform(F.sequence(F.lit(1), F.octet_length(wide) - (4 * S - 1), F.lit(4)),
                          lambda byte: F.xxhash64(F.substring(wide, byte, F.lit(4 * S))))
-    # The least inner hash is that of the first or of the last inner substring.
-    closed = let(hashes, lambda h: let(_window_least(h, span + 1), lambda m: F.filter(
-        places, lambda i: (F.get(m, i) == F.get(h, i)) | (F.get(m, i) == F.get(h, i + span)))))
+    # The least inner hash is that of the first or of the last inner substring: the least of its own half
+    # and no more than that of the other half.
+    closed = let(hashes, lambda h: let(_window_least(h, half), lambda m: F.filter(places, lambda i: (
+        (F.get(h, i) == F.get(m, i)) & (F.get(h, i) <= F.get(m, i + half))) | (
+        (F.get(h, i + span) == F.get(m, i + half)) & (F.get(h, i + span) <= F.get(m, i))))))
     return F.transform(closed, lambda i: _anchor(F.substring(wide, 4 * i + 1, F.lit(4 * K)), base + i))
 
 
+def _first(ordered: Column) -> Column:
+    """The ``SIZE`` least hashes of sorted anchors, each at its first place."""
+    return F.slice(F.filter(ordered, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(ordered, i - 1)))), 1, SIZE)
+
+
 def _least(anchors: Column) -> Column:
     """The ``SIZE`` least hashes, each at its first place."""
-    first = lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(ordered, i - 1))))
-    return let(F.sort_array(anchors), lambda ordered: F.slice(first(ordered), 1, SIZE))
+    return let(F.sort_array(anchors), _first)
+
+
+def _merged(held: Column, ordered: Column) -> Column:
+    """The least hashes of what is held and of sorted anchors behind it."""
+    return F.when(F.size(held) == 0, let(ordered, _first)).otherwise(_least(F.concat(held, let(ordered, _first))))
 
 
 def sketch(text: Column, length: Column, until: Column, base: Column | None = None) -> Column:
@@ -107,9 +117,10 @@ def _sketch(text: Column, length: Column, until: Column, base: Column) -> Column
         def step(held: Column, chunk: Column) -> Column:
             at = chunk * CHUNK
             part = F.substring(wide, (4 * at + 1).cast("int"), F.lit(4 * (CHUNK + K - 1)))
-            return let(let(part, lambda p: _chunk_anchors(p, base + at)), lambda found: F.struct(
-                _least(F.concat(held["own"], found)).alias("own"),
-                F.when(base + at + K <= until, _least(F.concat(held["head"], F.filter(found, lambda x: _place(x) + K <= until))))
+            # Sorted once; what is merged with the anchors held is short.
+            return let(F.sort_array(let(part, lambda p: _chunk_anchors(p, base + at))), lambda found: F.struct(
+                _merged(held["own"], found).alias("own"),
+                F.when(base + at + K <= until, _merged(held["head"], F.filter(found, lambda x: _place(x) <= until - K)))
                 .otherwise(held["head"]).alias("head")))
 
         chunks = F.sequence(F.lit(0).cast("long"), F.floor((length - K) / CHUNK).cast("long"))
