@@ -91,6 +91,7 @@ class RowCheck:
     extra: Column = field(default_factory=lambda: F.max(F.lit(None).cast("double")))
     tolerance: float = 0.0
     level: Callable[[Column, Column], Column] = lambda score, n: S.level(score)
+    breached: Callable[[Column], Column] | None = None  # of the extra aggregate: then all rows are affected
 
     @property
     def id(self) -> str:
@@ -225,6 +226,16 @@ def _count_row(n: Column, spec: CountSpec) -> Column:
                     F.when(failed, 100.0).otherwise(0.0), failed, score)
 
 
+def _check_row(c: RowCheck, n: Column, extra: Column, total: Column) -> Column:
+    if c.breached:
+        failed = c.breached(extra)
+        n, pct = F.when(failed, total).otherwise(0), F.when(failed, 100.0).otherwise(0.0)
+    else:
+        pct = _share(n, total)
+        failed = (n > 0) & (pct > c.tolerance)
+    return _finding(c.name, c.code, c.field, n, total, pct, failed, c.score(pct, extra, n), c.level)
+
+
 def profile(df: DataFrame, checks: Sequence[RowCheck], count: CountSpec | None = None) -> DataFrame:
     """One finding per check, clean ones included, from a single fused aggregate."""
     if not checks and not count:
@@ -239,11 +250,7 @@ def profile(df: DataFrame, checks: Sequence[RowCheck], count: CountSpec | None =
         )
         rows = [_count_row(F.col("total"), count)] if count and start == 0 else []
         for i, c in enumerate(part):
-            n, total = F.col(f"n{i}"), F.col("total")
-            pct = _share(n, total)
-            failed = (n > 0) & (pct > c.tolerance)
-            rows.append(_finding(c.name, c.code, c.field, n, total, pct, failed,
-                                 c.score(pct, F.col(f"x{i}"), n), c.level))
+            rows.append(_check_row(c, F.col(f"n{i}"), F.col(f"x{i}"), F.col("total")))
         slices.append(wide.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, slices)
 
@@ -263,10 +270,7 @@ def profile_groups(df: DataFrame, by: Sequence[str], checks: Sequence[RowCheck],
             *[c.extra.alias(f"_x{i}") for i, c in enumerate(part)])
         rows = [_count_row(F.col("_total"), count)] if count and start == 0 else []
         for i, c in enumerate(part):
-            n, total = F.col(f"_n{i}"), F.col("_total")
-            pct = _share(n, total)
-            failed = (n > 0) & (pct > c.tolerance)
-            rows.append(_finding(c.name, c.code, c.field, n, total, pct, failed, c.score(pct, F.col(f"_x{i}"), n), c.level))
+            rows.append(_check_row(c, F.col(f"_n{i}"), F.col(f"_x{i}"), F.col("_total")))
         slices.append(wide.select(*by, F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, slices)
 

@@ -7,13 +7,14 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from tableward.operators import freshness as FR
-from tableward.plans.catalog.bronze import GROUP_SPEC, SPEC, group_findings_sql, tidy
+from tableward.plans.catalog.bronze import BLANK, GROUP_SPEC, SPEC, group_findings_sql, tidy
 from tableward.plans.catalog.freshness import PER_TICK, SLA_SQL, slas, span
 from tableward.plans.catalog.models import rounded
 from tableward.plans.catalog.rules import good_customers as _rules_loaded  # noqa: F401
-from tableward.plans.inputs import dirty_events
+from tableward.plans.inputs import DIRTY_EVENTS, dirty_events
 from tableward.plans.registry import REGISTRY, Tables, query
 from tableward.sources.folders import scratch_folder
+from tableward.streaming import metrics as SM
 from tableward.streaming import state as ST
 from tableward.streaming import validate as SV
 
@@ -195,3 +196,21 @@ def table_sessions(t):
 @query("stream_last_arrival", "SELECT event_type, max(ts) AS last_arrival, count(*) AS arrivals FROM events GROUP BY 1")
 def stream_last_arrival(t):
     return newest(t, SV.last_arrivals(Streams(t.spark, t.folder).events, "event_type", "ts"))
+
+
+@query("stream_observed", f"""WITH {DIRTY_EVENTS}
+SELECT check_name, failure_code, field, CAST(n AS BIGINT) AS affected_count, total AS total_count FROM (
+  SELECT 'null_required' AS check_name, 'DV-002' AS failure_code, 'value' AS field, count(*) FILTER (WHERE value IS NULL) AS n, count(*) AS total FROM dirty
+  UNION ALL SELECT 'null_required', 'DV-002', 'event_type', count(*) FILTER (WHERE {BLANK.format('event_type')}), count(*) FROM dirty
+  UNION ALL SELECT 'type', 'DV-003', 'value_text', count(*) FILTER (WHERE try_cast(value_text AS DOUBLE) IS NULL), count(*) FROM dirty
+  UNION ALL SELECT 'range', 'DV-004', 'value', count(*) FILTER (WHERE value < 0 OR value > 1000), count(*) FROM dirty)""")
+def stream_observed(t):
+    """Counts that a listener saw while the stream was written, over all its micro-batches."""
+    folder = scratch_folder(t.spark, "stream")
+    for part in range(3):
+        t.events.filter(F.col("event_id") % 3 == part).coalesce(1).write.parquet(f"{folder}/in/part-{part}")
+    stream = SV.file_stream(t.spark, f"{folder}/in/*", t.events.schema, files_per_batch=1)
+    rows = dirty_events(type("Batch", (), {"events": stream}))
+    seen = SM.run_watched(t.spark, rows, SPEC, f"{folder}/out", f"{folder}-checkpoint")
+    return seen.groupBy("check_name", "failure_code", "field").agg(
+        F.sum("affected_count").alias("affected_count"), F.sum("total_count").alias("total_count"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tableward.operators import bronze as B
+from tableward.operators import checks as U
 from tableward.operators import contracts as C
 from tableward.operators import ethics as E
 from tableward.operators import freshness as FR
@@ -206,3 +207,38 @@ SELECT model_id, greatest(0.0::DOUBLE, 100.0::DOUBLE - coalesce(sum(CASE severit
 FROM every GROUP BY model_id""")
 def run_models_layers(t):
     return model_layers(model_findings(t), log(t))
+
+
+def crowded(df):
+    """Orders of customers with over 25 orders."""
+    busy = df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 25")
+    return df.join(busy, "o_custkey", "left_semi")
+
+
+USER_CHECKS = (
+    U.Check("price_per_day", "BL-001", "o_totalprice", ("o_totalprice", "o_orderkey"),
+            rows=lambda df: F.col("o_totalprice") / (F.col("o_orderkey") % 10) > 40000, severity="WARNING"),
+    U.Check("mean_price", "DV-004", "o_totalprice", ("o_totalprice",), measure=lambda df: F.col("o_totalprice"), limits=(None, 1000.0), score=75.0),
+    U.Check("open_share", "DV-004", "o_orderstatus", ("o_orderstatus",), measure=lambda df: (F.col("o_orderstatus") == "O").cast("double"), limits=(0.0, 1.0)),
+    U.Check("crowded", "BL-001", "o_custkey", ("o_custkey",), plan=crowded, severity="INFO"),
+    U.Check("nowhere", "BL-001", "o_margin", ("o_margin",), rows=lambda df: F.col("o_margin") < 0),
+    U.Check("broken", "BL-001", rows=lambda df: 1 / 0),
+)
+
+
+@query("custom_checks", """
+WITH c AS (SELECT count(*) AS total, avg(o_totalprice) AS mean, count(*) FILTER (WHERE o_orderkey % 10 <> 0 AND o_totalprice / (o_orderkey % 10) > 40000) AS dear,
+    (SELECT coalesce(sum(m), 0) FROM (SELECT count(*) AS m FROM orders GROUP BY o_custkey) WHERE m > 25) AS crowd FROM orders),
+f AS (
+  SELECT 'price_per_day' AS check_name, 'BL-001' AS failure_code, dear AS n, total, 'WARNING' AS level FROM c
+  UNION ALL SELECT 'mean_price', 'DV-004', CASE WHEN mean > 1000 THEN total ELSE 0 END, total, 'CRITICAL' FROM c
+  UNION ALL SELECT 'open_share', 'DV-004', 0, total, NULL FROM c
+  UNION ALL SELECT 'crowded', 'BL-001', crowd, total, 'INFO' FROM c)
+SELECT check_name, failure_code, CAST(n AS BIGINT) AS affected_count, total AS total_count, CASE WHEN n > 0 THEN level END AS severity, false AS skipped FROM f
+UNION ALL SELECT 'nowhere', NULL, NULL, NULL, NULL, true UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, true""")
+def custom_checks(t):
+    """Checks of a user: a predicate with zero divisors, measures, a plan, and two that cannot run."""
+    found, skipped = U.run_checks(t.orders, USER_CHECKS)
+    rest = t.spark.createDataFrame([(name, True) for name, _ in skipped], "check_name string, skipped boolean")
+    return found.select("check_name", "failure_code", "affected_count", "total_count", "severity", F.lit(False).alias("skipped")).unionByName(
+        rest, allowMissingColumns=True)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tableward.functions import severity as S
 from tableward.model import CRITICAL, WARNING, as_anomalies
+from tableward.model import LAYERS as LAYERS_BY_CODE
 from tableward.operators import bronze as B
+from tableward.operators import checks as U
 from tableward.operators import contracts as C
 from tableward.operators import ethics as E
 from tableward.operators import freshness as FR
@@ -48,6 +50,7 @@ class Suite:
     arrivals: DataFrame | None = None
     column_mapping: dict[str, str] = field(default_factory=dict)
     personal_data: bool = True
+    checks: tuple[U.Check | str, ...] = ()  # checks of the user, or names of registered ones
 
 
 @dataclass(frozen=True)
@@ -55,23 +58,24 @@ class TierRun:
     anomalies: DataFrame
     layers: DataFrame
     blocked: bool
-    skipped: tuple[tuple[str, str], ...] = ()  # rules that could not run, with the reason
+    skipped: tuple[tuple[str, str], ...] = ()  # rules and checks that could not run, with the reason
 
 
 def _one(column: str) -> Column:
     return F.array(F.col(column))
 
 
-def _counted(df: DataFrame, suite: Suite) -> list[Row]:
-    """Everything that is a count over rows, bronze, contract and built-in rules alike, from one
-    aggregate; at most one fetched row per check."""
+def _counted(df: DataFrame, suite: Suite, added: Sequence[U.Check]) -> list[Row]:
+    """Everything that is a count over rows, bronze, contract, built-in rules and checks of the user alike,
+    from one aggregate; at most one fetched row per check."""
     checks = B.row_checks(df, suite.bronze)
     if suite.bronze.outliers:
         checks += B.outlier_checks(df, suite.bronze.outliers, suite.bronze.z_threshold)
     if suite.contract:
         checks += C.contract_checks(df, suite.contract)
     checks += R.auto_checks(df, suite.column_mapping)
-    return B.profile(df, checks, suite.bronze.count).filter("failed").collect()
+    wide, made = U.fused(df, added)
+    return B.profile(wide, checks + made, suite.bronze.count).filter("failed").collect()
 
 
 def _contract_sets(df: DataFrame, suite: Suite) -> list[Row]:
@@ -177,13 +181,16 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
     def emit(findings: DataFrame, **columns) -> DataFrame:
         return as_anomalies(findings, batch_id, as_of, **columns)
 
-    rows = _counted(df, suite)
+    added, unfit = U.resolve_checks(df, suite.checks)
+    rows = _counted(df, suite, added)
     sets = _contract_sets(df, suite) if suite.contract else []
     rules, skipped = R.resolve_rules(df, suite.rules, now, list(suite.sets), list(suite.baselines))
     blocked = any(r["severity"] == CRITICAL for r in sets) or any(r["check_name"] == "contract" and r["severity"] == CRITICAL for r in rows)
 
     if blocked:
-        rows = [r for r in rows if r["check_name"] != "auto_logic"]
+        later = {c.name for c in added if c.code[:2] in ("BL", "FR")}
+        added = [c for c in added if c.name not in later]
+        rows = [r for r in rows if r["check_name"] != "auto_logic" and r["check_name"] not in later]
     counted = emit(df.sparkSession.createDataFrame(rows, B.FINDING_DDL), affected_fields=_one("field"),
                    blocking=(F.col("check_name") == "contract") & (F.col("severity") == CRITICAL))
     evaluated, parts = {1}, [counted]
@@ -202,13 +209,16 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
         if suite.slas is not None and suite.arrivals is not None:
             evaluated.add(4)
             parts.append(_freshness(suite, emit, now))
+    if any(c.plan for c in added):
+        parts.append(emit(U.plan_findings(df, added).filter("failed"), affected_fields=_one("field")))
+    evaluated |= {LAYERS_BY_CODE[c.code[:2]][1] for c in added}
     if suite.personal_data:
         evaluated.add(6)
         parts += _ethics(df, emit)
     anomalies = reduce(DataFrame.unionByName, parts)
     # Written, so that findings and scores come from one evaluation.
     anomalies = cut_lineage(anomalies)
-    return TierRun(anomalies, layer_table(anomalies, evaluated), blocked, tuple(skipped))
+    return TierRun(anomalies, layer_table(anomalies, evaluated), blocked, (*skipped, *unfit))
 
 
 # Layer -> (name, penalties).

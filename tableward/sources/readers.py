@@ -82,3 +82,59 @@ def unreadable_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
     # The marker alone cannot be asked of a JSON scan: read with the columns around it.
     marked = whole.select(F.input_file_name().alias("file"), F.struct(*whole.columns).alias("_all"))
     return marked.filter(F.col("_all._corrupt_record").isNotNull()).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
+_QUOTED = '"(?:[^"]|"")*"'
+
+
+def read_csv_marked(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True) -> DataFrame:
+    """Every line of CSV, good or bad, in one read: (file, record, line, reason).
+
+    A good line has its typed ``record``; ``line`` and ``reason`` are null.  A bad one has its text and why it does
+    not fit: ``short`` or ``long`` (cells against columns), ``type:<column>`` for the first cell that is not of its
+    type, ``unreadable`` otherwise; its ``record`` is null.  Empty cells are null and fit every type.  Empty lines are
+    none.  Without a schema all columns are text, named by the header, so lines can only be short, long or unreadable.
+    A quote in a quoted cell is doubled.  Quoted line breaks are not supported, as a line is what splits across tasks.
+    Every cell is read whatever columns are asked for later: a line does not become good by looking at part of it.
+    """
+    if schema is None:
+        if not header:
+            raise ValueError("without a header the columns need a schema")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in spark.read.csv(path, header=True).columns])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = [f.name for f in schema.fields]
+    mark = "_corrupt_record"
+    while mark in names:
+        mark = f"_{mark}"
+    whole = T.StructType([*schema.fields, T.StructField(mark, T.StringType())])
+    rows = spark.read.csv(path, header=header, schema=whole, mode="PERMISSIVE", nullValue="", escape='"', columnNameOfCorruptRecord=mark)
+    # Always true, but not to the optimizer: it would drop unused columns from the scan, and their faults with them.
+    whole_line = F.xxhash64(*[F.col(f"`{c}`") for c in names]) >= -2**63
+    held = rows.select(F.col("_metadata.file_path").alias("file"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"),
+                       F.when(whole_line, F.col(f"`{mark}`")).alias("line"))
+    cells = F.size(F.split(F.regexp_replace("line", _QUOTED, ""), ",", -1))
+    texts = F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(names))), {"mode": "PERMISSIVE", "nullValue": "", "escape": '"'})
+    mistyped = [F.when(F.col("record").getField(f.name).isNull() & texts[f"c{i}"].isNotNull(), F.lit(f"type:{f.name}"))
+                for i, f in enumerate(schema.fields) if not isinstance(f.dataType, T.StringType)]
+    reason = F.when(cells < len(names), "short").when(cells > len(names), "long").otherwise(
+        F.coalesce(*mistyped, F.lit("unreadable")))
+    bad = F.col("line").isNotNull()
+    return held.select("file", F.when(~bad, F.col("record")).alias("record"), "line", F.when(bad, reason).alias("reason"))
+
+
+def good_records(marked: DataFrame) -> DataFrame:
+    return marked.filter("reason IS NULL").select("record.*")
+
+
+def bad_records(marked: DataFrame) -> DataFrame:
+    return marked.filter("reason IS NOT NULL").select("file", "line", "reason")
+
+
+def land_csv(spark: SparkSession, path: str, out: str, schema: T.StructType | str | None = None,
+             header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Read CSV once and write good records and bad lines side by side; both are read back."""
+    marked = read_csv_marked(spark, path, schema, header)
+    marked.withColumn("bad", F.col("reason").isNotNull()).write.partitionBy("bad").parquet(out)
+    landed = spark.read.schema(T.StructType([*marked.schema.fields, T.StructField("bad", T.BooleanType())])).parquet(out)
+    return good_records(landed.filter("NOT bad")), bad_records(landed.filter("bad"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tableward.functions.predicates import row_key
+from tableward.operators.bronze import BatchSpec, hit_codes, row_checks
 
 
 def append_by_day(df: DataFrame, path: str, ts: str) -> None:
@@ -68,3 +74,41 @@ def export_csv(df: DataFrame, path: str) -> None:
     whole = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     df.write.mode("errorifexists").options(
         header=True, timestampFormat=whole + "XXX", timestampNTZFormat=whole).csv(path)
+
+
+def write_split(df: DataFrame, spec: BatchSpec, keys: Sequence[str], path: str, batch_id: str) -> DataFrame:
+    """Write clean and quarantined rows of a batch by one plan and count them as they pass.
+
+    Rows go to ``path``, partitioned by ``batch_id`` and ``held``; writing a batch again replaces it.  Returns
+    (batch_id, scope, value, rows): all rows, clean and held ones, held ones per failure code and per check.  The counts are
+    observed while the rows are written, after the last shuffle, so they need no further scan.
+    """
+    marked = hit_codes(df, spec)
+    held = F.size("codes") > 0
+    rows = marked.select(
+        row_key(*keys).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"),
+        F.col("codes").alias("failure_codes"), F.col("reasons").alias("_reasons"),
+        F.lit(batch_id).alias("batch_id"), held.alias("held"))
+    names = [c.id for c in row_checks(df, spec)] + ["count:*"]
+    if spec.duplicates:
+        names.append(f"duplicate:{','.join(spec.duplicates.keys) or '*'}")
+    codes = sorted({c.code for c in row_checks(df, spec)} | {"DV-001", "DV-006"})
+    counts = {("all", "*"): F.count(F.lit(1)), ("clean", "*"): F.count_if(~F.col("held")), ("held", "*"): F.count_if("held")}
+    counts |= {("code", c): F.count_if(F.array_contains("failure_codes", c)) for c in codes}
+    counts |= {("check", c): F.count_if(F.array_contains("_reasons", c)) for c in names}
+    seen = Observation()
+    watched = rows.observe(seen, *[count.alias(f"m{i}") for i, count in enumerate(counts.values())])
+    made = watched.withColumn("reason", F.array_join("_reasons", "; ")).drop("_reasons")
+    made.write.partitionBy("batch_id", "held").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    found = [(batch_id, scope, value, seen.get[f"m{i}"]) for i, (scope, value) in enumerate(counts)]
+    kept = [row for row in found if row[3] or row[1] in ("all", "clean", "held")]
+    return df.sparkSession.createDataFrame(kept, "batch_id string, scope string, value string, rows bigint")
+
+
+def split_rows(spark: SparkSession, path: str, held: bool) -> DataFrame:
+    """What ``write_split`` wrote: clean rows as they were, or quarantined ones with codes and reason."""
+    fields = [f for f in spark.read.parquet(path).schema.fields if f.name not in ("batch_id", "held")]
+    # Names of folders are text: a batch 007 is not batch 7.
+    whole = T.StructType([*fields, T.StructField("batch_id", T.StringType()), T.StructField("held", T.BooleanType())])
+    rows = spark.read.schema(whole).parquet(path).filter(F.col("held") == held)
+    return rows.select("batch_id", "row_key", "record", "failure_codes", "reason") if held else rows.select("record.*")
