@@ -140,13 +140,12 @@ def plan_findings(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     if not planned:
         return df.sparkSession.createDataFrame([], FINDING_DDL)
     with undefined_as_null(df.sparkSession):
-        counts = [c.plan(df).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, c in enumerate(planned)]
-    each = reduce(DataFrame.unionByName, counts).groupBy().pivot("i", list(range(len(planned)))).agg(F.first("n"))
-    # One row beside one row.
-    wide = each.crossJoin(df.agg(F.count(F.lit(1)).alias("total")))
+        tables = [df, *[c.plan(df) for c in planned]]
+        counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, rows in enumerate(tables)]
+    wide = reduce(DataFrame.unionByName, counts).groupBy().pivot("i", list(range(len(tables)))).agg(F.first("n"))
     rows = []
-    for i, c in enumerate(planned):
-        n, total = F.col(f"`{i}`"), F.col("total")
+    for i, c in enumerate(planned, 1):
+        n, total = F.col(f"`{i}`"), F.col("`0`")
         pct = F.when(total > 0, n / total * 100.0).otherwise(F.when(n > 0, 100.0).otherwise(0.0))
         failed = (n > 0) & (pct > c.tolerance)
         rows.append(F.struct(

@@ -129,10 +129,11 @@ def quantile_ranks(df: DataFrame, value: str, by: Sequence[str], read: DataFrame
 
     One aggregate over the rows; ``read`` is one row a group.
     """
-    own = read.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[F.col(c).alias(f"_q_{c}") for c in shares])
-    rows = df.select(*by, finite(F.col(f"`{value}`")).alias("_v")).filter("_v IS NOT NULL")
-    met = [rows[c].eqNullSafe(own[f"_g_{c}"]) for c in by]
-    joined = rows.join(own, met) if met else rows.crossJoin(F.broadcast(own))
+    # Without a group the one reading is met by a key that all rows have.
+    own = read.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[F.col(c).alias(f"_q_{c}") for c in shares], F.lit(1).alias("_g__all"))
+    rows = df.select(*by, finite(F.col(f"`{value}`")).alias("_v"), F.lit(1).alias("_all")).filter("_v IS NOT NULL")
+    met = [rows[c].eqNullSafe(own[f"_g_{c}"]) for c in (*by, *(() if by else ("_all",)))]
+    joined = rows.join(own if by else F.broadcast(own), met)
     counted = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_q_{s}")).alias(f"_b_{s}") for s in shares],
         *[F.count_if(F.col("_v") <= F.col(f"_q_{s}")).alias(f"_u_{s}") for s in shares])

@@ -65,7 +65,8 @@ def diff_contract(observed: DataFrame, contract: Contract) -> DataFrame:
     records = observed.filter("field IS NULL").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "OBJECT", F.col("rows"))), F.lit(0)).alias("objects"),
         F.coalesce(F.sum(F.when(F.col("kind") != "OBJECT", F.col("rows"))), F.lit(0)).alias("others"))
-    seen = declared.join(per_field, F.col("column_name") == F.col("field"), "left").crossJoin(records)  # one row beside each column
+    objects = records.select("objects").scalar()
+    seen = declared.join(per_field, F.col("column_name") == F.col("field"), "left").withColumn("objects", objects)
     level = F.when(F.col("required"), CRITICAL).otherwise(WARNING)
     missing = seen.filter("required").select(
         F.lit("SC-001").alias("failure_code"), "column_name", F.lit(CRITICAL).alias("severity"),
