@@ -174,16 +174,22 @@ def validate_open(df: DataFrame, column: str, contract: Contract) -> DataFrame:
 
 
 def unique_findings(df: DataFrame, columns: Sequence[Sequence[str]]) -> DataFrame:
-    """Repeated values per uniqueness constraint; nulls do not count as repeated."""
-    parts = []
-    for names in columns:
-        present = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
-        sizes = df.filter(present).groupBy(*names).agg(F.count(F.lit(1)).alias("m"))
-        parts.append(sizes.filter("m > 1").agg(
-            F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("m"), F.lit(0)).alias("affected_count"),
-        ).select(F.lit("SC-005").alias("failure_code"), F.lit(",".join(names)).alias("column_name"),
-                 "groups", "affected_count"))
-    return reduce(DataFrame.unionByName, parts)
+    """Repeated values per uniqueness constraint; nulls do not count as repeated.
+
+    All constraints are counted by grouping sets from one scan.
+    """
+    used = list(dict.fromkeys(n for names in columns for n in names))
+    marks = [sum(1 << (len(used) - 1 - i) for i, n in enumerate(used) if n not in names) for names in columns]
+    sets = {mark: tuple(F.col(f"`{n}`") for n in dict.fromkeys(names)) for mark, names in zip(marks, columns, strict=True)}
+    sizes = df.groupingSets(list(sets.values()), *[F.col(f"`{n}`") for n in used]).agg(
+        F.count(F.lit(1)).alias("_m"), F.grouping_id().alias("_set")).filter("_m > 1")
+    wide, rows = [], []
+    for i, (mark, names) in enumerate(zip(marks, columns, strict=True)):
+        hit = reduce(lambda a, b: a & b, [F.col(f"`{n}`").isNotNull() for n in names], F.col("_set") == mark)
+        wide += [F.count_if(hit).alias(f"g{i}"), F.coalesce(F.sum(F.when(hit, F.col("_m"))), F.lit(0)).alias(f"a{i}")]
+        rows.append(F.struct(F.lit("SC-005").alias("failure_code"), F.lit(",".join(names)).alias("column_name"),
+                             F.col(f"g{i}").alias("groups"), F.col(f"a{i}").alias("affected_count")))
+    return sizes.agg(*wide).select(F.inline(F.array(*rows)))
 
 
 # Registry tables: one row per (contract, version, column) -------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableward.model import CRITICAL, WARNING
+from tableward.operators.bronze import RowCheck
 
 # Patterns of personal data in values, in the order they are tried.
 PII_PATTERNS = {
@@ -145,13 +146,22 @@ def _may_hold_number(column: Column) -> Column:
     return column.rlike(r"[0-9][0-9.]")
 
 
+# Necessary for the numeric patterns, but for addresses: three digits and two more behind at most a bracket and a
+# separator; and for addresses: a number between two dots.
+_LONG_NUMBER, _DOTTED_NUMBER = r"[0-9]{3}\)?[-.\s]?[0-9]{2}", r"[0-9]\.[0-9]{1,3}\.[0-9]"
+# A text that holds a match also holds one of these shorter forms, which need no optional or repeated start.
+_PRESENT = {**PII_PATTERNS, "email": r"[a-zA-Z0-9._%+-]@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+            "phone": r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"}
+
+
 def first_pattern(column: Column) -> Column:
     """Name of the first pattern found in the text; later ones are not evaluated."""
     numbers = F.lit(None).cast("string")
     for name in reversed([n for n in PII_PATTERNS if n != "email"]):
-        numbers = F.when(column.rlike(PII_PATTERNS[name]), name).otherwise(numbers)
-    email = _may_hold_address(column) & column.rlike(PII_PATTERNS["email"])
-    return F.when(email, "email").otherwise(F.when(_may_hold_number(column), numbers))
+        numbers = F.when(column.rlike(_PRESENT[name]), name).otherwise(numbers)
+    email = _may_hold_address(column) & column.rlike(_PRESENT["email"])
+    worth = _may_hold_number(column) & (column.rlike(_LONG_NUMBER) | column.rlike(_DOTTED_NUMBER))
+    return F.when(email, "email").otherwise(F.when(worth, numbers))
 
 
 def name_tokens(name: str) -> str:
@@ -215,6 +225,21 @@ def pseudonym(column: Column, salt: str = "") -> Column:
     return F.sha2(F.concat(F.lit(salt), column.cast("string")), 256)
 
 
+def personal_checks(df: DataFrame) -> list[RowCheck]:
+    """Personal data and minors as row checks, so that they are counted in one aggregate with others: values of
+    columns named like personal data, finds in the other columns, and people under 18 per age column."""
+    named = named_like(df.columns, SENSITIVE_NAMES)
+    level = lambda score, n: F.lit(CRITICAL)
+    fixed = lambda pct, extra, n: F.lit(85.0)
+    found = [RowCheck("_personal_name", "ET-006", c, F.col(f"`{c}`").isNotNull(), fixed, level=level) for c in named]
+    found += [RowCheck("_personal_data", "ET-006", c, first_pattern(F.col(f"`{c}`").cast("string")).isNotNull(), fixed, level=level)
+              for c in readable(df) if c not in named]
+    few = lambda n, one, other: F.when(n < 100, one).otherwise(other)
+    return found + [
+        RowCheck("_minors", "ET-005", c, F.coalesce(_minor(c), F.lit(False)), lambda pct, extra, n: few(n, 70.0, 85.0),
+                 level=lambda score, n: few(n, WARNING, CRITICAL)) for c in age_columns(df)]
+
+
 def sensitive_columns(df: DataFrame, loose: bool = False) -> DataFrame:
     """Columns named like personal data, with how many values they hold."""
     named = named_like(df.columns, SENSITIVE_NAMES, loose)
@@ -226,14 +251,20 @@ def sensitive_columns(df: DataFrame, loose: bool = False) -> DataFrame:
         for i, (c, m) in enumerate(named.items())])))
 
 
-def pii_exposure(fields: DataFrame) -> DataFrame:
+def pii_exposure(fields: DataFrame, loose: bool = False) -> DataFrame:
     """Exposure of datasets (ET-006).
 
     ``fields`` holds one row per (dataset, field) with the dataset's safeguards
-    ``encrypted``, ``masked`` and ``access_controlled``.
+    ``encrypted``, ``masked`` and ``access_controlled``.  Names match whole words unless ``loose``.
     """
-    terms = F.array(*[F.lit(t) for t in AUDIT_NAMES])
-    personal = F.exists(terms, lambda t: F.contains(F.lower("field"), t))
+    if loose:
+        text, mark = F.lower("field"), ""
+    else:
+        spaced = F.lower(F.regexp_replace("field", r"([a-z0-9])(?=[A-Z])", "$1_"))
+        words = F.regexp_replace(F.regexp_replace(spaced, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+        text, mark = F.concat(F.lit("_"), words, F.lit("_")), "_"
+    terms = F.array(*[F.lit(f"{mark}{t}{mark}") for t in AUDIT_NAMES])
+    personal = F.exists(terms, lambda t: F.contains(text, t))
     sets = fields.groupBy("dataset_id").agg(
         F.count_if(personal).alias("pii_fields"), F.bool_and("encrypted").alias("encrypted"),
         F.bool_and("masked").alias("masked"), F.bool_and("access_controlled").alias("access_controlled"))
@@ -270,11 +301,15 @@ def age_columns(df: DataFrame, loose: bool = False) -> list[str]:
     return list(named_like(df.columns, ("age",), loose))
 
 
+def _minor(age: str) -> Column:
+    value = F.col(f"`{age}`").try_cast("double")
+    return (value > 0) & (value < 18)
+
+
 def minors(df: DataFrame, age: str) -> DataFrame:
     """Rows of people under 18 (ET-005)."""
-    value = F.col(age).try_cast("double")
     n = F.col("minors")
-    return df.agg(F.count_if((value > 0) & (value < 18)).alias("minors")).filter("minors > 0").select(
+    return df.agg(F.count_if(_minor(age)).alias("minors")).filter("minors > 0").select(
         "minors", F.lit("ET-005").alias("failure_code"),
         F.when(n < 100, WARNING).otherwise(CRITICAL).alias("severity"),
         F.when(n < 100, 70.0).otherwise(85.0).alias("severity_score"))

@@ -253,7 +253,8 @@ def latency_baseline(spans: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def stalled_stages(stages: DataFrame, order: list[str], as_of: Column, idle_seconds: int = 600) -> DataFrame:
     """First stage of a run that did not start though its predecessor ended long ago (FR-004)."""
-    ahead = with_neighbour(stages.withColumn("_present", F.lit(True)), ["pipeline_id"], order,
+    needed = stages.select(*dict.fromkeys(["pipeline_id", "stage", "started_at", "completed_at", *order]))
+    ahead = with_neighbour(needed.withColumn("_present", F.lit(True)), ["pipeline_id"], order,
                            {"next_stage": "stage", "_next_start": "started_at", "_next": "_present"}, following=True)
     idle = seconds_between(as_of, F.col("completed_at")) > idle_seconds
     hits = ahead.filter(F.col("completed_at").isNotNull() & F.col("_next") & F.col("_next_start").isNull() & idle)

@@ -61,6 +61,10 @@ class TierRun:
     skipped: tuple[tuple[str, str], ...] = ()  # rules and checks that could not run, with the reason
 
 
+# Counted with everything else, emitted under their layer.
+PERSONAL = ("_personal_name", "_personal_data", "_minors")
+
+
 def _one(column: str) -> Column:
     return F.array(F.col(column))
 
@@ -74,8 +78,11 @@ def _counted(df: DataFrame, suite: Suite, added: Sequence[U.Check]) -> list[Row]
     if suite.contract:
         checks += C.contract_checks(df, suite.contract)
     checks += R.auto_checks(df, suite.column_mapping)
+    if suite.personal_data:
+        checks += E.personal_checks(df)
     wide, made = U.fused(df, added)
-    return B.profile(wide, checks + made, suite.bronze.count).filter("failed").collect()
+    # A column named like personal data is reported even without values.
+    return B.profile(wide, checks + made, suite.bronze.count).filter("failed OR check_name = '_personal_name'").collect()
 
 
 def _contract_sets(df: DataFrame, suite: Suite) -> list[Row]:
@@ -110,7 +117,9 @@ def _set_rule(df: DataFrame, rule: R.Rule, suite: Suite) -> DataFrame:
         reference, key = suite.sets[rule.reference]
         broken = J.broken_references(df, name, reference, key, suite.keys, allow_null=rule.kind == "orphan")
     else:
-        broken = R.state_transitions(df, rule.entity, list(rule.order), name, dict(rule.transitions))
+        # Only what a step needs is shuffled.
+        steps = df.select(*dict.fromkeys([rule.entity, *rule.order, name]))
+        broken = R.state_transitions(steps, rule.entity, list(rule.order), name, dict(rule.transitions))
     return broken.agg(F.count(F.lit(1)).alias("violations")).filter("violations > 0").select(
         F.lit(rule.id).alias("rule_id"), F.lit(rule.failure_code).alias("failure_code"),
         F.lit(rule.severity).alias("severity"), "violations")
@@ -150,23 +159,19 @@ def _freshness(suite: Suite, emit, as_of: Column) -> DataFrame:
     return emit(found, check_name=F.lit("freshness"), subject=F.col("source"), rule_id=F.col("sla_id"))
 
 
-def _ethics(df: DataFrame, emit) -> list[DataFrame]:
-    named = E.sensitive_columns(df)
-    # A column named like personal data is reported by name; the others are searched.
-    known = set(E.named_like(df.columns, E.SENSITIVE_NAMES))
-    searched = [c for c in E.readable(df) if c not in known]
-    pii = named.select("field", F.col("filled").alias("affected_count"))
-    if searched:
-        pii = pii.unionByName(E.pii_scan(df, searched).groupBy("field").agg(F.sum("rows").alias("affected_count")))
-    imbalance = E.protected_imbalance(df)
-    return [
-        *[emit(E.minors(df, c), check_name=F.lit("minors"), affected_fields=F.array(F.lit(c)), affected_count=F.col("minors"))
-          for c in E.age_columns(df)],
-        emit(pii, check_name=F.lit("personal_data"), failure_code=F.lit("ET-006"), severity=F.lit(CRITICAL),
-             severity_score=F.lit(85.0), affected_fields=_one("field")),
-        emit(imbalance, check_name=F.lit("imbalance"), affected_fields=_one("attribute"), actual=F.col("ratio"),
-             severity_score=F.lit(60.0)),
-    ]
+def _ethics(df: DataFrame, rows: Sequence[Row], emit) -> list[DataFrame]:
+    """Personal data and minors from the counted ``rows``, and groups out of balance."""
+    found = df.sparkSession.createDataFrame([r for r in rows if r["check_name"] in PERSONAL], B.FINDING_DDL).coalesce(1)
+    by_age = F.col("check_name") == "_minors"
+    counted = found.select(
+        F.when(by_age, "minors").otherwise("personal_data").alias("check_name"), "failure_code", "field", "affected_count",
+        F.when(by_age, F.col("severity")).otherwise(CRITICAL).alias("severity"),
+        F.when(by_age, F.col("severity_score")).otherwise(85.0).alias("severity_score"))
+    parts = [emit(counted, affected_fields=_one("field"))]
+    if E.named_like(df.columns, E.PROTECTED_NAMES):
+        parts.append(emit(E.protected_imbalance(df), check_name=F.lit("imbalance"), affected_fields=_one("attribute"),
+                          actual=F.col("ratio"), severity_score=F.lit(60.0)))
+    return parts
 
 
 def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun:
@@ -191,12 +196,12 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
         later = {c.name for c in added if c.code[:2] in ("BL", "FR")}
         added = [c for c in added if c.name not in later]
         rows = [r for r in rows if r["check_name"] != "auto_logic" and r["check_name"] not in later]
-    counted = emit(df.sparkSession.createDataFrame(rows, B.FINDING_DDL), affected_fields=_one("field"),
+    counted = emit(df.sparkSession.createDataFrame([r for r in rows if r["check_name"] not in PERSONAL], B.FINDING_DDL).coalesce(1), affected_fields=_one("field"),
                    blocking=(F.col("check_name") == "contract") & (F.col("severity") == CRITICAL))
     evaluated, parts = {1}, [counted]
     if sets:
         parts.append(emit(df.sparkSession.createDataFrame(
-            sets, "check_name string, failure_code string, field string, severity string, affected_count bigint"),
+            sets, "check_name string, failure_code string, field string, severity string, affected_count bigint").coalesce(1),
             affected_fields=_one("field"), blocking=F.col("severity") == CRITICAL))
     if suite.contract:
         evaluated.add(2)
@@ -214,7 +219,7 @@ def run_tiers(df: DataFrame, suite: Suite, batch_id: str, as_of: str) -> TierRun
     evaluated |= {LAYERS_BY_CODE[c.code[:2]][1] for c in added}
     if suite.personal_data:
         evaluated.add(6)
-        parts += _ethics(df, emit)
+        parts += _ethics(df, rows, emit)
     anomalies = reduce(DataFrame.unionByName, parts)
     # Written, so that findings and scores come from one evaluation.
     anomalies = cut_lineage(anomalies)

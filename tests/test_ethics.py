@@ -21,6 +21,17 @@ def test_first_pattern_in_order(spark):
     assert got == ["email", "phone", "ssn", "credit_card", "ip_address", None, None, None, None, "phone"]
 
 
+def test_short_forms_find_what_the_patterns_find(spark):
+    """The cheaper tests decide as the patterns themselves do, in their order."""
+    numbers = ["(555)123-4567", "+1 555.123.4567", "1234 5678", "1234-5678-9012-3456", "1.2.3.4", "10.20.300.4", "1.2.3", "1234.56",
+               "12 34 56", "999999999", "9999999999", "123-45-6789", "123 456789", "555)\n123 4567", "a@b", "x.y@z.co", "é@b.org", "%@-.ab"]
+    texts = [f"{a}{gap}{b}" for a in numbers for gap in (" ", "", "x", "é", "-") for b in numbers]
+    whole = F.coalesce(*[F.when(F.col("t").rlike(p), n) for n, p in E.PII_PATTERNS.items()])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", E.first_pattern(F.col("t")).alias("got"), whole.alias("want"))
+    assert rows.filter("NOT got <=> want").collect() == []
+    assert {r.want for r in rows.select("want").distinct().collect()} == {*E.PII_PATTERNS, None}
+
+
 def test_masking_leaves_no_pattern(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string").select(E.masked(F.col("t")).alias("m"))
     got = [r["m"] for r in df.collect()]
@@ -59,3 +70,10 @@ def test_exposure_scores(spark):
     df = spark.createDataFrame(rows, "dataset_id string, field string, encrypted boolean, masked boolean, access_controlled boolean")
     got = {r["dataset_id"]: (r["score"], r["severity"]) for r in E.pii_exposure(df).collect()}
     assert got == {"d1": (95.0, None), "d2": (75.0, "WARNING"), "d3": (75.0, None), "d4": (25.0, "CRITICAL")}
+
+
+def test_exposure_counts_whole_words(spark):
+    rows = [(n, f, True, True, True) for n, f in enumerate(["filename", "name", "firstName", "race_time", "trace", "user-Email", "zipped", None])]
+    df = spark.createDataFrame(rows, "dataset_id int, field string, encrypted boolean, masked boolean, access_controlled boolean")
+    found = lambda **how: {r.dataset_id for r in E.pii_exposure(df, **how).filter("pii_fields > 0").collect()}
+    assert found() == {1, 2, 3, 5} and found(loose=True) == {0, 1, 2, 3, 4, 5, 6}

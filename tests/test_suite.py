@@ -74,3 +74,18 @@ def test_contract_sets_block(spark):
     found = {(r["failure_code"], r["affected_fields"][0], r["severity"]) for r in run.anomalies.filter("check_name = 'contract'").collect()}
     assert ("SC-008", "c", "CRITICAL") in found and {f[:2] for f in found} == {("SC-008", "c"), ("SC-005", "id"), ("SC-005", "c")}
     assert run.blocked
+
+
+def test_personal_data_is_counted_in_the_one_aggregate(spark, monkeypatch):
+    from tableward.plans import suite as plans
+
+    df = spark.range(200).select("id", (F.col("id") + 1).alias("v"), F.lit(None).cast("string").alias("email"),
+                                 F.when(F.col("id") < 5, "10.0.0.1").otherwise("none").alias("note"), (F.col("id") % 100).alias("age"))
+    seen = []
+    monkeypatch.setattr(plans.B, "profile", lambda *a, profile=plans.B.profile: seen.append(a) or profile(*a))
+    run = run_tiers(df, suite(), "b", "2024-01-01")
+    found = {(r.check_name, r.failure_code, r.severity, r.affected_fields[0], r.affected_count) for r in run.anomalies.filter("layer = 6").collect()}
+    # A column named like personal data is reported though it holds no value.
+    assert found == {("personal_data", "ET-006", "CRITICAL", "email", 0), ("personal_data", "ET-006", "CRITICAL", "note", 5),
+                     ("minors", "ET-005", "WARNING", "age", 34), ("imbalance", "ET-001", "WARNING", "age", None)}
+    assert len(seen) == 1
