@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -178,40 +178,39 @@ def stream_misses(stream: DataFrame, slas: DataFrame, ticks: DataFrame, source:
 
 def steps_processor(key: str, order: str, row_id: str, state: str, allowed: dict[str, list[str]], kinds: T.StructType, ttl_ms: int | None):
     """Keeps the newest row of each key and reports the steps from it that ``allowed`` does not list."""
-    outputs = [key, row_id, state, "previous_state", "reason"]
+    step = Row(key, row_id, state, "previous_state", "reason")
     permitted = {(a, b) for a, targets in allowed.items() for b in targets}
     newest = T.StructType([T.StructField("at", T.LongType()), T.StructField("id", kinds[row_id].dataType), T.StructField("state", T.StringType())])
 
-    def micros(column: pd.Series) -> np.ndarray:
-        return column.astype("datetime64[us]").astype(np.int64).to_numpy()
+    def place(row: tuple) -> tuple:
+        """Where a row (at, id, state) stands among its key's rows; a null id comes last."""
+        return row[0], row[1] is None, row[1]
 
     class Steps(StatefulProcessor):
+        """Plain rows: a key has few rows a micro-batch, so a pandas frame per key would cost more than the work."""
+
         def init(self, handle: StatefulProcessorHandle) -> None:
             self._last = handle.getValueState("last", newest, ttl_ms) if ttl_ms else handle.getValueState("last", newest)
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
-            row = initialState.assign(_at=micros(initialState[order])).sort_values(["_at", row_id]).iloc[-1]
-            self._last.update((int(row["_at"]), row[row_id], row[state]))
+            row, last = (initialState["_at"], initialState[row_id], initialState[state]), self._last.get()
+            if last is None or place(row) >= place(last):
+                self._last.update(row)
 
         def handleInputRows(self, key_, rows, timerValues):
-            pdf = pd.concat([r[[order, row_id, state]] for r in rows])
-            pdf["_at"] = micros(pdf[order])
-            pdf = pdf.sort_values(["_at", row_id], kind="stable")
-            last = self._last.get() if self._last.exists() else None
-            late = np.zeros(len(pdf), bool) if last is None else np.array(
-                [(a, i) < (last[0], last[1]) for a, i in zip(pdf["_at"].tolist(), pdf[row_id].tolist(), strict=True)])
-            fresh = pdf[~late]
-            before = fresh[state].shift(1).astype(object).where(lambda x: x.notna(), None)
-            if len(fresh):
-                if last is not None:
-                    before.iloc[0] = last[2]
-                newest_row = fresh.iloc[-1]
-                self._last.update((int(newest_row["_at"]), newest_row[row_id], newest_row[state]))
-            found = [(key_[0], i, s, p, "not_allowed" if p in allowed else "unknown_state")
-                     for i, s, p in zip(fresh[row_id].tolist(), fresh[state].tolist(), before.tolist(), strict=True)
-                     if p is not None and (p, s) not in permitted]
-            found += [(key_[0], i, s, None, "late") for i, s in zip(pdf[late][row_id].tolist(), pdf[late][state].tolist(), strict=True)]
-            yield pd.DataFrame(found, columns=outputs)
+            known = last = self._last.get()
+            found = []
+            for row in sorted(((r["_at"], r[row_id], r[state]) for r in rows), key=place):
+                if known is not None and place(row) < place(known):
+                    found.append(step(key_[0], row[1], row[2], None, "late"))
+                    continue
+                before = None if last is None else last[2]
+                if before is not None and (before, row[2]) not in permitted:
+                    found.append(step(key_[0], row[1], row[2], before, "not_allowed" if before in allowed else "unknown_state"))
+                last = row
+            if last is not known:
+                self._last.update(last)
+            return iter(found)
 
         def close(self) -> None:
             pass
@@ -231,12 +230,12 @@ def stream_steps(stream: DataFrame, key: str, order: str, row_id: str, state: st
     ``late`` and is no step.  Rows without a key or time are left out.  The rows of a key within one micro-batch
     are ordered in memory; ``files_per_batch`` bounds them.
     """
-    names = [key, order, row_id, state]
-    present = F.col(key).isNotNull() & F.col(order).isNotNull()
+    names = [key, F.unix_micros(F.col(order).cast("timestamp")).alias("_at"), row_id, state]
+    present = F.col(key).isNotNull() & F.col("_at").isNotNull()
     rows = stream.select(*names).filter(present)
     processor, schema = steps_processor(key, order, row_id, state, allowed, rows.schema, ttl_ms)
     known = None if initial is None else cut_lineage(initial.select(*names).filter(present)).groupBy(key)
-    return rows.groupBy(key).transformWithStateInPandas(
+    return rows.groupBy(key).transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None", initialState=known)
 
 

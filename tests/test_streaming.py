@@ -1,7 +1,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableward.operators import bronze as B
 from tableward.operators import freshness as FR
@@ -178,3 +180,29 @@ def test_steps_in_the_state_store_equal_the_batch_check(spark, tmp_path, rocksdb
     assert want and got == want | {("k0", 900, "A", None, "late")}
     states = {r.k: (r.id, r.state) for r in ST.newest_states(spark, str(tmp_path / "cp"), "k").collect()}
     assert states == {f"k{i % 3}": (i, rows[i][3]) for i in (57, 58, 59)}
+
+
+def test_a_key_costs_two_calls_of_the_state_store():
+    """Rows go in and out plainly: late ones, a null state, equal rows and a null id among them."""
+    kinds = T.StructType.fromDDL("k string, id bigint, s string")
+    calls, kept = [], [(5, 50, "A")]
+
+    class Last:
+        def get(self):
+            calls.append("get")
+            return kept[-1]
+
+        def update(self, row):
+            calls.append("update")
+            kept.append(row)
+
+    handle = type("Handle", (), {"getValueState": lambda self, name, schema: Last()})()
+    processor, _ = ST.steps_processor("k", "t", "id", "s", {"A": ["B"]}, kinds, None)
+    processor.init(handle)
+    row = Row("_at", "id", "s")
+    rows = [row(9, None, "B"), row(9, 3, None), row(6, 1, "B"), row(7, 2, "A"), row(7, 2, "A"), row(1, 9, "A")]
+    found = {tuple(r) for r in processor.handleInputRows(("x",), iter(rows), None)}
+    assert found == {("x", 9, "A", None, "late"), ("x", 2, "A", "B", "unknown_state"), ("x", 2, "A", "A", "not_allowed"),
+                     ("x", 3, None, "A", "not_allowed")}
+    assert calls == ["get", "update"] and kept[-1] == (9, None, "B")
+    assert not list(processor.handleInputRows(("x",), iter([]), None)) and calls == ["get", "update", "get"]
