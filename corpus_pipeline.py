@@ -41,8 +41,9 @@ def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return shingle_sets.keep_one(docs, "doc_id", "text", width=5, percent=80)
+    """One document of each group of near-duplicates: SimHash tries over five-word shingles with three bits, bands for
+    what differs in more, and an exact check for similarity 0.8 or more."""
+    return shingle_sets.keep_one(docs, "doc_id", "text", width=5, percent=80, budget=3)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets.
+"""Near-duplicates by SimHash tries, checked by the exact Jaccard similarity of shingle sets.
 
-Candidates come from minima: a text has ``BANDS`` bands of ``BAND_ROWS`` minima of its shingles'
-hashes under different permutations, and texts that agree in a band belong to one cluster.  Two
-texts at similarity s agree in some band with probability 1 - (1 - s^8)^40: 0.9994 at 0.8, more
-above.  All pairs of a cluster, not only those that share a band, are then compared by their whole
+Candidates come from the tries of ``simhash``: sets whose fingerprints differ in at most ``budget``
+bits belong to one cluster.  Most sets near the wanted similarity differ in more bits, so a second
+source adds those: a text has ``BANDS`` bands of ``BAND_ROWS`` minima of its shingles' hashes under
+different permutations, and texts that agree in a band belong to one cluster, too.  Two texts at
+similarity s agree in some band with probability 1 - (1 - s^8)^40: 0.9994 at 0.8, more above.  All pairs of a cluster, not only those that share a band, are then compared by their whole
 sets, and only pairs at or above the wanted similarity are united.
 
 Equal sets are one class, compared once.  A cluster with more than ``BLOCK_SHINGLES`` shingles is
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableward.llm.common import components, cut_lineage, map_texts
-from tableward.llm.simhash import Forest
+from tableward.llm.simhash import Forest, bit_counts, majority, trie_join
 
 SEED = 43
 BANDS, BAND_ROWS = 40, 8
@@ -49,6 +50,12 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set."""
+    step = 1 << 16
+    return majority(sum(bit_counts(hashes[at:at + step]) for at in range(0, len(hashes), step)), len(hashes))
+
+
 def bands(hashes: np.ndarray) -> list[int]:
     """One signed number per band of minima."""
     least = np.full(BANDS * BAND_ROWS, (1 << 32) - 1, np.uint32)
@@ -108,12 +115,22 @@ def join_units(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield unit(held)
 
 
-def _edges(shell: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that span all similar pairs of the clusters."""
+def clusters_of(classes: DataFrame, budget: int) -> DataFrame:
+    """(node, component): the clusters of classes (cls, fp, bands) that the tries or a band link."""
+    first = cut_lineage(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    equal = classes.join(first, "fp").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    near = trie_join(first, "fp", budget).join(first.select(F.col("fp").alias("a"), F.col("least").alias("one")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("least").alias("two")), "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
     placed = classes.select("cls", F.explode("bands").alias("band"))
     met = placed.groupBy("band").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least <> most")
-    clusters = components(placed.join(met.select("band", "least"), "band").filter("cls <> least")
-                          .select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct())
+    agree = placed.join(met.select("band", "least"), "band").filter("cls <> least").select(
+        F.col("cls").alias("a"), F.col("least").alias("b"))
+    return components(near.union(equal).union(agree).distinct())
+
+
+def _edges(shell: DataFrame, classes: DataFrame, width: int, percent: int, budget: int) -> DataFrame:
+    """Edges (a, b) between classes that span all similar pairs of the clusters."""
+    clusters = clusters_of(classes, budget)
     member = cut_lineage(classes.select("cls", "tid", "n").join(clusters, F.col("cls") == F.col("node"))
                          .select("tid", "cls", F.col("component").alias("cluster"), "n"))
     parts = member.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("long").alias("parts"))
@@ -137,11 +154,11 @@ def _edges(shell: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
             .mapInArrow(lambda batches: join_units(batches, percent), "a long, b long"))
 
 
-def keep_one(df: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(df: DataFrame, key: str, text: str, width: int = 5, percent: int = 80, budget: int = 3) -> DataFrame:
     """The rows of ``df`` with the least key of each group, one of them where they repeat.
 
     A group is joined by pairs of texts whose sets of ``width``-word shingles have at least
-    ``percent`` hundredths of their union in common.  A null key stays only where a group has no
+    ``percent`` hundredths of their union in common; ``budget`` is that of the tries.  A null key stays only where a group has no
     other.
     """
     shell = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).withColumn(
@@ -151,11 +168,12 @@ def keep_one(df: DataFrame, key: str, text: str, width: int = 5, percent: int =
         sets = [shingles(t, width) for t in texts]
         names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
         return [pa.array(names.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)),
                 pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
 
-    rows = cut_lineage(map_texts(shell, "_text", ["_key", "tid"], work, "cls long, n long, bands array<long>"))
-    classes = cut_lineage(rows.groupBy("cls").agg(F.min("tid").alias("tid"), F.min("n").alias("n"), F.min("bands").alias("bands")))
-    linked = components(_edges(shell, classes, width, percent))
+    rows = cut_lineage(map_texts(shell, "_text", ["_key", "tid"], work, "cls long, n long, fp long, bands array<long>"))
+    classes = cut_lineage(rows.groupBy("cls").agg(*[F.min(c).alias(c) for c in ("tid", "n", "fp", "bands")]))
+    linked = components(_edges(shell, classes, width, percent, budget))
     least = rows.groupBy("cls").agg(F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "tid")).alias("_least"))
     stay = cut_lineage(least.join(linked, F.col("cls") == F.col("node"), "left")
                        .groupBy(F.coalesce("component", "cls").alias("component")).agg(F.min("_least").alias("_s"))

@@ -38,6 +38,16 @@ OPEN_BITS = 8
 FRONTIER, DIRECT = 1 << 20, 32
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits set in over half of ``n`` hashes."""
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None, width: int) -> int:
     words = (text or b"").lower().split()
     if not words:
@@ -53,10 +63,8 @@ def fingerprint(text: bytes | None, width: int) -> int:
     for at in range(0, len(first), 1 << 16):
         hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first[at:at + (1 << 16)], last[at:at + (1 << 16)], strict=True)],
                           np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    majority = (2 * counts > len(first)).astype(np.uint8)
-    return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
+        counts += bit_counts(hashes)
+    return majority(counts, len(first))
 
 
 def fingerprints(df: DataFrame, text: str, keep: list[str], width: int = 3) -> DataFrame:

@@ -72,3 +72,17 @@ def test_stage_on_documents(spark, small):
     want = brute([(r.doc_id, r.text) for r in df.collect()])
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == df.columns
     assert {r.doc_id for r in corpus_pipeline.packed(spark, kept, small).collect()} == want
+
+
+def test_tries_link_without_a_common_band(spark):
+    """Fingerprints within three bits, equal ones, and one four bits away, which a band links to another."""
+    rows = [(5, 0b0, [50]), (6, 0b111, [60]), (7, 0b111 | 1 << 63, [70]), (8, 0b111, [80]), (9, 0xF << 20, [90]), (4, 0xFF << 40, [90, 91])]
+    classes = spark.createDataFrame([(c, f - (1 << 64) if f >> 63 else f, b) for c, f, b in rows], "cls long, fp long, bands array<long>")
+    found = {r.node: r.component for r in shingle_sets.clusters_of(classes, 3).collect()}
+    assert found == {5: 5, 6: 5, 7: 5, 8: 5, 4: 4, 9: 4}
+
+
+def test_fingerprint_of_a_set():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 70_001, np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+    assert shingle_sets.fingerprint(hashes) == want
